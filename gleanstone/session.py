@@ -54,3 +54,15 @@ def where_computed(df: DataFrame, condition) -> DataFrame:
     expression chains twice or more; a projection that isn't deterministic stops that.
     """
     return df.withColumn("_fence", F.spark_partition_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
+def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
+    """Join a side that is unique by ``keys``: broadcast while its counted size allows, salted beyond.
+
+    One key may hold a third of the big side's rows; salting spreads it over ``salts`` tasks.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), keys, how)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
