@@ -66,3 +66,16 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they need no copy of the repository."""
+    import shutil
+    from pathlib import Path
+
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_gleanstone_shipped", None) is None:
+        folder = tempfile.mkdtemp(prefix="gleanstone-")
+        shutil.copytree(package, f"{folder}/zip/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/zip"))
+        sc._gleanstone_shipped = True
