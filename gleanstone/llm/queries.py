@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanstone.llm import bpe, layout_duplicates, top_per_group
+from gleanstone.llm import bpe, layout_duplicates, quota_sample, source_mix, top_per_group
 from gleanstone.session import table
 
 
@@ -26,18 +26,48 @@ def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("rank", "place")
 
 
+def _quota(query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "strata"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(quota_sample.short_strata, spark, sf_dir)
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(quota_sample.sample, spark, sf_dir)
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(quota_sample.report, spark, sf_dir)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _TOP = """
     WITH s AS (SELECT record_id, max(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY record_id),
          m AS (SELECT DISTINCT cluster_id, record_id FROM candidates WHERE cluster_id IS NOT NULL),
          r AS (SELECT cluster_id, record_id, score, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, record_id) AS INTEGER) AS place FROM m JOIN s USING (record_id))
 """
+_SHORT = """
+    SELECT s.window_id, s.stratum FROM strata s LEFT JOIN (
+        SELECT window_id, lower(trim(stratum)) AS name, count(DISTINCT record_id) AS n FROM candidates WHERE stratum IS NOT NULL GROUP BY ALL
+    ) c ON c.window_id = s.window_id AND c.name = lower(trim(s.stratum)) WHERE s.quota > coalesce(c.n, 0)
+"""
 ORACLES = {
+    "p4_found": _SHORT,
     "p2_found": _TOP + "SELECT cluster_id, record_id FROM r WHERE place <= 3",
     "p2_ranked": _TOP + "SELECT cluster_id, record_id, score, place FROM r WHERE place <= 3",
 }
