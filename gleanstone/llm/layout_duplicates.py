@@ -26,6 +26,12 @@ _BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 _PUNCT = r"[\p{P}`^~|<>=]"
 _KEY = r"[\p{L}_][\p{L}\p{N}_ -]{0,40}?\s*[:=]"
 _FIELD_START = rf"(?:[\r\n]|;|\|)[\s;|]*(?={_KEY})"
+#: Only texts that begin so can be an object or a list of named fields.
+_STRUCTURED = rf"^(?:{_BLANK}|{_PUNCT}|\{{)*?(?:\{{|{_KEY})"
+#: White space other than single blanks.
+_LAYOUT = r"(?:[\s\p{Z}\p{Cc}\p{Cf}&&[^ ]]| (?= |[\s\p{Z}\p{Cc}\p{Cf}&&[^ ]]))[\s\p{Z}\p{Cc}\p{Cf}]*"
+#: Marks that are layout: before a token, save the sign of a number; after one, save per cent; in one without digits.
+_MARKS = rf"(?<![^ ])(?:(?!-\.?\d){_PUNCT})+|(?:(?!%){_PUNCT})+(?![^ ])|{_PUNCT}(?!\S*\d)(?<!\d\S{{0,80}})"
 
 
 def _fold(text: Column) -> Column:
@@ -35,12 +41,8 @@ def _fold(text: Column) -> Column:
 
 def _words(folded: Column) -> Column:
     """Words in order without layout; the marks inside a number or code, its sign and its per cent stay."""
-    t = F.regexp_replace(folded, _BLANK + "+", " ")
-    # Marks at the ends of a token, but for a sign that opens a number and the per cent that ends it.
-    t = F.regexp_replace(t, rf"(?:(?<=\s)|^)(?:(?![+-]\.?\d){_PUNCT})+|(?:(?!%){_PUNCT})+(?=\s|$)", "")
-    # Marks inside a token without digits.
-    t = F.regexp_replace(t, rf"{_PUNCT}(?!\S*\d)(?<!\d\S{{0,80}})", "")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    t = F.regexp_replace(F.regexp_replace(folded, _LAYOUT, " "), _MARKS, "")
+    return F.trim(F.regexp_replace(t, "  +", " "))
 
 
 def _sorted_fields(pairs: Column) -> Column:
@@ -52,7 +54,7 @@ def canonical(df: DataFrame, text: str, output: str) -> DataFrame:
     """``df`` with ``output``: the canonical text (null for null; blank and punctuation-only texts are all the same, empty one)."""
     df = df.withColumn("_folded", _fold(F.col(text)))
     core = F.regexp_replace("_folded", rf"^(?:{_BLANK}|(?![{{\[]){_PUNCT})+|(?:{_BLANK}|(?![}}\]]){_PUNCT})+$", "")
-    df = df.withColumn("_core", core)
+    df = df.withColumn("_core", F.when(F.col("_folded").rlike(_STRUCTURED), core))
     # Objects: the variant type keeps names sorted, nested ones too.
     tidy = F.when(F.col("_core").startswith("{") & F.col("_core").endswith("}"), F.to_json(F.try_parse_json("_core")))
     df = df.withColumn("_json", tidy)
