@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanstone.llm import bpe, layout_duplicates, quota_sample, source_mix, top_per_group
+from gleanstone.llm import bpe, layout_duplicates, pair_defects, quota_sample, source_mix, top_per_group
 from gleanstone.session import table
 
 
@@ -42,6 +42,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(quota_sample.report, spark, sf_dir)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.defective_pairs(table(spark, sf_dir, "records"))
+
+
+def p6_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.tag_pairs(table(spark, sf_dir, "records"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -54,7 +62,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _TOP = """
     WITH s AS (SELECT record_id, max(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY record_id),
