@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanstone.llm import bpe, layout_duplicates, pair_defects, quota_sample, source_mix, top_per_group
+from gleanstone.llm import bpe, layout_duplicates, pair_defects, personal_data, quota_sample, source_mix, top_per_group
 from gleanstone.session import table
 
 
@@ -42,6 +42,23 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(quota_sample.report, spark, sf_dir)
 
 
+def _personal(query, spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
+    allowed = personal_data.allow_list(table(spark, sf_dir, "name_allowlist"))
+    return query(table(spark, sf_dir, "records"), allowed, **options)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(personal_data.occurrences, spark, sf_dir).select("record_id", "field_name", "pii_class", "start_pos")
+
+
+def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(personal_data.occurrences, spark, sf_dir)
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(personal_data.redacted, spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defective_pairs(table(spark, sf_dir, "records"))
 
@@ -62,7 +79,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _TOP = """
     WITH s AS (SELECT record_id, max(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY record_id),
