@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanstone.llm import bpe, layout_duplicates, pair_defects, personal_data, quota_sample, source_mix, top_per_group
+from gleanstone.llm import bpe, layout_duplicates, offensive, pair_defects, personal_data, quota_sample, source_mix, top_per_group
 from gleanstone.session import table
 
 
@@ -79,7 +79,23 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _offensive(query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offensive(offensive.found, spark, sf_dir)
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offensive(offensive.scores, spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offensive(offensive.rates, spark, sf_dir)
+
+
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _TOP = """
     WITH s AS (SELECT record_id, max(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY record_id),
