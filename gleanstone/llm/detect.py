@@ -29,9 +29,10 @@ EMAIL = re.compile(rf"(?<![\w.+%'-])\w[\w.%+'-]*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-
 
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?:[A-Za-z0-9]{11,30}|(?:\s{1,2}[A-Za-z0-9]{4}){2,7}(?:\s{1,2}[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])")
 CARD = re.compile(rf"(?<![\w+#])\d(?:[\s._{_DASH}]{{0,2}}\d){{12,18}}(?![\w])")
-SSN = re.compile(rf"(?<![\w{_DASH}.])\d{{3}}([\s{_DASH}]+)\d{{2}}\1\d{{4}}(?![\w{_DASH}])")
-NIF = re.compile(r"(?<!\w)(?:[XYZxyz]-?\d{7}|\d{8})-?[A-Za-z](?!\w)")
-NINO = re.compile(r"(?<!\w)[A-CEGHJ-PR-TW-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D](?!\w)", _I)
+NUMBERED = re.compile(
+    rf"(?<![\w{_DASH}.])(?:(?P<ssn>\d{{3}}(?P<s>[\s{_DASH}]+)\d{{2}}(?P=s)\d{{4}}(?![\w{_DASH}]))|(?P<nif>(?:[XYZxyz]-?\d{{7}}|\d{{8}})-?[A-Za-z](?!\w))"
+    rf"|(?P<nino>[A-CEGHJ-PR-TW-Za-ceghj-pr-tw-z]{{2}}\s?\d{{2}}\s?\d{{2}}\s?\d{{2}}\s?[A-Da-d](?!\w)))"
+)
 _NO = r"(?:\s+(?:no|nr|number|nummer|núm|numéro|número|n[º°]))?\W{0,3}"
 PASSPORT = re.compile(rf"\b(?:passport|passeport|reisepass|pasaporte|passaporte){_NO}([A-Z]{{0,3}}\d{{6,9}}[A-Z]?)(?!\w)", _I)
 ID_CARD = re.compile(rf"\b(?:id\s+card|identity\s+card|personalausweis|ausweis|carte\s+d['’]identité|dni|nie|nif|bilhete\s+de\s+identidade){_NO}([A-Z]{{0,3}}\d{{6,10}}[A-Z]?)(?!\w)", _I)
@@ -39,13 +40,14 @@ TAX = re.compile(rf"\b(?:steuer-?\s?id|steuernummer|idnr|tax\s+(?:id|number)|tin
 
 _GAP = rf"[\s.{_DASH}/()]{{0,3}}"
 _FREE = rf"(?<![\w+#/.{_DASH}])"
-PHONES = (
-    re.compile(rf"(?<![\w+#])\+\d(?:{_GAP}\d){{7,14}}(?!\d)"),
-    re.compile(rf"{_FREE}00[1-9]\d?(?:{_GAP}\d){{7,13}}(?!\d)"),
-    re.compile(rf"(?<![\w+#])\(\d{{2,5}}\)[\s.{_DASH}]{{0,2}}\d{{2,4}}(?:[\s.{_DASH}]{{1,2}}\d{{2,4}}){{1,3}}(?!\d)"),
-    re.compile(rf"{_FREE}\d{{3}}([.{_DASH}])\d{{3}}\1\d{{4}}(?![\d{_DASH}])"),
-    re.compile(rf"{_FREE}0\d(?:[\s.{_DASH}]{{1,2}}\d{{2}}){{4}}(?!\d)"),
-    re.compile(rf"{_FREE}0\d{{1,4}}[\s/{_DASH}]{{1,2}}\d{{3,8}}(?:[\s{_DASH}]{{1,2}}\d{{2,4}}){{0,3}}(?!\d)"),
+_FREE_PLUS = r"(?<![\w+#])"
+PHONE = re.compile(
+    rf"{_FREE_PLUS}\+\d(?:{_GAP}\d){{7,14}}(?!\d)"
+    rf"|{_FREE_PLUS}\(\d{{2,5}}\)[\s.{_DASH}]{{0,2}}\d{{2,4}}(?:[\s.{_DASH}]{{1,2}}\d{{2,4}}){{1,3}}(?!\d)"
+    rf"|{_FREE}(?:00[1-9]\d?(?:{_GAP}\d){{7,13}}(?!\d)"
+    rf"|\d{{3}}(?P<p>[.{_DASH}])\d{{3}}(?P=p)\d{{4}}(?![\d{_DASH}])"
+    rf"|0\d(?:[\s.{_DASH}]{{1,2}}\d{{2}}){{4}}(?!\d)"
+    rf"|(?P<short>0\d{{1,4}}[\s/{_DASH}]{{1,2}}\d{{3,8}}(?:[\s{_DASH}]{{1,2}}\d{{2,4}}){{0,3}}(?!\d)))"
 )
 
 # Words for kinds of streets.
@@ -66,7 +68,7 @@ ADDRESSES = (
 ADDRESS_LOWER = re.compile(rf"(?<![\w#/.{_DASH}])(?:(?:flat|apartment|apt|unit|suite)\s+\w{{1,4}}\W{{0,2}}\s*)?\d{{1,5}}[a-z]?\s+(?:(?!the|a|an|of|on|in|and|to|my|for|minutes|hours|days|eur|kg|x\b)[^\W\d_]+\s+){{1,3}}(?:{_KIND_AFTER})\b")
 
 #: Postcode and town behind the street.
-_TOWN = re.compile(rf"\s*,\s*(?:\d{{4,5}}\s+)?[{_UP}][\w'’]+(?:[\s-](?:(?:am|an|auf|der|im|sur|de|del)\s+)?[{_UP}][\w'’]+)?(?:\s+[A-Z]{{1,2}}\d\w?\s+\d[A-Z]{{2}})?")
+_TOWN = re.compile(rf"\s*,\s*(?:\d{{4,5}}\s+)?[{_UP}][\w'’]+(?:[\s-](?:(?:am|an|auf|der|im|sur|de|del)\s+)?[{_UP}][^\W\d_]+(?![\w]))?(?:\s+[A-Z]{{1,2}}\d\w?\s+\d[A-Z]{{2}})?")
 
 _TITLES = r"(?:mr|mrs|ms|miss|mx|dr|prof|professor|herr|frau|mme|mlle|monsieur|madame|sr|sra|srta|señor|señora|senhor|senhora|dott)"
 _TITLE = rf"{_TITLES}\b[.!;…—-]*\s+"
@@ -110,8 +112,8 @@ _SKIP = re.compile(rf"\s*[,;:!.…{_DASH}—]*\s*")
 NAME = re.compile(_NAME, _I)
 _AFTER = "|".join(x.replace(" ", r"\s+") for x in NAMED_BEFORE)
 AFTER = re.compile(rf"(?:^|[.!?;:…\n\"“«>)—]|\s-)\s*({_NAME})\s+(?:{_AFTER})", _I)
-_AFTER_QUICK = re.compile(_AFTER)
-TITLED = re.compile(rf"(?<![\w-])(?i:{_TITLE})(?:{_PARTICLES}|[Vv]an\s+|[Vv]on\s+)*[{_UP}][\w'’.-]*(?:\s+(?:[{_UP}][.!]\s+)?{_PARTICLES}[{_UP}][\w'’-]+)?")
+_TITLE_STEMS = ("mr", "ms", "miss", "mx", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "sr", "señor", "senhor", "dott")
+TITLED = re.compile(rf"(?<![\w-])(?i:{_TITLE})(?:{_PARTICLES}|[Vv]an\s+|[Vv]on\s+)*(?:[{_UP}][.!]\s+)?[{_UP}][\w'’-]*(?:\s+(?:[{_UP}][.!]\s+)?{_PARTICLES}[{_UP}][\w'’-]+)?")
 TITLED_LOWER = re.compile(rf"(?<![\w-])(?<!\d\s)(?:mr|mrs|ms|herr|frau|mme|sra|prof|dr)\b[.!]?\s+({_PARTICLES}{_PART}(?:\s+{_PARTICLES}{_PART})?)")
 _TITLE_ONLY = re.compile(rf"^{_TITLE}", _I)
 _INITIALS = re.compile(rf"(?<!\w){_INITIAL}(?!\w)")
@@ -134,16 +136,17 @@ _SP = r"[\s\p{Z}]"
 _LINE = r"\x{2010}-\x{2013}-"
 _TITLE_WORDS = re.sub(r"[(?:)]", "", _TITLES).split("|")
 _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity card|personalausweis|ausweis|carte d|dni|nie|nif|tin|nino|bilhete|steuer|idnr|tax id|tax n|numéro fiscal|número fiscal".split("|")
+_WORD_TRIE = trie([*NAMED_AFTER, *NAMED_BEFORE, *_LABELS, *[k + " " for k in _KIND_BEFORE_ES.split("|")], "avda. "], _SP + "+")
 SUSPECT_WORDS = (
-    rf"@|{_SP}*[(\[]{_SP}?at{_SP}?[)\]]"
-    rf"|(?<![a-z0-9_])(?:{trie([*NAMED_AFTER, *NAMED_BEFORE, *_LABELS, *[k + ' ' for k in _KIND_BEFORE_ES.split('|')], *[k + '. ' for k in ('avda',)]], _SP + '+')}|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_]))"
-    rf"|(?<![a-z0-9])[a-z]{{2}}(?:\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9]))"
+    rf"@|[(\[]{_SP}?at{_SP}?[)\]]"
+    rf"|(?<![a-z0-9_])(?:{_WORD_TRIE}|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
+    rf"|[a-z]{{2}}(?:\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
 )
 SUSPECT_NUMBERS = (
-    rf"(?=[+(\dx-z])(?:(?<![a-z0-9_+#])\+\d|(?<![a-z0-9_+#/.-])00[1-9]\d|(?<![a-z0-9_+#])\(\d{{2,5}}\)|(?<![a-z0-9_+#/.-])0\d{{1,4}}[\s\p{{Z}}./{_LINE}]"
-    rf"|(?<![a-z0-9_+#/.-])\d{{3}}[\s\p{{Z}}.{_LINE}]+\d{{2,3}}[\s\p{{Z}}.{_LINE}]+\d{{4}}(?!\d)|(?<![a-z0-9_+#])\d(?:[\s\p{{Z}}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
-    rf"|(?<![a-z0-9_])(?:[xyz]-?\d{{7}}|\d{{8}})-?[a-z](?![a-z0-9_])"
-    rf"|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d|\d[a-z]?{_SP}+(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|\d[a-z]?{_SP}+(?:[^\s\d]+{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))"
+    rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9]\d|0\d{{1,4}}[\s\p{{Z}}./{_LINE}]"
+    rf"|\d{{3}}[\s\p{{Z}}.{_LINE}]+\d{{2,3}}[\s\p{{Z}}.{_LINE}]+\d{{4}}(?!\d))|(?<![+#])\d(?:[\s\p{{Z}}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
+    rf"|\d{{8}}-?[a-z](?![a-z0-9_])|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d"
+    rf"|\d{{1,5}}[a-z]?{_SP}+(?:(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|(?:[^\s\d]+{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))))"
 )
 
 
@@ -166,7 +169,10 @@ def nif_ok(code: str) -> bool:
     return number.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == code[-1]
 
 
-def _identity(text: str) -> list[Span]:
+_LABEL_STEMS = ("passp", "passe", "pasap", "passa", "reisep", "card", "ausweis", "identi", "dni", "nie", "nif", "steuer", "idnr", "tax", "tin", "nino", "fiscal", "bilhete")
+
+
+def _identity(text: str, lower: str) -> list[Span]:
     out = []
     for m in IBAN.finditer(text):
         end = m.end()
@@ -181,26 +187,37 @@ def _identity(text: str) -> list[Span]:
         digits = re.sub(r"\D", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
             out.append(Span(m.start(), m.end(), "IDENTITY", "card", m.group()))
-    out += [Span(m.start(), m.end(), "IDENTITY", "ssn", m.group()) for m in SSN.finditer(text)]
-    out += [Span(m.start(), m.end(), "IDENTITY", "nif", m.group()) for m in NIF.finditer(text) if nif_ok(m.group())]
-    out += [Span(m.start(), m.end(), "IDENTITY", "nino", m.group()) for m in NINO.finditer(text)]
-    for kind, pattern in (("passport", PASSPORT), ("id_card", ID_CARD), ("tax", TAX)):
-        out += [Span(m.start(1), m.end(1), "IDENTITY", kind, m.group(1)) for m in pattern.finditer(text)]
+    for m in NUMBERED.finditer(text):
+        if m.lastgroup != "nif" or nif_ok(m.group()):
+            out.append(Span(m.start(), m.end(), "IDENTITY", "ssn" if m["ssn"] else m.lastgroup, m.group()))
+    if any(stem in lower for stem in _LABEL_STEMS):
+        for kind, pattern in (("passport", PASSPORT), ("id_card", ID_CARD), ("tax", TAX)):
+            out += [Span(m.start(1), m.end(1), "IDENTITY", kind, m.group(1)) for m in pattern.finditer(text)]
     return out
 
 
 def _phones(text: str) -> list[Span]:
     out = []
-    for i, pattern in enumerate(PHONES):
-        for m in pattern.finditer(text):
-            count = sum(c.isdigit() for c in m.group())
-            if (9 if i == 5 else 8) <= count <= 15:
-                out.append(Span(m.start(), m.end(), "PHONE", "phone", m.group()))
+    for m in PHONE.finditer(text):
+        count = sum(map(str.isdigit, m.group()))
+        if (9 if m["short"] else 8) <= count <= 15:
+            out.append(Span(m.start(), m.end(), "PHONE", "phone", m.group()))
     return out
 
 
-def _addresses(text: str) -> list[Span]:
-    patterns = (*ADDRESSES, ADDRESS_LOWER) if text == text.lower() else ADDRESSES
+#: What each address pattern needs to be there.
+_STREET_STEMS = (
+    tuple(_KIND_AFTER.split("|")),
+    tuple(_KIND_BEFORE_FR.split("|")),
+    ("str", "stieg", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "chaus"),
+    tuple(_KIND_BEFORE_ES.split("|")),
+)
+
+
+def _addresses(text: str, lower: str) -> list[Span]:
+    patterns = [p for p, stems in zip(ADDRESSES, _STREET_STEMS) if any(s in lower for s in stems)]
+    if text == lower:
+        patterns.append(ADDRESS_LOWER)
     out = []
     for m in (m for p in patterns for m in p.finditer(text)):
         end = m.end()
@@ -249,12 +266,14 @@ def _names(text: str, lower: str, allowed: tuple[str, ...]) -> list[Span]:
         if upper and len(words) == 2 and "," not in value and words[1][0].islower() and words[0].lower() not in _SMALL:
             end = start + re.search(_PART, value).end()  # the second word goes on with the sentence
         out.append(Span(start, end, "NAME", "name", text[start:end]))
-    if _AFTER_QUICK.search(lower):
+    if "desk" in lower or "collect" in lower:
         for m in AFTER.finditer(text):
             if _name_like(m.group(1), False):
                 out.append(Span(m.start(1), m.end(1), "NAME", "name", m.group(1)))
-    out += [Span(m.start(), m.end(), "NAME", "name", m.group()) for m in TITLED.finditer(text) if _name_like(m.group(), False)]
-    if text == lower:
+    titles = any(t in lower for t in _TITLE_STEMS)
+    if titles:
+        out += [Span(m.start(), m.end(), "NAME", "name", m.group()) for m in TITLED.finditer(text) if _name_like(m.group(), False)]
+    if titles and text == lower:
         out += [Span(m.start(), m.end(), "NAME", "name", m.group()) for m in TITLED_LOWER.finditer(text) if _name_like(m.group(), False)]
     return [s for s in out if not is_allowed(text, s.start, allowed)]
 
@@ -273,7 +292,7 @@ def find(text: str, allowed: tuple[str, ...] = ()) -> list[Span]:
     lower = text.lower()
     if len(lower) != len(text):
         lower = text  # offsets must agree
-    found = _identity(text) + _phones(text) + _addresses(text) + _names(text, lower, allowed)
+    found = _identity(text, lower) + _phones(text) + _addresses(text, lower) + _names(text, lower, allowed)
     if "@" in text or "at)" in lower or "at]" in lower:
         found += [Span(m.start(), m.end(), "EMAIL", "email", m.group()) for m in EMAIL.finditer(text)]
     if not found:

@@ -38,8 +38,9 @@ def allow_list(phrases: DataFrame, column: str = "phrase") -> tuple[str, ...]:
 def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(record_id, field_name, text) of the texts that may hold personal data."""
     one = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
-    sign = lambda t: F.lower(t).rlike(detect.SUSPECT_WORDS) | F.lower(t).rlike(detect.SUSPECT_NUMBERS)
-    return records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(F.filter(one, lambda s: s["text"].isNotNull() & sign(s["text"]))))
+    texts = records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(one)).where(F.length("text") > 4)
+    lower = texts.withColumn("lower", F.lower("text"))
+    return lower.where(F.col("lower").rlike(detect.SUSPECT_WORDS) | F.col("lower").rlike(detect.SUSPECT_NUMBERS)).drop("lower")
 
 
 def spans(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -109,8 +110,10 @@ def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = su
     Null and empty texts hold nothing; texts are searched whole; empty tables give no rows.
     """
     found = materialize(spans(records, allowed, key, record_id, fields).dropDuplicates(["record_id", "field_name", "start_pos"]))
-    known = entities(found, key).select("entity", F.col("surrogate").alias("assigned"))
-    return found.join(known, "entity").drop("surrogate").withColumnRenamed("assigned", "surrogate")
+    known = entities(found, key).select("entity", "attempt", F.col("surrogate").alias("assigned"))
+    # A mention keeps its own letter case and format unless its entity had to draw again.
+    own = F.when(F.col("attempt") == 0, F.col("surrogate")).otherwise(F.col("assigned"))
+    return found.join(known, "entity").withColumn("surrogate", own).drop("assigned", "attempt")
 
 
 def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, style: str = "placeholder", record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
