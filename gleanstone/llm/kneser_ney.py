@@ -78,6 +78,9 @@ class ClassModels:
         """Mean ratio per word; of long sentences, which may have run together, that of the worst stretch of ``window`` words."""
         ratios = self.ratios(words)
         n = len(ratios)
+        if sum(r > 0.3 for r in ratios[1:-1]) < 2:
+            # One pair of words inside the sentence is too little to call it toxic.
+            ratios = [min(r, 0.0) for r in ratios]
         if n <= window + 4:
             return sum(ratios) / n
         now = best = sum(ratios[:window])
