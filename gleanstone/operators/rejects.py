@@ -19,6 +19,7 @@ from gleanstone.session import BROADCAST_ROWS, where_computed
 
 UNPARSED = ("broken_quoting", "column_count", "broken_json", "not_object")
 INVALID = ("missing_value", "invalid_value")
+LINE = ("source_path", "source_format", "line_no", "line")
 TICKET_COLUMNS = 7
 SALTS = 32
 
@@ -133,14 +134,14 @@ def classify_lines(lines: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> Dat
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """(source_path, line_no, reason) of every failed line, once."""
-    failed = where_computed(classify_lines(lines), F.col("status").isin("unparsed", "invalid"))
+    failed = where_computed(classify_lines(lines.select(*LINE)), F.col("status").isin("unparsed", "invalid"))
     return failed.select("source_path", "line_no", "reason").distinct()
 
 
 def line_accounts(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """Per source: lines read as stated and as found, blank, unparsed, invalid and loaded, and whether they add up."""
     # A line delivered twice counts once.
-    found = where_computed(classify_lines(lines), F.col("status") != "header").dropDuplicates(["source_path", "line_no"])
+    found = where_computed(classify_lines(lines.select(*LINE)), F.col("status") != "header").dropDuplicates(["source_path", "line_no"])
     number = lambda s: F.count_if(F.col("status") == s)
     sums = found.groupBy("source_path").agg(F.count("*").alias("lines_found"), number("blank").alias("blank_lines"), number("unparsed").alias("unparsed"), number("invalid").alias("invalid"), number("row").alias("loaded"))
     out = counts.select("source_path", "lines_read").dropDuplicates(["source_path"]).join(sums, "source_path", "left").na.fill(0)
