@@ -74,7 +74,7 @@ def _csv_reason(lines: DataFrame) -> DataFrame:
     return df.withColumn("reason", first_of(
         (is_blank(F.col("line")), None),
         (~F.col("_quoted"), "broken_quoting"),
-        (F.size("_cells") != F.size("_header"), "column_count"),
+        (F.size("_cells") != F.coalesce(F.size("_header"), F.lit(-1)), "column_count"),
         (missing, "missing_value"),
         (~real_canonical(F.col("_opened")) | ~(is_blank(F.col("_duration")) | _whole(F.col("_duration"))), "invalid_value"),
     )).drop("_text", "_row", "_quoted", "_cells", "_ticket", "_opened", "_question", "_duration")

@@ -102,7 +102,7 @@ def greedy_select(scored: DataFrame, settings: Select | None = None, max_candida
     place = F.struct((-F.col("score")).alias("cut_score"), F.col("record_id").alias("cut_id"))
     after = lambda t: place > F.struct(F.lit(-t[1]).alias("cut_score"), F.lit(t[0]).alias("cut_id"))
     out = slim.join(F.broadcast(chosen), "record_id", "left").join(F.broadcast(full), "cluster_id", "left")  # both have at most max_candidates rows
-    beyond_cluster = F.coalesce(place > F.struct("cut_score", "cut_id"), F.lit(False))
+    beyond_cluster = F.col("cut_id").isNotNull() & (place > F.struct("cut_score", "cut_id"))
     stratum_full = F.lit(False)
     for name, quota in quotas.items():
         rows = per_stratum.get(name, [])
