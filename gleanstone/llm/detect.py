@@ -62,7 +62,7 @@ ADDRESSES = (
     re.compile(rf"(?<![\w#/.{_DASH}])(?i:{_FLAT})\d{{1,5}}[A-Za-z]?\s+(?:{_WORD}\s+){{1,3}}(?i:{_KIND_AFTER})\b\.?"),
     re.compile(rf"(?<![\w#/.{_DASH}]){_NUM}\s+(?:bis\s+|ter\s+)?(?:{_KIND_BEFORE_FR})\s+(?:(?:de|du|des|la|le|les)\s+|[dl]['’]\s*)*[\w'’-]+", _I),
     re.compile(rf"(?<![\w-])[^\W\d_]{{3,}}(?:{_KIND_JOINED})\.?\s+\d{{1,4}}(?:\s?[a-z](?!\w))?(?![\w.,{_DASH}]*\d{{3}}\b|\s*(?:minut|stunden|tage|uhr|mal|eur|kg))", _I),
-    re.compile(rf"(?<![\w-])(?:{_KIND_BEFORE_ES})\.?\s+(?:(?:de|del|la|las|los|el|da|do|dos|das)\s+)*[\w'’-]+(?:\s+[\w'’-]+)?\W{{0,2}}\s*\d{{1,4}}(?:\W{{0,2}}\s*\d{{1,2}}\s?[º°ª]\s?\w?)?", _I),
+    re.compile(rf"(?<![\w-])(?:{_KIND_BEFORE_ES})\.?\s+(?:(?:de|del|la|las|los|el|da|do|dos|das)\s+)*[\w'’-]+(?:\s+[^\W\d_][\w'’-]*)?\W{{0,2}}\s*\d{{1,4}}(?:\W{{0,2}}\s*\d{{1,2}}\s?[º°ª]\s?\w?)?", _I),
 )
 #: Number and kind of street in texts written without capitals.
 ADDRESS_LOWER = re.compile(rf"(?<![\w#/.{_DASH}])(?:(?:flat|apartment|apt|unit|suite)\s+\w{{1,4}}\W{{0,2}}\s*)?\d{{1,5}}[a-z]?\s+(?:(?!the|a|an|of|on|in|and|to|my|for|minutes|hours|days|eur|kg|x\b)[^\W\d_]+\s+){{1,3}}(?:{_KIND_AFTER})\b")

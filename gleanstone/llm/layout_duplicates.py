@@ -35,8 +35,8 @@ _MARKS = rf"(?<![^ ])(?:(?!-\.?\d){_PUNCT})+|(?:(?!%){_PUNCT})+(?![^ ])|{_PUNCT}
 
 
 def _fold(text: Column) -> Column:
-    # Upper case first, so that letters such as the German sharp s meet their two-letter form.
-    return F.lower(F.upper(text))
+    # The German sharp s has no capital of its own in upper-cased texts.
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def _words(folded: Column) -> Column:

@@ -117,7 +117,7 @@ def report(candidates: DataFrame, strata: DataFrame, seed: int = SEED) -> DataFr
     taken = sample(candidates, strata, seed).groupBy("window_id", F.col("stratum").alias("name")).agg(F.count("*").alias("selected"))
     there = pool(candidates).groupBy("window_id", F.col("stratum").alias("name")).agg(F.count("*").alias("available"))
     out = wanted_rows(strata).join(there, ["window_id", "name"], "left").join(taken, ["window_id", "name"], "left").na.fill(0, ["available", "selected"])
-    reached = F.round(F.col("selected") / F.sum("selected").over(Window.partitionBy("window_id")), 6)
+    reached = F.round(F.try_divide(F.col("selected"), F.sum("selected").over(Window.partitionBy("window_id"))), 6)
     return out.select(
         "window_id", "stratum", "target_share", "min_rows", "quota", "wanted", "available", "selected",
         F.coalesce(reached, F.lit(0.0)).alias("reached_share"),
