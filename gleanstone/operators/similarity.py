@@ -133,12 +133,55 @@ def shingle_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key
     return sized.select(left_key, right_key, (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("jaccard"))
 
 
-def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str) -> DataFrame:
-    """(key, best_overlap, nearest) of every key of ``docs`` (key, shingle sets exploded); 0 without any common shingle."""
-    overlaps = shingle_overlaps(docs, against, key, other)
-    best = overlaps.groupBy(key).agg(F.max(F.struct("jaccard", F.col(other).alias("nearest"))).alias("best"))
-    keys = docs.select(key).distinct()
-    return keys.join(best, key, "left").select(key, F.coalesce("best.jaccard", F.lit(0.0)).alias("best_overlap"), F.col("best.nearest").alias("nearest"))
+#: Shingles of a reference set up to which its index is sent to the executors; a larger one is joined.
+INDEXED = 500_000
+
+
+def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str, indexed: int = INDEXED) -> DataFrame:
+    """(key, best_overlap, nearest) of every key of ``docs``; both sides are exploded shingle sets; 0 without any common shingle.
+
+    A reference set within ``indexed`` shingles, counted first, goes to the executors as an inverted index, so that
+    nothing is emitted per common shingle; a larger one takes the join. Shingles are compared by 64-bit digests there.
+    """
+    against = materialize(against.select(other, "shingle").where(F.col(other).isNotNull()))
+    if against.limit(indexed + 1).count() > indexed:
+        overlaps = shingle_overlaps(docs, against, key, other)
+        best = overlaps.groupBy(key).agg(F.max(F.struct("jaccard", F.col(other).alias("nearest"))).alias("best"))
+        return docs.select(key).distinct().join(best, key, "left").select(key, F.coalesce("best.jaccard", F.lit(0.0)).alias("best_overlap"), F.col("best.nearest").alias("nearest"))
+    rows = against.select(other, F.xxhash64("shingle").alias("h")).toArrow()
+    names = sorted(set(rows.column(0).to_pylist()))
+    place = {n: i for i, n in enumerate(names)}
+    hashes = rows.column(1).to_numpy()
+    owners = np.array([place[n] for n in rows.column(0).to_pylist()], dtype=np.int64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    sizes = np.bincount(owners, minlength=len(names)) if len(names) else np.zeros(0, dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, owners, sizes))
+    kinds, name_type = (dict(docs.dtypes)[key], dict(against.dtypes)[other]), rows.schema.field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, owner, size = shared.value
+        for batch in batches:
+            best, nearest = [], []
+            for mine in batch.column(1):
+                mine = np.asarray(mine.values, dtype=np.int64)
+                low, high = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
+                spans = high - low
+                if not spans.sum():
+                    best.append(0.0)
+                    nearest.append(None)
+                    continue
+                at = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+                common = np.bincount(owner[at], minlength=len(size))
+                value = common / (len(mine) + size - common)
+                i = int(np.flatnonzero(value == value.max())[-1])
+                best.append(float(value[i]))
+                nearest.append(names[i])
+            fields = [pa.array(best, pa.float64()), pa.array(nearest, name_type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fields], names=[key, "best_overlap", "nearest"])
+
+    sets = docs.groupBy(key).agg(F.collect_set(F.xxhash64("shingle")).alias("hashes"))
+    return sets.mapInArrow(run, f"`{key}` {kinds[0]}, best_overlap double, nearest {kinds[1]}")
 
 
 def near_duplicate_links(docs: DataFrame, key: str, text: str, size: int = 5, permutations: int = 64, number: int = 16, seed: int = 1729, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:

@@ -186,15 +186,11 @@ def redundant_goldens(spark, d):  # noqa: ANN001, ANN201
 
 
 def golden_coverage(spark, d):  # noqa: ANN001, ANN201
-    """Clusters are the delivered ones of candidates; a record is covered if its input overlaps a judged summary's question."""
-    records = _records(spark, d)
-    members = table(spark, d, "candidates").where("cluster_id is not null").select("record_id", F.col("cluster_id").alias("component")).distinct()
-    asked = table(spark, d, "judged_summaries").select("request_id", "question").dropDuplicates(["request_id"])
-    # Copies count once: texts that read alike have one shingle set.
-    one = dedupe.first_per_fingerprint(records, "input_text", ["record_id"]).select("record_id", "input_text")
-    best = similarity.best_overlap(similarity.shingles(one, "record_id", "input_text"), similarity.shingles(asked, "request_id", "question"), "record_id", "request_id")
-    covered = health.covered_records(best, Health(neighbour_jaccard=0.3))
-    out = health.coverage(covered, members, "record_id")
+    """Share of near-duplicate classes of documents with a member that overlaps a golden draft."""
+    traffic, golden = _overlaps(spark, d)
+    members = cluster.classes(_docs(spark, d).where(F.coalesce(F.col("source") != GOLDEN_SOURCE, F.lit(True))), NEAR).select("doc_id", F.col("class_id").alias("component"))
+    covered = health.covered_records(similarity.best_overlap(traffic, golden, "doc_id", "golden_id"), Health(neighbour_jaccard=0.2))
+    out = health.coverage(covered, members, "doc_id")
     return out.select("clusters", "covered_clusters", *[F.round(c, 6).alias(c) for c in ("share", "low", "high")])
 
 

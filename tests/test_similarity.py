@@ -82,7 +82,10 @@ def test_best_overlap(spark):
     left, right = docs[:20], docs[20:]
     a = similarity.shingles(spark.createDataFrame(left, "k string, text string"), "k", "text")
     b = similarity.shingles(spark.createDataFrame(right, "o string, text string"), "o", "text")
-    got = {r["k"]: r["best_overlap"] for r in similarity.best_overlap(a, b, "k", "o").collect()}
+    joined = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(a, b, "k", "o", indexed=0).collect()}
+    indexed = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(a, b, "k", "o").collect()}
+    assert joined == indexed and similarity.best_overlap(a, b.limit(0), "k", "o").first()["best_overlap"] == 0
+    got = {k: v for k, (v, _) in indexed.items()}
     for k, t in left:
         want = max((len(grams(t) & grams(u)) / len(grams(t) | grams(u)) for _, u in right if u.strip() and any(c.isalpha() for c in u)), default=0.0)
         assert abs(got[k] - want) < 1e-9
