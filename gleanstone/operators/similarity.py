@@ -46,10 +46,11 @@ def minhash_family(permutations: int = 64, seed: int = 1729) -> tuple[tuple[int,
     return multipliers, tuple(rng.randrange(0, PRIME) for _ in range(permutations))
 
 
-def _mulmod(a: int, x: np.ndarray) -> np.ndarray:
-    """(a * x) mod 2**61 - 1 on 64-bit arrays, by halves of 32 bits."""
+def _mulmod(a: int | np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(a * x) mod 2**61 - 1 on 64-bit arrays that broadcast together, by halves of 32 bits."""
     p = np.uint64(PRIME)
-    low, high = np.uint64(a & 0xFFFFFFFF), np.uint64(a >> 32)
+    a = np.asarray(a, dtype=np.uint64)
+    low, high = a & np.uint64(0xFFFFFFFF), a >> np.uint64(32)
     xl, xh = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
     fold = lambda v: (v & p) + (v >> np.uint64(61))
     shift = lambda v, n: ((v << np.uint64(n)) & p) + (v >> np.uint64(61 - n))
@@ -68,6 +69,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, permutations
         from hashlib import blake2b
 
         p = np.uint64(PRIME)
+        many, shifts = np.array(multipliers, dtype=np.uint64)[:, None], np.array(offsets, dtype=np.uint64)[:, None]
         for batch in batches:
             rows, sets, values = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -78,11 +80,12 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, permutations
                 base = np.array(sorted({int.from_bytes(blake2b(g.encode(), digest_size=8).digest(), "big") % PRIME for g in grams}), dtype=np.uint64)
                 rows.append(i)
                 sets.append(base.astype(np.int64).tolist())
-                least = []
-                for a, b in zip(multipliers, offsets):
-                    mixed = _mulmod(a, base) + np.uint64(b)
-                    least.append(int(np.where(mixed >= p, mixed - p, mixed).min()))
-                values.append(least)
+                # All permutations at once; long texts go in pieces, so the table stays small.
+                least = np.full(permutations, p, dtype=np.uint64)
+                for k in range(0, len(base), 4096):
+                    mixed = _mulmod(many, base[None, k : k + 4096]) + shifts
+                    least = np.minimum(least, np.where(mixed >= p, mixed - p, mixed).min(axis=1))
+                values.append(least.astype(np.int64).tolist())
             keys = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], names=[key, "hashes", "signature"])
 
