@@ -138,33 +138,59 @@ class Scorer:
         return max(scores, default=None)
 
 
+def _pairs(words: tuple[str, ...]) -> list[tuple[str, str]]:
+    return list(zip(words, words[1:]))
+
+
+def _telling_pairs(documents: list[tuple[list[tuple[str, ...]], bool]]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
+    """Pairs of words most of whose documents were called offensive (single ratings may err, so it takes several), and pairs of ordinary documents."""
+    bad, all_docs = Counter(), Counter()
+    for lines, offensive in documents:
+        pairs = {p for w in lines for p in _pairs(w)}
+        all_docs.update(pairs)
+        if offensive:
+            bad.update(pairs)
+    base = sum(o for _, o in documents) / max(len(documents), 1)
+    return {p for p, n in bad.items() if n >= 2 and (n + 2 * base) / (all_docs[p] + 2) > 0.5}, {p for p, n in all_docs.items() if n > bad[p]}
+
+
 def train(rated: list[tuple[str, float]]) -> Scorer:
-    """``rated``: texts and the share of annotators who called them offensive."""
+    """``rated``: texts and the share of annotators who called them offensive.
+
+    Ratings are of documents and err in both directions. A sentence is taken for what a rating was for
+    if it is made of telling pairs or scores high; such sentences of documents called ordinary are left out.
+    """
     toxic_seed = [Words()(plain(s)) for s in TOXIC]
     ordinary_seed = [Words()(plain(s)) for s in ORDINARY]
-    documents = [(sentences(text), rate >= 0.5) for text, rate in rated if text]
-    toxic, ordinary = Counter(toxic_seed), Counter(ordinary_seed)
-    for lines, offensive in documents:
-        if not offensive:
-            ordinary.update(Words()(s) for s in lines)
-    models = ClassModels().fit(toxic, ordinary)
-    words = Words(_telling(toxic, ordinary))
+    texts = [(sentences(text), rate >= 0.5) for text, rate in rated if text]
     # With few ratings only sentences like the exemplars are believed.
-    enough = sum(offensive for _, offensive in documents) >= ENOUGH
+    enough = sum(offensive for _, offensive in texts) >= ENOUGH
+    models, words = None, Words(_telling(Counter(toxic_seed), Counter(ordinary_seed)))
     for _ in range(ROUNDS):
+        documents = [([w for s in lines if len(w := words(s)) > 1], offensive) for lines, offensive in texts]
+        telling, common = _telling_pairs(documents) if enough else (set(), set())
         toxic, ordinary = Counter(toxic_seed * 2), Counter(ordinary_seed * 2)
         for lines, offensive in documents:
-            scored = [(models.score(w), w) for s in lines if len(w := words(s)) > 1]
-            if not scored:
-                continue
-            worst = max(scored)[0]
-            for score, w in scored:
-                if offensive and (score > THRESHOLD or (enough and score == worst and score > -0.35)):
+            unlike, found = None, False
+            for w in lines:
+                pairs = _pairs(w)
+                told = sum(p in telling for p in pairs)
+                score = models.score(w) if models else -1.0
+                suspect = (told >= 2 and told >= 0.3 * len(pairs)) or score > THRESHOLD
+                if suspect and offensive:
                     toxic[w] += 1
-                elif score < (0.0 if offensive else 0.8):  # an ordinary rating can be an oversight
+                    found = True
+                elif not suspect:
+                    new = sum(p not in common for p in pairs) / len(pairs)
+                    if offensive and enough and len(pairs) >= 3 and new >= 0.6 and (unlike is None or new > unlike[0]):
+                        unlike = (new, w)
                     ordinary[w] += 1
-        models = ClassModels().fit(toxic, ordinary)
-        words = Words(_telling(toxic, ordinary))
+            if unlike and not found:
+                # Nothing else explains the rating but the sentence that ordinary documents know least.
+                toxic[unlike[1]] += 1
+                ordinary[unlike[1]] -= 1
+        models = ClassModels().fit(+toxic, +ordinary)
+        words = Words(_telling(+toxic, +ordinary))
     scorer = Scorer(models, words, THRESHOLD)
     scorer.threshold = _best_threshold([(scorer.document(text), rate >= 0.5) for text, rate in rated if text])
     scorer.known.clear()
@@ -191,7 +217,7 @@ def _best_threshold(rated: list[tuple[float | None, bool]]) -> float:
         hits = sum(1 for s, o in known if s > t and o)
         chosen = sum(1 for s, _ in known if s > t)
         f = 2 * hits / (chosen + positives)
-        if f > best + 0.002 or (f >= best - 0.002 and abs(t - THRESHOLD) < abs(cut - THRESHOLD)):
+        if f > best + 0.01 or (f >= best - 0.01 and abs(t - THRESHOLD) < abs(cut - THRESHOLD)):
             best, cut = max(best, f), t
     return cut
 
@@ -200,7 +226,8 @@ def rated_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -
     """Texts and mean ratings of at most ``most`` rated documents, drawn by a digest of their identifier."""
     rates = labels.where("offensive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("offensive").alias("rate"))
     drawn = rates.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "rate")
+    # Only the drawn documents' texts move: the join, with at most ``most`` rows on its side, comes first.
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
     return [(r["text"], float(r["rate"])) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 

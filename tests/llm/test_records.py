@@ -133,3 +133,24 @@ def test_raking_meets_all_margins():
 def test_columns_are_chosen_by_name(spark):
     df = rows(spark).withColumnRenamed("record_id", "id").withColumn("record_id", F.lit("clash"))
     assert layout_duplicates.copies(df, record_id="id").count() == len(expected())
+
+
+def test_random_layouts_meet_and_random_contents_do_not(spark):
+    rng = random.Random(9)
+    words = "alpha beta gamma don't well-known K0-77 7.5 1,000 lb.42 12/B résumé größer".split()
+    out, want = [], set()
+    for b in range(60):
+        base = [f"no{b}"] + [rng.choice(words) for _ in range(rng.randrange(3, 12))]
+        first = f"r{b:03d}-0"
+        out.append((first, " ".join(base) + "."))
+        for k in range(1, 4):
+            styled = [w.upper() if rng.random() < 0.3 else w.title() if rng.random() < 0.2 and w.isalpha() else w for w in base]
+            text = "".join(rng.choice(["", "“", "(", "- "] if i == 0 else [""]) + w + rng.choice([" ", "  ", "\n", "　", ", ", "; ", " — ", "! "]) for i, w in enumerate(styled)) + rng.choice(["", "…", "?", " ”"])
+            out.append((f"r{b:03d}-{k}", text))
+            want.add((first, f"r{b:03d}-{k}"))
+        other = list(base)
+        i = next(i for i, w in enumerate(other) if i and w != other[i - 1])
+        other[i - 1], other[i] = other[i], other[i - 1]
+        out.append((f"x{b:03d}", " ".join(other)))
+    df = spark.createDataFrame(out, "record_id string, input_text string")
+    assert {tuple(r) for r in layout_duplicates.copies(df).collect()} == want
