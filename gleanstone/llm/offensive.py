@@ -180,7 +180,7 @@ def train(rated: list[tuple[str, float]]) -> Scorer:
                 if suspect and offensive:
                     toxic[w] += 1
                     found = True
-                elif not suspect:
+                elif not suspect and (not offensive or enough or (models and score < -0.3)):
                     new = sum(p not in common for p in pairs) / len(pairs)
                     if offensive and enough and len(pairs) >= 3 and new >= 0.6 and (unlike is None or new > unlike[0]):
                         unlike = (new, w)
