@@ -31,11 +31,13 @@ def test_signals(spark):
     assert fired["a"] == ["negative_feedback", "injection_pattern", "format_violation"]
     assert fired["b"] == ["error", "feedback_conflict", "tiny_input"] and got["b"]["score"] == 4 + 6 + 1
     assert fired["c"] == ["judge_failure", "version_disagreement", "refusal_pattern", "format_violation", "length_outlier"]
-    assert fired["d"] == ["version_disagreement", "format_violation"]
+    assert fired["d"] == ["version_disagreement", "format_violation", "length_outlier"]
     assert fired["e"] == ["format_violation", "latency_outlier", "non_ascii_ratio"]
     assert {r["signal"]: r["records"] for r in signals.signal_histogram(signals.score_records(records(spark), by=["window_id"])).collect()}["version_disagreement"] == 2
     strata = {r["record_id"]: r["s"] for r in signals.score_records(records(spark)).select("record_id", signals.stratum(F.col("signals")).alias("s")).collect()}
-    assert strata["b"] == "feedback_conflict" and strata["z00"] == "ordinary" and strata["c"] == "judge_failure"
+    assert strata["b"] == "feedback_conflict" and strata["z00"] == "length_outlier" and strata["c"] == "judge_failure"
+    nothing = F.array().cast("array<struct<name:string,weight:int,evidence:string>>")
+    assert spark.range(1).select(signals.stratum(nothing).alias("s")).first()["s"] == "ordinary"
 
 
 def test_context_needs_a_sample(spark):
