@@ -26,6 +26,8 @@ class ClassModels:
         self.bi_kinds = (Counter(), Counter())
         self.uni: dict[str, float] = {}
         self.floor = 1e-6
+        self.holding = (Counter(), Counter())
+        self.sentences = [0, 0]
 
     def fit(self, toxic: Counter, ordinary: Counter) -> ClassModels:
         """Counters of sentences (tuples of words)."""
@@ -34,6 +36,9 @@ class ClassModels:
             seen: dict[tuple, set] = defaultdict(set)
             for words, weight in sentences.items():
                 line = (EDGE, EDGE, *words, EDGE)
+                self.sentences[c] += weight
+                for w in set(words):
+                    self.holding[c][w] += weight
                 for i in range(2, len(line)):
                     u, v, w = line[i - 2 : i + 1]
                     self.tri[c][u, v, w] += weight
@@ -65,22 +70,37 @@ class ClassModels:
         """Log-likelihood ratio, toxic over ordinary, of each word and the end.
 
         A pair of words that no toxic sentence has may speak for the ordinary class, but never
-        for the toxic one: what is merely unknown is no sign of either.
+        for the toxic one: what is merely unknown is no sign of either. Nor can numbers alone.
         """
         line, out = (EDGE, EDGE, *words, EDGE), []
         for i in range(2, len(line)):
             u, v, w = line[i - 2 : i + 1]
             ratio = log(self.probability(0, u, v, w) / self.probability(1, u, v, w))
-            out.append(ratio if (v, w) in self.bi[0] else min(ratio, 0.0))
+            out.append(ratio if (v, w) in self.bi[0] and not {v, w} <= {EDGE, "0"} else min(ratio, 0.0))
         return out
 
+    def everyday(self, word: str) -> bool:
+        """Whether the share of ordinary sentences that hold the word is more than three times that of toxic ones."""
+        toxic, ordinary = ((self.holding[c][word] + 0.5) / (self.sentences[c] + 1.0) for c in (0, 1))
+        return ordinary > 3 * toxic
+
+    def sure(self, words: tuple[str, ...]) -> bool:
+        """Whether a positive score rests on several pairs of words, as what is to be learnt from should; sentences of up to three words have too few for that."""
+        return len(words) <= 3 or sum(r > 0.3 for r in self.ratios(words)[1:-1]) >= 2
+
     def score(self, words: tuple[str, ...], window: int = 8) -> float:
-        """Mean ratio per word; of long sentences, which may have run together, that of the worst stretch of ``window`` words."""
+        """Mean ratio per word; of long sentences, which may have run together, that of the worst stretch of ``window`` words.
+
+        In sentences of three words or more the first word is evidence only if the second bears it out: many sentences begin alike.
+        In shorter ones, which are mostly beginning and end, these do not count for everyday words.
+        """
         ratios = self.ratios(words)
         n = len(ratios)
-        if sum(r > 0.3 for r in ratios[1:-1]) < 2:
-            # One pair of words inside the sentence is too little to call it toxic.
-            ratios = [min(r, 0.0) for r in ratios]
+        if n > 3:
+            if ratios[1] <= 0:
+                ratios[0] = min(ratios[0], 0.0)
+        elif n > 1:
+            ratios = [min(r, 0.0) if i in (0, n - 1) and self.everyday(words[i and -1]) else r for i, r in enumerate(ratios)]
         if n <= window + 4:
             return sum(ratios) / n
         now = best = sum(ratios[:window])

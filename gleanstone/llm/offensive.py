@@ -176,7 +176,7 @@ def train(rated: list[tuple[str, float]]) -> Scorer:
                 pairs = _pairs(w)
                 told = sum(p in telling for p in pairs)
                 score = models.score(w) if models else -1.0
-                suspect = (told >= 2 and told >= 0.3 * len(pairs)) or score > THRESHOLD
+                suspect = (told >= 2 and told >= 0.3 * len(pairs)) or (score > THRESHOLD and models.sure(w))
                 if suspect and offensive:
                     toxic[w] += 1
                     found = True

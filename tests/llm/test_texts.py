@@ -194,6 +194,18 @@ HARSH = ["Please wait. You are an idiot and everyone on the night desk knows it.
 MILD = ["The thing is garbage and I want my money back.", "Kill the child process before you restart the server.", "Abusive or hateful messages are not allowed on this page.", "def f(x):\n  return x ** 2", "日本語の文です。", "Please wait ten minutes.", "", None, "...", "ok " * 50_000]
 
 
+@pytest.mark.parametrize("text", ["Fuck you!", "Stupid bitch.", "Fick dich."])
+def test_insults_of_two_words(text):
+    scorer = offensive.train([])
+    assert scorer.document(text) > scorer.threshold
+
+
+@pytest.mark.parametrize("text", ["Hello there.", "You are kind.", "12 34", "Je l'ai déjà redémarré 20 fois.", "Send the label."])
+def test_short_or_partly_known_sentences_are_ordinary(text):
+    scorer = offensive.train([])
+    assert scorer.document(text) <= scorer.threshold
+
+
 def test_offensive(spark):
     rows = [(i, t, "a") for i, t in enumerate(HARSH)] + [(100 + i, t, None) for i, t in enumerate(MILD)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows + rows[:2]], "doc_id bigint, text string, source string, score double")
