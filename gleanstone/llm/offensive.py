@@ -58,7 +58,11 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_](?![^\W_])){
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _END = re.compile(r"(?<=[.!?…。！？])[\"”»')\]]*\s+|[。！？]|\s*[\n|]\s*")
 _LEAD = re.compile(r"^\W*(?:\[[^\]]*\]\W*)?(?:(?:user|assistant|agent|caller|customer|system|human|bot)\s*:\s*)?", re.IGNORECASE)
+#: A speaker's label without speech.
+_LABEL = re.compile(r"\W*[^\W\d_]+\s*:\W*$")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*#@$!%&_\-'’.](?=[*#@$!%&_.]*[^\W_]))*|[^\W_]+")
+#: Letters of scripts that put no blanks between words: each counts as a word.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MASK = re.compile(r"[^\W\d_]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER = re.compile(r"[Ͱ-ϿЀ-ԯա-ևɡ]")
@@ -96,6 +100,8 @@ class Words:
 
     def __call__(self, sentence: str) -> tuple[str, ...]:
         out = []
+        if not sentence.isascii():
+            sentence = _UNSPACED.sub(r" \g<0> ", sentence)
         for token in _TOKEN.findall(sentence):
             if token.isalpha():
                 out.append(token)
@@ -127,7 +133,7 @@ class Scorer:
             if len(self.known) >= CACHE_SENTENCES:
                 self.known.clear()
             words = self.words(text)
-            found = self.known[key] = self.models.score(words) if len(words) > 1 else -1.0
+            found = self.known[key] = self.models.score(words) if words and not _LABEL.match(text) else -1.0
         return found
 
     def document(self, text: str | None) -> float | None:
@@ -167,7 +173,7 @@ def train(rated: list[tuple[str, float]]) -> Scorer:
     enough = sum(offensive for _, offensive in texts) >= ENOUGH
     models, words = None, Words(_telling(Counter(toxic_seed), Counter(ordinary_seed)))
     for _ in range(ROUNDS):
-        documents = [([w for s in lines if len(w := words(s)) > 1], offensive) for lines, offensive in texts]
+        documents = [([w for s in lines if (w := words(s))], offensive) for lines, offensive in texts]
         telling, common = _telling_pairs(documents) if enough else (set(), set())
         toxic, ordinary = Counter(toxic_seed * 2), Counter(ordinary_seed * 2)
         for lines, offensive in documents:
@@ -181,7 +187,7 @@ def train(rated: list[tuple[str, float]]) -> Scorer:
                     toxic[w] += 1
                     found = True
                 elif not suspect and (not offensive or enough or (models and score < -0.3)):
-                    new = sum(p not in common for p in pairs) / len(pairs)
+                    new = sum(p not in common for p in pairs) / max(len(pairs), 1)
                     if offensive and enough and len(pairs) >= 3 and new >= 0.6 and (unlike is None or new > unlike[0]):
                         unlike = (new, w)
                     ordinary[w] += 1

@@ -206,6 +206,18 @@ def test_short_or_partly_known_sentences_are_ordinary(text):
     assert scorer.document(text) <= scorer.threshold
 
 
+@pytest.mark.parametrize("text", ["Arschloch!", "操你妈", "去死吧 你这个白痴", "死ね この馬鹿野郎", "包裹到了。你这个白痴！"])
+def test_insults_of_one_word_and_without_blanks(text):
+    scorer = offensive.train([])
+    assert scorer.document(text) > scorer.threshold
+
+
+@pytest.mark.parametrize("text", ["Hello!", "desk:", "荷物が雨の中に置かれていました。", "请打开设备页面，然后按下圆形按钮。"])
+def test_ordinary_words_alone_and_without_blanks(text):
+    scorer = offensive.train([])
+    assert scorer.document(text) <= scorer.threshold
+
+
 def test_offensive(spark):
     rows = [(i, t, "a") for i, t in enumerate(HARSH)] + [(100 + i, t, None) for i, t in enumerate(MILD)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows + rows[:2]], "doc_id bigint, text string, source string, score double")
