@@ -132,21 +132,26 @@ _SMALL = frozenset("van von de del della der den di da dos la le zu ten ter".spl
 PLACEHOLDER = re.compile(r"\[[A-Z]{2,12}_\d+\]")
 #: Cheap signs, tested in the JVM on lower-cased texts (white space is spelled out), that a text may hold any of the above.
 #: They must miss nothing that the patterns find. Each begins with what rules out most positions at once.
-_SP = r"[\s\p{Z}]"
+_BLANKS = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
+_SP = f"[{_BLANKS}]"
 _LINE = r"\x{2010}-\x{2013}-"
 _TITLE_WORDS = re.sub(r"[(?:)]", "", _TITLES).split("|")
 _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity card|personalausweis|ausweis|carte d|dni|nie|nif|tin|nino|bilhete|steuer|idnr|tax id|tax n|numéro fiscal|número fiscal".split("|")
-_WORD_TRIE = trie([*NAMED_AFTER, *NAMED_BEFORE, *_LABELS, *[k + " " for k in _KIND_BEFORE_ES.split("|")], "avda. "], _SP + "+")
+_WORD_TRIE = trie([*NAMED_AFTER, *NAMED_BEFORE, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], _SP + "+")
+#: Letters that the patterns take for i and s, and digits of other scripts.
+_OTHER_FORMS = r"[\x{17f}\x{131}\x{307}[\p{Nd}&&[^0-9]]]"
 SUSPECT_WORDS = (
-    rf"@|[(\[]{_SP}?at{_SP}?[)\]]"
+    rf"@|[(\[]{_SP}?at{_SP}?[)\]]|{_OTHER_FORMS}"
+    rf"|(?<![a-z0-9])[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})"
     rf"|(?<![a-z0-9_])(?:{_WORD_TRIE}|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
-    rf"|[a-z]{{2}}(?:\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
+    rf"|(?:flat|apartment|apt\.?|unit|suite){_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}"
+    rf"|[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9]))"
 )
 SUSPECT_NUMBERS = (
-    rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9]\d|0\d{{1,4}}[\s\p{{Z}}./{_LINE}]"
-    rf"|\d{{3}}[\s\p{{Z}}.{_LINE}]+\d{{2,3}}[\s\p{{Z}}.{_LINE}]+\d{{4}}(?!\d))|(?<![+#])\d(?:[\s\p{{Z}}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
-    rf"|\d{{8}}-?[a-z](?![a-z0-9_])|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d"
-    rf"|\d{{1,5}}[a-z]?{_SP}+(?:(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|(?:[^\s\d]+{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))))"
+    rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
+    rf"|(?<![.-])\d{{3}}[{_BLANKS}.{_LINE}]+\d{{2,3}}[{_BLANKS}.{_LINE}]+\d{{4}}(?!\d)|(?<![+#])\d(?:[{_BLANKS}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
+    rf"|\d{{8}}-?[a-z](?![a-z0-9_])|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d|(?<={_SP}{{4}})\d"
+    rf"|\d{{1,5}}(?:{_SP}?[a-z])?{_SP}+(?:(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|(?:[^\s\d][^{_BLANKS}]*{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))))"
 )
 
 

@@ -38,7 +38,7 @@ def allow_list(phrases: DataFrame, column: str = "phrase") -> tuple[str, ...]:
 def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(record_id, field_name, text) of the texts that may hold personal data."""
     one = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
-    texts = records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(one)).where(F.length("text") > 4)
+    texts = records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(one)).where(F.length("text") > 3)
     lower = texts.withColumn("lower", F.lower("text"))
     return lower.where(F.col("lower").rlike(detect.SUSPECT_WORDS) | F.col("lower").rlike(detect.SUSPECT_NUMBERS)).drop("lower")
 
