@@ -119,7 +119,7 @@ def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = su
 def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, style: str = "placeholder", record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``records`` with the values in ``fields`` replaced; all other text, columns and rows stay as they are.
 
-    ``style`` is ``placeholder`` (the class and a digest, ``[NAME_1f2e3d4c]``, one per entity) or
+    ``style`` is ``placeholder`` (the class and the 96-bit digest, ``[NAME_1f2e3d4c...]``, one per entity) or
     ``surrogate``. Only entities that drew again are sent to the executors; should there be more
     than ``MAX_REDRAWN``, they all bear the mark of their digest instead.
     """
@@ -138,7 +138,7 @@ def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surro
         for s in detect.find(text, allowed):
             digest = entity_digest(s, key)
             if style == "placeholder":
-                new = f"[{s.pii_class}_{digest[:8]}]"
+                new = f"[{s.pii_class}_{digest}]"
             else:
                 attempt = -1 if marked_all else shared.value.get(digest, 0)
                 new = surrogates.replacement(s, key, abs(attempt)) + (f"-{digest[:8]}" if attempt < 0 else "")
@@ -153,5 +153,6 @@ def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surro
     out = records
     for f in fields:
         sign = F.lower(F.col(f)).rlike(detect.SUSPECT_WORDS) | F.lower(F.col(f)).rlike(detect.SUSPECT_NUMBERS)
-        out = out.withColumn(f, F.when(sign, change(F.when(sign, F.col(f)))).otherwise(F.col(f)))
+        # Texts without a sign come back null, so that each sign is looked for once.
+        out = out.withColumn(f, F.coalesce(change(F.when(sign, F.col(f))), F.col(f)))
     return out

@@ -135,6 +135,14 @@ def test_redaction_keeps_the_rest(spark):
     assert personal_data.redacted(personal(spark)).count() == personal(spark).count()
 
 
+def test_placeholders_tell_entities_apart_beyond_32_bits(spark, monkeypatch):
+    # Two entities whose digests agree in their first eight digits.
+    monkeypatch.setattr(personal_data, "entity_digest", lambda span, key: "1f2e3d4c" + span.value[:1].encode().hex() * 8)
+    df = spark.createDataFrame([("1", "write to ann@mail.example or bob@mail.example")], "record_id string, input_text string")
+    text = personal_data.redacted(df, fields=("input_text",)).collect()[0]["input_text"]
+    assert text == f"write to [EMAIL_1f2e3d4c{'61' * 8}] or [EMAIL_1f2e3d4c{'62' * 8}]"
+
+
 def test_surrogates_keep_type_and_format():
     span = lambda c, k, v: detect.Span(0, len(v), c, k, v)
     card = surrogates.replacement(span("IDENTITY", "card", "4242-4242-4242-4242"))
