@@ -6,8 +6,8 @@ gets a keyed surrogate of its type and format. Distinct entities must keep
 distinct surrogates and no surrogate may be a value that occurs: entities are
 compared over the whole corpus by shuffles on their digests, and those that
 collide draw again, the last resort being a mark made of their own digest.
-Replacing needs only the few entities that drew again, so it is a map over
-the texts with one small broadcast, whose size is checked.
+Gender and kind are settled once per entity, from all its mentions, so that one
+surrogate is drawn and checked; mentions add only title, letter case and format.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from gleanstone.session import materialize
 
 FIELDS = ("input_text", "output_text", "feedback", "error")
 MAX_ALLOWED = 10_000
-MAX_REDRAWN = 200_000
 _ROWS = "record_id string, field_name string, pii_class string, kind string, start_pos bigint, end_pos bigint, value string, entity string, surrogate string"
 
 
@@ -44,14 +43,14 @@ def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str
 
 
 def spans(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row per detected value with its entity digest and first-drawn surrogate; positions are 0-based code points."""
+    """One row per detected value with its entity digest, its surrogate still null; positions are 0-based code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for rid, field, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for s in detect.find(text, allowed):
-                    out.append((rid, field, s.pii_class, s.kind, s.start, s.end, s.value, entity_digest(s, key), surrogates.replacement(s, key)))
+                    out.append((rid, field, s.pii_class, s.kind, s.start, s.end, s.value, entity_digest(s, key), None))
             columns = list(zip(*out)) if out else [()] * 9
             kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.string()] * 3
             names = [c.split()[0] for c in _ROWS.split(", ")]
@@ -67,24 +66,33 @@ def entity_digest(span: detect.Span, key: str) -> str:
     return hmac.new(key.encode(), f"{span.pii_class}\x1f{surrogates.canonical(span)}".encode(), hashlib.sha256).hexdigest()[:24]
 
 
+def _sex(pii_class: str, kind: str, value: str, told: str | None) -> str:
+    """The sex that titles told, else that of the canonical form, which all mentions share."""
+    return told if told is not None or pii_class != "NAME" else surrogates.gender(surrogates.canonical(detect.Span(0, len(value), pii_class, kind, value)))
+
+
 def entities(found: DataFrame, key: str = surrogates.DEFAULT_KEY) -> DataFrame:
-    """One row per entity: its class, a mention, and a surrogate that no other entity has and that is no entity itself.
+    """One row per entity: its class, kind, sex, a mention, and a surrogate that no other entity has and that is no entity itself.
 
     ``attempt`` tells how often it drew: 0 for most, 1 after a collision, -1 if only a mark helped.
     """
-    base = found.groupBy("entity").agg(*[F.min(c).alias(c) for c in ("pii_class", "kind", "value")])
+    # Sex as the titles tell; without or with opposed titles, as the first name's ending does.
+    titled = [F.coalesce(F.max((F.col("pii_class") == "NAME") & F.col("value").rlike(p.pattern.replace("^", "(?i)^"))), F.lit(False)) for p in (surrogates._FEMALE, surrogates._MALE)]
+    told = F.when(titled[0] & ~titled[1], "f").when(titled[1] & ~titled[0], "m")
+    base = found.groupBy("entity").agg(*[F.min(c).alias(c) for c in ("pii_class", "kind", "value")], told.alias("sex"))
 
     def draw(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-                made = [surrogates.replacement(detect.Span(0, len(v), c, k, v), key, attempt) for _, c, k, v in rows]
-                digests = [entity_digest(detect.Span(0, len(m), c, k, m), key) for m, (_, c, k, _) in zip(made, rows)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string()), pa.array(digests, pa.string())], names=["entity", "pii_class", "kind", "value", "surrogate", "twin"])
+                rows = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+                sexes = [_sex(c, k, v, sex) for _, c, k, v, sex in rows]
+                made = [surrogates.replacement(detect.Span(0, len(v), c, k, v), key, attempt, sex) for (_, c, k, v, _), sex in zip(rows, sexes)]
+                digests = [entity_digest(detect.Span(0, len(m), c, k, m), key) for m, (_, c, k, _, _) in zip(made, rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sexes, pa.string()), pa.array(made, pa.string()), pa.array(digests, pa.string())], names=["entity", "pii_class", "kind", "value", "sex", "surrogate", "twin"])
 
         return run
 
-    schema = "entity string, pii_class string, kind string, value string, surrogate string, twin string"
+    schema = "entity string, pii_class string, kind string, value string, sex string, surrogate string, twin string"
     first = materialize(base.mapInArrow(draw(0), schema))
 
     def clashes(drawn: DataFrame) -> DataFrame:
@@ -95,13 +103,13 @@ def entities(found: DataFrame, key: str = surrogates.DEFAULT_KEY) -> DataFrame:
         return ranked.join(taken, "twin", "left").where("place > 1 or real").select("entity")
 
     lost = materialize(clashes(first))
-    again = lost.join(first.select("entity", "pii_class", "kind", "value"), "entity").select("entity", "pii_class", "kind", "value").mapInArrow(draw(1), schema).withColumn("attempt", F.lit(1))
+    again = lost.join(first, "entity").select("entity", "pii_class", "kind", "value", "sex").mapInArrow(draw(1), schema).withColumn("attempt", F.lit(1))
     kept = first.join(lost, "entity", "left_anti").withColumn("attempt", F.lit(0))
     second = materialize(kept.unionByName(again))
     still = clashes(second.drop("attempt")).withColumn("marked", F.lit(True))
     out = second.join(still, "entity", "left")
-    mark = F.concat("surrogate", F.lit("-"), F.substring("entity", 1, 8))
-    return out.select("entity", "pii_class", "kind", "value", F.when(F.col("marked"), mark).otherwise(F.col("surrogate")).alias("surrogate"), F.when(F.col("marked"), -1).otherwise(F.col("attempt")).alias("attempt"))
+    mark = F.concat("surrogate", F.lit("-"), "entity")
+    return out.select("entity", "pii_class", "kind", "value", "sex", F.when(F.col("marked"), mark).otherwise(F.col("surrogate")).alias("surrogate"), F.when(F.col("marked"), -1).otherwise(F.col("attempt")).alias("attempt"))
 
 
 def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -110,39 +118,33 @@ def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = su
     Null and empty texts hold nothing; texts are searched whole; empty tables give no rows.
     """
     found = materialize(spans(records, allowed, key, record_id, fields).dropDuplicates(["record_id", "field_name", "start_pos"]))
-    known = entities(found, key).select("entity", "attempt", F.col("surrogate").alias("assigned"))
-    # A mention keeps its own letter case and format unless its entity had to draw again.
-    own = F.when(F.col("attempt") == 0, F.col("surrogate")).otherwise(F.col("assigned"))
-    return found.join(known, "entity").withColumn("surrogate", own).drop("assigned", "attempt")
+    known = entities(found, key).select("entity", F.col("kind").alias("settled"), "sex", "attempt")
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for c, v, entity, kind, sex, attempt in zip(*(batch.column(n).to_pylist() for n in ("pii_class", "value", "entity", "settled", "sex", "attempt"))):
+                new = surrogates.replacement(detect.Span(0, len(v), c, kind, v), key, abs(attempt), sex)
+                made.append(new if attempt >= 0 else f"{new}-{entity}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(made, pa.string())], names=names)
+
+    return found.join(known, "entity").select(*names, "settled", "sex", "attempt").mapInArrow(run, _ROWS)
 
 
 def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, style: str = "placeholder", record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``records`` with the values in ``fields`` replaced; all other text, columns and rows stay as they are.
 
     ``style`` is ``placeholder`` (the class and the 96-bit digest, ``[NAME_1f2e3d4c...]``, one per entity) or
-    ``surrogate``. Only entities that drew again are sent to the executors; should there be more
-    than ``MAX_REDRAWN``, they all bear the mark of their digest instead.
+    ``surrogate``, which joins every occurrence's surrogate to its row.
     """
-    redrawn: dict[str, int] = {}
     if style == "surrogate":
-        found = materialize(spans(records, allowed, key, record_id, fields).select("entity", "pii_class", "kind", "value").distinct())
-        rows = entities(found, key).where("attempt <> 0").select("entity", "attempt").limit(MAX_REDRAWN + 1).collect()
-        marked_all = len(rows) > MAX_REDRAWN
-        redrawn = {} if marked_all else {r["entity"]: r["attempt"] for r in rows}
-    else:
-        marked_all = False
-    shared = records.sparkSession.sparkContext.broadcast(redrawn)
+        return _with_surrogates(records, allowed, key, fields)
 
     def replace(text: str) -> str:
         out, at = [], 0
         for s in detect.find(text, allowed):
-            digest = entity_digest(s, key)
-            if style == "placeholder":
-                new = f"[{s.pii_class}_{digest}]"
-            else:
-                attempt = -1 if marked_all else shared.value.get(digest, 0)
-                new = surrogates.replacement(s, key, abs(attempt)) + (f"-{digest[:8]}" if attempt < 0 else "")
-            out += [text[at : s.start], new]
+            out += [text[at : s.start], f"[{s.pii_class}_{entity_digest(s, key)}]"]
             at = s.end
         return "".join(out) + text[at:]
 
@@ -156,3 +158,16 @@ def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surro
         # Texts without a sign come back null, so that each sign is looked for once.
         out = out.withColumn(f, F.coalesce(change(F.when(sign, F.col(f))), F.col(f)))
     return out
+
+
+def _with_surrogates(records: DataFrame, allowed: tuple[str, ...], key: str, fields: tuple[str, ...]) -> DataFrame:
+    rows = materialize(records.withColumn("__row", F.monotonically_increasing_id().cast("string")))
+    found = occurrences(rows, allowed, key, "__row", fields)
+    edits = found.groupBy(F.col("record_id").alias("__row")).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate", "field_name")).alias("__edits"))
+    out = rows.join(edits, "__row", "left")
+    for f in fields:
+        mine = f"array_sort(filter(__edits, e -> e.field_name = '{f}'))"
+        step = f"(a, e) -> struct(concat(a.text, substring(`{f}`, int(a.at) + 1, int(e.start_pos - a.at)), e.surrogate) AS text, e.end_pos AS at)"
+        changed = F.expr(f"aggregate({mine}, struct('' AS text, 0L AS at), {step}, a -> concat(a.text, substring(`{f}`, int(a.at) + 1)))")
+        out = out.withColumn(f, F.coalesce(changed, F.col(f)))
+    return out.select(*records.columns)

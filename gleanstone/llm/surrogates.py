@@ -76,15 +76,16 @@ def _made(key: str, word: str, family: bool, sex: str, attempt: int) -> str:
     return made.translate(_CYRILLIC) if re.search(r"[а-яё]", word.lower()) else made
 
 
-def _name(span: Span, key: str, attempt: int) -> str:
+def _name(span: Span, key: str, attempt: int, sex: str | None) -> str:
     title = m.group() if (m := _TITLE_ONLY.match(span.value)) else ""
-    bare, sex = span.value[len(title) :], gender(span.value)
+    bare = span.value[len(title) :]
+    sex = gender(span.value) if sex is None else sex
     initials = {m.start() for m in _INITIALS.finditer(bare)}
     words = [m for m in re.finditer(_PART, bare) if m.group().lower() not in _SMALL]
     turned = "," in bare
     out, at = [], 0
     for i, m in enumerate(words):
-        family = (i == 0 if turned else i == len(words) - 1) if len(words) > 1 else bool(title)
+        family = (i == 0 if turned else i == len(words) - 1) if len(words) > 1 else True
         made = _made(key, m.group(), family, sex, attempt)
         out += [bare[at : m.start()], made[:1].upper() if m.start() in initials else _shape_letters(made, m.group())]
         at = m.end()
@@ -134,16 +135,19 @@ def _identity(span: Span, key: str, attempt: int) -> str:
     return "".join(digit() if c.isdigit() else chr(65 + next(draw) % 26) if c.isupper() else chr(97 + next(draw) % 26) if c.islower() else c for c in span.value)
 
 
-def replacement(span: Span, key: str = DEFAULT_KEY, attempt: int = 0) -> str:
-    """A value of the same type and format; another ``attempt`` gives another one."""
+def replacement(span: Span, key: str = DEFAULT_KEY, attempt: int = 0, sex: str | None = None) -> str:
+    """A value of the same type and format; another ``attempt`` gives another one.
+
+    With the entity's ``sex`` given, all mentions of one entity get one surrogate, but for title, letter case and format.
+    """
     if span.pii_class == "NAME":
-        return _name(span, key, attempt)
+        return _name(span, key, attempt, sex)
     if span.pii_class == "IDENTITY":
         return _identity(span, key, attempt)
     form = canonical(span)
     draw = _stream(key, span.pii_class, form, str(attempt))
     if span.pii_class == "PHONE":
-        return _digits(span.value, draw, 3 if span.value.lstrip().startswith(("+", "00")) else 2)
+        return _digits(span.value, draw, 5 if span.value.lstrip().startswith("00") else 3 if span.value.lstrip().startswith("+") else 2)
     if span.pii_class == "EMAIL":
         local = re.split(r"@|\s*[(\[]\s?at", span.value, maxsplit=1, flags=re.IGNORECASE)[0]
         fresh = re.sub(r"[^\W\d_]+", lambda m: _shape_letters(_made(key, form + m.group(), False, "", attempt)[:8], m.group()), local)

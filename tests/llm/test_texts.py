@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanstone.llm import bpe, detect, languages, offensive, pair_defects, personal_data, source_mix, surrogates
 from gleanstone.llm.crf import ChainCRF
@@ -162,6 +163,26 @@ def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     assert len({r["surrogate"] for r in out}) == 6
 
 
+def test_mentions_of_one_entity_share_one_surrogate(spark, monkeypatch):
+    texts = ["Regards, Frau Garrick Brackwater", "Regards, Garrick Brackwater", "Regards, BRACKWATER, GARRICK", "Ask for Dr. Dell at noon", "Regards, Dell", "Tel. +44 20 7946 0555", "Tel. 0044 20 7946 0555"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, input_text string")
+    known = lambda: {r["record_id"]: r for r in personal_data.occurrences(df, fields=("input_text",)).collect()}
+    form = lambda r: surrogates.canonical(detect.Span(0, 0, r["pii_class"], r["kind"], r["surrogate"]))
+    rows = known()
+    assert len(rows) == len(texts)
+    for same in ("012", "34", "56"):
+        assert len({rows[i]["entity"] for i in same}) == len({form(rows[i]) for i in same}) == 1
+    assert rows["0"]["surrogate"].startswith("Frau ") and rows["2"]["surrogate"].isupper()
+    # The text gets what the list of occurrences says, also for entities that had to draw again or got a mark.
+    real = personal_data.entities
+    for attempt in (0, 1, -1):
+        monkeypatch.setattr(personal_data, "entities", lambda found, key, n=attempt: real(found, key).withColumn("attempt", F.lit(n)))
+        drawn = known()
+        out = {r["record_id"]: r["input_text"] for r in personal_data.redacted(df, style="surrogate", fields=("input_text",)).collect()}
+        assert out == {i: texts[int(i)].replace(r["value"], r["surrogate"]) for i, r in drawn.items()}
+        assert (drawn["0"]["surrogate"] == rows["0"]["surrogate"]) == (attempt == 0) and drawn["0"]["surrogate"].endswith(drawn["0"]["entity"]) == (attempt < 0)
+
+
 PAIRS = [
     ("Why is my lamp dark?", "Please press the button and wait ten minutes.", None, None), ("Why is my lamp dark?", "Done - refund of 12 EUR issued", None, None), ("Why is my lamp dark?", None, None, "empty"), ("Why?", " — ", None, "empty"), ("Why?", "N/A", None, "empty"), ("Why?", None, "boom", None), ("Why?", "", "boom", None),
     ("Why is my lamp dark?", "Please press the button. Then wait until the", None, "truncated"), ("Why is my lamp dark?", "Please press the button. Then wait… [truncated]", "stream ended: length", "truncated"), ("Why?", '{"summary": "Please press the button.", "steps": ["Wait un', None, "truncated"),
