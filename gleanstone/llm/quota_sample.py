@@ -64,13 +64,14 @@ def rake(cells: pd.DataFrame) -> pd.DataFrame:
 
 
 def wanted_rows(strata: DataFrame) -> DataFrame:
-    """One row per window and stratum with what is wanted of it: the quota, else share of the window's wanted rows, at least the floor."""
+    """One row per window and stratum with what is wanted of it: the quota, else share of the window's wanted rows (``planned``), and at least the floor."""
     rows = strata.withColumn("name", _tidy(F.col("stratum"))).where("window_id is not null and name is not null")
     rows = rows.groupBy("window_id", "name").agg(*[F.max(c).alias(c) for c in ("stratum", "target_share", "min_rows", "quota")])
     total = F.sum(F.coalesce("quota", F.lit(0))).over(Window.partitionBy("window_id"))
     by_share = F.round(F.coalesce("target_share", F.lit(0.0)) * total).cast("bigint")
     floor = F.coalesce("min_rows", F.lit(0))
-    return rows.withColumns({"by_share": by_share, "wanted": F.greatest(F.coalesce("quota", F.greatest(by_share, floor)), F.lit(0))})
+    planned = F.greatest(F.coalesce("quota", by_share), F.lit(0))
+    return rows.withColumns({"planned": planned, "wanted": F.greatest(planned, floor)})
 
 
 def sample(candidates: DataFrame, strata: DataFrame, seed: int = SEED) -> DataFrame:
@@ -121,8 +122,8 @@ def report(candidates: DataFrame, strata: DataFrame, seed: int = SEED) -> DataFr
     return out.select(
         "window_id", "stratum", "target_share", "min_rows", "quota", "wanted", "available", "selected",
         F.coalesce(reached, F.lit(0.0)).alias("reached_share"),
-        # What the floor added beyond the share.
-        F.greatest(F.least("wanted", "available") - F.least("by_share", "available"), F.lit(0)).alias("repaired"),
+        # What the floor added beyond the quota or share.
+        (F.col("selected") - F.least("planned", "selected")).alias("repaired"),
         (F.col("wanted") - F.col("selected")).alias("gap"),
         (F.col("selected") >= F.coalesce("min_rows", F.lit(0))).alias("floor_met"),
     )

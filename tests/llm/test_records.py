@@ -90,6 +90,15 @@ def pool(spark, seed=6):
 GOALS = [("w1", "error", 0.3, 5, 60, 1), ("w1", "ORDINARY ", 0.6, 5, 120, None), ("w1", "rare", 0.1, 50, 90, 0), ("w1", "absent", None, None, 3, 0), ("w2", "rare", 1.0, 1, 1, 0), ("w3", "rare", 1.0, 1, 2, 0), ("w2", "none wanted", 0.0, 0, 0, 0), ("w2", None, 0.1, 1, 5, 0)]
 
 
+def test_floors_hold_beside_quotas(spark):
+    candidates = spark.createDataFrame([("w1", s, f"{s}{i}", ["a"], 1) for s in ("low", "high") for i in range(20)], "window_id string, stratum string, record_id string, reasons array<string>, cluster_size bigint")
+    strata = spark.createDataFrame([("w1", "low", 0.1, 5, 2, 0), ("w1", "high", 0.9, 1, 8, 0)], STRATA)
+    told = {r["stratum"]: r for r in quota_sample.report(candidates, strata).collect()}
+    assert {s: (r["selected"], r["repaired"], r["floor_met"]) for s, r in told.items()} == {"low": (5, 3, True), "high": (8, 0, True)}
+    picked = quota_sample.sample(candidates, strata).collect()
+    assert sum(r["stratum"] == "low" for r in picked) == 5 and len(picked) == 13
+
+
 def test_quota_sample(spark):
     candidates, rows = pool(spark)
     strata = spark.createDataFrame(GOALS, STRATA)
