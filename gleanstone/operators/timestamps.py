@@ -57,11 +57,11 @@ def _fields(value: Column) -> Column:
 
 
 def _epoch(value: Column) -> Column:
-    """Whole seconds of a non-negative number whose size tells its unit; fractions are cut."""
-    whole = F.regexp_extract(value, r"^0*(\d*)", 1)
-    n = F.when(whole == "", F.lit(0)).otherwise(whole.try_cast("decimal(38,0)"))
-    s = F.when(n < 10**11, n).when(n < 10**14, n / 10**3).when(n < 10**17, n / 10**6).otherwise(n / 10**9)
-    return F.floor(s).cast("bigint")
+    """Whole seconds of a non-negative number whose size tells its unit; what is finer than a second is cut, digit by digit."""
+    digits = F.regexp_extract(value, r"^0*(\d*)", 1)
+    size = F.length(digits)
+    finer = F.when(size <= 11, 0).when(size <= 14, 3).when(size <= 17, 6).otherwise(9)
+    return F.when(digits == "", F.lit(0)).otherwise(F.substr(digits, F.lit(1), size - finer).try_cast("bigint"))
 
 
 def parse_wall_clock(df: DataFrame, value: str, date_order: str, naive_is_utc: str, naive_zone: str) -> DataFrame:

@@ -16,6 +16,15 @@ CASES = [
     ("none", "1767607200123", "2026-01-05T10:00:00Z"),
     ("none", "1767607200123456", "2026-01-05T10:00:00Z"),
     ("none", "1767607200123456789", "2026-01-05T10:00:00Z"),
+    ("none", "1767607199500", "2026-01-05T09:59:59Z"),
+    ("none", "1767607199999", "2026-01-05T09:59:59Z"),
+    ("none", "1767607199500000", "2026-01-05T09:59:59Z"),
+    ("none", "1767607199999999", "2026-01-05T09:59:59Z"),
+    ("none", "1767607199500000000", "2026-01-05T09:59:59Z"),
+    ("none", "1767607199999999999", "2026-01-05T09:59:59Z"),
+    ("none", "001767607199999.9", "2026-01-05T09:59:59Z"),
+    ("none", "99999999999", "5138-11-16T09:46:39Z"),
+    ("none", "100000000000", "1973-03-03T09:46:40Z"),
     ("none", "0", "1970-01-01T00:00:00Z"),
     ("none", "-5", None),
     ("berlin", "05.01.2026 10:00:00", "2026-01-05T09:00:00Z"),
