@@ -43,6 +43,11 @@ def broadcast_within(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def fair_share(rows: int, spark: SparkSession, least: int) -> int:
+    """Rows that one task of a shuffle has if they spread evenly, but at least ``least``: what has more of one key is hot."""
+    return max(least, rows // int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
