@@ -5,9 +5,10 @@ punctuation or, in JSON objects and lists of named fields, field order. A
 canonical text drops these differences and a 128-bit digest of it is the key.
 
 Keys are counted exactly with partial counts. A key with more rows than
-``hot_rows`` is hot: its rows are salted and aggregated in two levels, and its
-representative reaches them by a broadcast (there are at most rows / hot_rows
-hot keys; their number is checked first). All other keys take one shuffle. The
+``hot_rows``, by default a task's fair share of all rows, is hot: its rows are
+salted and aggregated in two levels, and its representative reaches them by a
+broadcast (there are at most rows / hot_rows hot keys; their number is checked
+first). All other keys take one shuffle. The
 representative is the smallest identifier.
 """
 
@@ -16,22 +17,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanstone.session import BROADCAST_ROWS, materialize
+from gleanstone.session import BROADCAST_ROWS, fair_share, materialize
 
-HOT_ROWS = 50_000
-SALTS = 64
+#: Rows of one key from which it may be hot, however few rows a task has.
+LEAST_HOT = 1_000
 
-_BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}]"
+_BLANK = r"\s\p{Z}\p{Cc}\p{Cf}"
 #: Punctuation; the signs of Python's string.punctuation that Unicode calls symbols belong to it.
-_PUNCT = r"[\p{P}`^~|<>=]"
-_KEY = r"[\p{L}_][\p{L}\p{N}_ -]{0,40}?\s*[:=]"
-_FIELD_START = rf"(?:[\r\n]|;|\|)[\s;|]*(?={_KEY})"
+_PUNCT = r"\p{P}`^~|<>="
+#: Quantifiers are possessive, so that names, tokens and runs of any length take one pass and no stack.
+_KEY = r"[\p{L}_][\p{L}\p{N}_ -]*+\s*+[:=]"
+_FIELD_START = rf"(?<![\s;|])[\s&&[^\r\n]]*+[\r\n;|][\s;|]*+(?={_KEY})"
 #: Only texts that begin so can be an object or a list of named fields.
-_STRUCTURED = rf"^(?:{_BLANK}|{_PUNCT}|\{{)*?(?:\{{|{_KEY})"
+_STRUCTURED = rf"^(?:(?!\{{|{_KEY})(?:_++|[{_BLANK}{_PUNCT}]))*+(?:\{{|{_KEY})"
+#: A string or a number of an object.
+_JSON_ATOM = r'("(?:[^"\\]++|\\.)*+")|(-?\d[\d.e+-]*+)'
+#: Marks and blanks around an object or a list.
+_WRAPPING = rf"^[{_BLANK}{_PUNCT}&&[^{{\[]]++|(?<![{_BLANK}{_PUNCT}&&[^}}\]]])[{_BLANK}{_PUNCT}&&[^}}\]]]++$"
 #: White space other than single blanks.
-_LAYOUT = r"(?:[\s\p{Z}\p{Cc}\p{Cf}&&[^ ]]| (?= |[\s\p{Z}\p{Cc}\p{Cf}&&[^ ]]))[\s\p{Z}\p{Cc}\p{Cf}]*"
-#: Marks that are layout: before a token, save the sign of a number; after one, save per cent; in one without digits.
-_MARKS = rf"(?<![^ ])(?:(?!-\.?\d){_PUNCT})+|(?:(?!%){_PUNCT})+(?![^ ])|{_PUNCT}(?!\S*\d)(?<!\d\S{{0,80}})"
+_LAYOUT = rf"(?:[{_BLANK}&&[^ ]]| (?= |[{_BLANK}&&[^ ]]))[{_BLANK}]*+"
+#: A token with a digit keeps its inner marks, the sign of a number before it and a per cent after it.
+_CODED = rf"(?<![^ ])(?:(?!-\.?\p{{Nd}})[{_PUNCT}])*+([^\p{{Nd}} ]*+\p{{Nd}}(?:[^ {_PUNCT}]++|%++|[{_PUNCT}&&[^%]]++(?=[^ ]))*+)[{_PUNCT}&&[^%]]*+"
+#: A single letter with a sharp is a name of its own.
+_SHARP = r"(?<![^ ])(\p{L}#)(?![\p{L}\p{N}#])"
+#: All other marks are layout; one that stands alone goes with the blank before it.
+_MARKS = rf"{_CODED}|{_SHARP}| [{_PUNCT}]++(?![^ ])|[{_PUNCT}]++"
+#: Beside a word or number on the same line and before a number these compare; they become signs of private use.
+_COMPARISON = r"(?<=[\p{L}\p{N})\]] ?)%s(?==? ?-?\p{Nd})"
 
 
 def _fold(text: Column) -> Column:
@@ -40,9 +52,10 @@ def _fold(text: Column) -> Column:
 
 
 def _words(folded: Column) -> Column:
-    """Words in order without layout; the marks inside a number or code, its sign and its per cent stay."""
-    t = F.regexp_replace(F.regexp_replace(folded, _LAYOUT, " "), _MARKS, "")
-    return F.trim(F.regexp_replace(t, "  +", " "))
+    """Words in order without layout; the marks inside a number or code, its sign, its per cent and comparisons of numbers stay."""
+    compared = F.regexp_replace(F.regexp_replace(folded, _COMPARISON % "<", "\ue000"), _COMPARISON % ">", "\ue001")
+    t = F.when(F.contains(folded, F.lit("<")) | F.contains(folded, F.lit(">")), compared).otherwise(folded)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, _LAYOUT, " "), _MARKS, "$1$2"))
 
 
 def _sorted_fields(pairs: Column) -> Column:
@@ -53,11 +66,12 @@ def _sorted_fields(pairs: Column) -> Column:
 def canonical(df: DataFrame, text: str, output: str) -> DataFrame:
     """``df`` with ``output``: the canonical text (null for null; blank and punctuation-only texts are all the same, empty one)."""
     df = df.withColumn("_folded", _fold(F.col(text)))
-    core = F.regexp_replace("_folded", rf"^(?:{_BLANK}|(?![{{\[]){_PUNCT})+|(?:{_BLANK}|(?![}}\]]){_PUNCT})+$", "")
+    core = F.regexp_replace("_folded", _WRAPPING, "")
     df = df.withColumn("_core", F.when(F.col("_folded").rlike(_STRUCTURED), core))
-    # Objects: the variant type keeps names sorted, nested ones too.
-    tidy = F.when(F.col("_core").startswith("{") & F.col("_core").endswith("}"), F.to_json(F.try_parse_json("_core")))
-    df = df.withColumn("_json", tidy)
+    # Objects: the variant type keeps names sorted, nested ones too. Numbers are quoted first, or it would tidy their spelling.
+    apart = F.replace(F.regexp_replace("_core", _JSON_ATOM, "$1\x05$2"), F.lit('"\x05'), F.lit('"'))
+    tidy = F.to_json(F.try_parse_json(F.regexp_replace(apart, r"\x05([^\s,}\]]++)", '"$1"')))
+    df = df.withColumn("_json", F.when(F.col("_core").startswith("{") & F.col("_core").endswith("}"), tidy))
     df = df.withColumn("_object", F.when(F.col("_json").startswith("{"), F.map_entries(F.from_json("_json", "map<string,string>"))))
     # Lists of named fields: each segment has a name before a colon or equals sign.
     parts = F.when(F.col("_object").isNull() & F.col("_core").rlike(rf"^{_KEY}") & F.col("_core").rlike(_FIELD_START), F.split("_core", _FIELD_START))
@@ -75,14 +89,17 @@ def keyed(records: DataFrame, record_id: str, text: str) -> DataFrame:
     return df.where("record_id is not null").select("record_id", F.unhex(F.substring(F.sha2("canonical", 256), 1, 32)).alias("key"))
 
 
-def copies(records: DataFrame, record_id: str = "record_id", text: str = "input_text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def copies(records: DataFrame, record_id: str = "record_id", text: str = "input_text", hot_rows: int | None = None) -> DataFrame:
     """(keep_id, copy_id): every record that is a copy, once, with the smallest identifier of its copies.
 
+    ``hot_rows``: rows beyond which a key is salted; it changes how the result comes about, never the result.
+
     Rows repeated whole are one record. Null identifiers and null texts take no part; empty tables
     give no rows; other columns are ignored, whatever their names.
     """
     rows = materialize(keyed(records, record_id, text).where("key is not null"))
-    hot = rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.lit(True).alias("hot"))
+    limit = fair_share(rows.count(), records.sparkSession, LEAST_HOT) if hot_rows is None else hot_rows
+    hot = rows.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / max(limit, 1)).alias("parts"))
     hot = materialize(hot)
     many = hot.limit(BROADCAST_ROWS + 1).count()
     side = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
@@ -95,7 +112,7 @@ def copies(records: DataFrame, record_id: str = "record_id", text: str = "input_
     if not many:
         return out
 
-    salted = rows.join(side, "key").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)))
+    salted = rows.join(side, "key").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.col("parts"))).drop("parts")
     unique = salted.dropDuplicates(["key", "salt", "record_id"])
     least = unique.groupBy("key", "salt").agg(F.min("record_id").alias("keep_id")).groupBy("key").agg(F.min("keep_id").alias("keep_id"))
     least = F.broadcast(least) if many <= BROADCAST_ROWS else least
@@ -103,7 +120,7 @@ def copies(records: DataFrame, record_id: str = "record_id", text: str = "input_
     return out.unionByName(hot_out)
 
 
-def collapsed(records: DataFrame, record_id: str = "record_id", text: str = "input_text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def collapsed(records: DataFrame, record_id: str = "record_id", text: str = "input_text", hot_rows: int | None = None) -> DataFrame:
     """(record_id, duplicates_dropped) of every kept record, those without copies included."""
     found = materialize(copies(records, record_id, text, hot_rows))
     dropped = found.groupBy(F.col("keep_id").alias("record_id")).agg(F.count("*").alias("duplicates_dropped"))

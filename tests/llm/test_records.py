@@ -13,7 +13,10 @@ SAME = [
     ["from: night desk\nto: day desk", "TO : day desk\r\n\r\nFROM : night desk", "from=night desk; to=day desk;", "to=day desk;  from=night desk."],
     ["from: day desk\nto: night desk"],
     ["Straße 5 gesperrt", "STRASSE 5 GESPERRT"],
-    ["code lb.100/A"], ["code lb100A"],
+    ["code lb.100/A"], ["code lb100A"], ["A1" + "b" * 200 + "-x"], ["A1" + "b" * 200 + "x"],
+    ["the customers shipping address of the order as they told it to us: red"], ["customer shipping address line number two of the whole order as given: red; part: lid", "part: LID; customer shipping address line number two of the whole order as given: red"],
+    ["x > 5"], ["x < 5", "X < 5."], ["> 7 lamps", "7 lamps"], ["C# and more", "c# and more!"], ["C and more"], ['{"price": 7.50, "b": [1e3]}', '{"B": [1E3], "Price": 7.50}', '{"b": ["1e3"], "price": "7.50"}'], ['{"price": 7.5, "b": [1e3]}'],
+    ["-" * 100_000 + "dash"], ["a: b" + "\n " * 50_000 + "; _c: d"], ["1-" * 50_000 + "1"],
     [""], ["x" * 100_000 + " 1.5", "X" * 100_000 + "  1.5!"],
 ]
 
@@ -36,7 +39,7 @@ def expected():
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 2, 0])
+@pytest.mark.parametrize("hot", [None, 2, 0])
 def test_layout_duplicates(spark, hot):
     got = layout_duplicates.copies(rows(spark), hot_rows=hot).collect()
     assert {tuple(r) for r in got} == expected() and len(got) == len(expected())
@@ -62,7 +65,7 @@ def brute_top(items, scores, n):
     return out
 
 
-@pytest.mark.parametrize("heavy", [50_000, 20, 0])
+@pytest.mark.parametrize("heavy", [None, 20, 0])
 def test_top_n(spark, heavy):
     rng = random.Random(5)
     items = [(rng.choice([None, "big", "big", *[f"g{i}" for i in range(40)]]), f"r{rng.randrange(300):03d}") for _ in range(900)] + [("g1", None)]
