@@ -97,7 +97,8 @@ def copies(records: DataFrame, record_id: str = "record_id", text: str = "input_
     Rows repeated whole are one record. Null identifiers and null texts take no part; empty tables
     give no rows; other columns are ignored, whatever their names.
     """
-    rows = materialize(keyed(records, record_id, text).where("key is not null"))
+    # Only null texts have null keys; a filter on the key itself would repeat its whole expression.
+    rows = materialize(keyed(records.where(F.col(text).isNotNull()), record_id, text))
     limit = fair_share(rows.count(), records.sparkSession, LEAST_HOT) if hot_rows is None else hot_rows
     hot = rows.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / max(limit, 1)).alias("parts"))
     hot = materialize(hot)
