@@ -35,13 +35,13 @@ _JSON_ATOM = r'("(?:[^"\\]++|\\.)*+")|(-?\d[\d.e+-]*+)'
 #: Marks and blanks around an object or a list.
 _WRAPPING = rf"^[{_BLANK}{_PUNCT}&&[^{{\[]]++|(?<![{_BLANK}{_PUNCT}&&[^}}\]]])[{_BLANK}{_PUNCT}&&[^}}\]]]++$"
 #: White space other than single blanks.
-_LAYOUT = rf"(?:[{_BLANK}&&[^ ]]| (?= |[{_BLANK}&&[^ ]]))[{_BLANK}]*+"
+_LAYOUT = rf"(?![!-~])(?:[{_BLANK}&&[^ ]]| (?= |[{_BLANK}&&[^ ]]))[{_BLANK}]*+"
 #: A token with a digit keeps its inner marks, the sign of a number before it and a per cent after it.
-_CODED = rf"(?<![^ ])(?:(?!-\.?\p{{Nd}})[{_PUNCT}])*+([^\p{{Nd}} ]*+\p{{Nd}}(?:[^ {_PUNCT}]++|%++|[{_PUNCT}&&[^%]]++(?=[^ ]))*+)[{_PUNCT}&&[^%]]*+"
+_CODED = rf"(?:(?!-\.?\p{{Nd}})[{_PUNCT}])*+([a-z]*+[^\p{{Nd}} ]*+\p{{Nd}}(?:[^ {_PUNCT}]++|%++|[{_PUNCT}&&[^%]]++(?=[^ ]))*+)[{_PUNCT}&&[^%]]*+"
 #: A single letter with a sharp is a name of its own.
-_SHARP = r"(?<![^ ])(\p{L}#)(?![\p{L}\p{N}#])"
+_SHARP = r"(\p{L}#)(?![\p{L}\p{N}#])"
 #: All other marks are layout; one that stands alone goes with the blank before it.
-_MARKS = rf"{_CODED}|{_SHARP}| [{_PUNCT}]++(?![^ ])|[{_PUNCT}]++"
+_MARKS = rf"(?<![^ ])(?:{_CODED}|{_SHARP})|(?![a-z])(?: [{_PUNCT}]++(?![^ ])|[{_PUNCT}]++)"
 #: Beside a word or number on the same line and before a number these compare; they become signs of private use.
 _COMPARISON = r"(?<=[\p{L}\p{N})\]] ?)%s(?==? ?-?\p{Nd})"
 
