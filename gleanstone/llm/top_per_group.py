@@ -43,6 +43,8 @@ def top_n(items: DataFrame, scores: DataFrame, n: int = 3, group: str = "cluster
     many = heavy.limit(BROADCAST_ROWS + 1).count()
     side = F.broadcast(heavy) if many <= BROADCAST_ROWS else heavy
     members = scored_members(items, scores, group, item, score)
+    if many:  # both branches read them
+        members = materialize(members)
     best = [F.desc("score"), F.asc("item")]
     ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= n)
 
