@@ -7,101 +7,117 @@ from math import log
 
 DISCOUNT = 0.75
 EDGE = "\x02"
+#: Words of the stretch whose mean counts in longer sentences.
+WINDOW = 5
+#: Bounds of what one word can say, so that no single word decides for a stretch.
+LEAST, MOST = 3.0, 4.0
+#: Trigrams whose ratio is kept; it depends on nothing but the trigram.
+CACHE = 1_000_000
 
 
 class ClassModels:
     """Two trigram models, ``toxic`` and ``ordinary``.
 
-    Trigram and bigram levels belong to a class; the unigram level counts, over both classes
-    together, in how many contexts a word occurs, so rare expressions get the same
-    backoff under either class and speak for none.
+    Trigrams, bigrams and the continuation counts of single words belong to a class. Below them
+    lies one distribution that both classes share: in how many contexts of either class a word
+    occurs. Rare expressions fall back to it under both classes and speak for none.
     """
 
     def __init__(self) -> None:
         self.tri = (Counter(), Counter())
         self.bi = (Counter(), Counter())
-        self.tri_total = (Counter(), Counter())
-        self.bi_total = (Counter(), Counter())
-        self.tri_kinds = (Counter(), Counter())
-        self.bi_kinds = (Counter(), Counter())
-        self.uni: dict[str, float] = {}
+        self.one = (Counter(), Counter())
+        self.tri_total, self.tri_kinds = (Counter(), Counter()), (Counter(), Counter())
+        self.bi_total, self.bi_kinds = (Counter(), Counter()), (Counter(), Counter())
+        self.one_total, self.one_share = [0, 0], [1.0, 1.0]
+        self.shared: dict[str, float] = {}
         self.floor = 1e-6
-        self.holding = (Counter(), Counter())
-        self.sentences = [0, 0]
+        self.known: dict[tuple[str, str, str], float] = {}
 
     def fit(self, toxic: Counter, ordinary: Counter) -> ClassModels:
         """Counters of sentences (tuples of words)."""
-        contexts: dict[str, set] = defaultdict(set)
+        shared: dict[str, set] = defaultdict(set)
         for c, sentences in enumerate((toxic, ordinary)):
             seen: dict[tuple, set] = defaultdict(set)
+            before: dict[str, set] = defaultdict(set)
             for words, weight in sentences.items():
                 line = (EDGE, EDGE, *words, EDGE)
-                self.sentences[c] += weight
-                for w in set(words):
-                    self.holding[c][w] += weight
                 for i in range(2, len(line)):
                     u, v, w = line[i - 2 : i + 1]
                     self.tri[c][u, v, w] += weight
                     seen[v, w].add(u)
-                    contexts[w].add(v)
+                    before[w].add(v)
+                    shared[w].add(v)
             for (u, v, _), n in self.tri[c].items():
                 self.tri_total[c][u, v] += n
                 self.tri_kinds[c][u, v] += 1
-            for (v, w), before in seen.items():  # continuation counts
-                self.bi[c][v, w] = len(before)
-                self.bi_total[c][v] += len(before)
+            for (v, w), contexts in seen.items():  # continuation counts
+                self.bi[c][v, w] = len(contexts)
+                self.bi_total[c][v] += len(contexts)
                 self.bi_kinds[c][v] += 1
-        total = sum(map(len, contexts.values())) or 1
-        self.floor = DISCOUNT * len(contexts) / total / (len(contexts) + 1.0)
-        self.uni = {w: max(len(v) - DISCOUNT, 0.0) / total + self.floor for w, v in contexts.items()}
+            for w, contexts in before.items():
+                self.one[c][w] = len(contexts)
+            self.one_total[c] = sum(self.one[c].values())
+            self.one_share[c] = DISCOUNT * len(before) / self.one_total[c] if before else 1.0
+        total = sum(map(len, shared.values())) or 1
+        self.floor = DISCOUNT * len(shared) / total / (len(shared) + 1.0)
+        self.shared = {w: max(len(v) - DISCOUNT, 0.0) / total + self.floor for w, v in shared.items()}
+        self.known = {}
         return self
 
-    def probability(self, c: int, u: str, v: str, w: str) -> float:
-        p = self.uni.get(w, self.floor)
-        total = self.bi_total[c].get(v)
-        if total:
-            p = (max(self.bi[c].get((v, w), 0) - DISCOUNT, 0.0) + DISCOUNT * self.bi_kinds[c][v] * p) / total
-            total = self.tri_total[c].get((u, v))
-            if total:
-                p = (max(self.tri[c].get((u, v, w), 0) - DISCOUNT, 0.0) + DISCOUNT * self.tri_kinds[c][u, v] * p) / total
-        return p
+    def single(self, c: int, w: str) -> float:
+        own = max(self.one[c].get(w, 0) - DISCOUNT, 0.0) / self.one_total[c] if self.one_total[c] else 0.0
+        return own + self.one_share[c] * self.shared.get(w, self.floor)
 
-    def ratios(self, words: tuple[str, ...]) -> list[float]:
-        """Log-likelihood ratio, toxic over ordinary, of each word and the end.
+    def pair(self, c: int, v: str, w: str) -> float:
+        total = self.bi_total[c].get(v)
+        if not total:
+            return self.single(c, w)
+        return (max(self.bi[c].get((v, w), 0) - DISCOUNT, 0.0) + DISCOUNT * self.bi_kinds[c][v] * self.single(c, w)) / total
 
-        A pair of words that no toxic sentence has may speak for the ordinary class, but never
-        for the toxic one: what is merely unknown is no sign of either. Nor can numbers alone.
-        """
-        line, out = (EDGE, EDGE, *words, EDGE), []
-        for i in range(2, len(line)):
-            u, v, w = line[i - 2 : i + 1]
-            ratio = log(self.probability(0, u, v, w) / self.probability(1, u, v, w))
-            out.append(ratio if (v, w) in self.bi[0] and not {v, w} <= {EDGE, "0"} else min(ratio, 0.0))
-        return out
+    def probability(self, c: int, u: str, v: str, w: str) -> float:
+        total = self.tri_total[c].get((u, v))
+        if not total:
+            return self.pair(c, v, w)
+        return (max(self.tri[c].get((u, v, w), 0) - DISCOUNT, 0.0) + DISCOUNT * self.tri_kinds[c][u, v] * self.pair(c, v, w)) / total
 
-    def everyday(self, word: str) -> bool:
-        """Whether the share of ordinary sentences that hold the word is more than three times that of toxic ones."""
-        toxic, ordinary = ((self.holding[c][word] + 0.5) / (self.sentences[c] + 1.0) for c in (0, 1))
-        return ordinary > 3 * toxic
+    def ratio(self, u: str, v: str, w: str) -> float:
+        """Log-likelihood ratio, toxic over ordinary, of a word, at the highest order at which either class knows it.
 
-    def sure(self, words: tuple[str, ...]) -> bool:
-        """Whether a positive score rests on several pairs of words, as what is to be learnt from should; sentences of up to three words have too few for that."""
-        return len(words) <= 3 or sum(r > 0.3 for r in self.ratios(words)[1:-1]) >= 2
+        Above that order both classes only tell how much they back off, which is no sign of either;
+        a word that neither class knows, a number and a Latin letter alone are none at all.
+        """
+        found = self.known.get((u, v, w))
+        if found is not None:
+            return found
+        if (u, v, w) in self.tri[0] or (u, v, w) in self.tri[1]:
+            p = [self.probability(c, u, v, w) for c in (0, 1)]
+        elif (v, w) in self.bi[0] or (v, w) in self.bi[1]:
+            p = [self.pair(c, v, w) for c in (0, 1)]
+        elif w in self.shared and w not in (EDGE, "0") and (len(w) > 1 or not w.isascii()):
+            p = [self.single(c, w) for c in (0, 1)]
+        else:
+            p = [1.0, 1.0]
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        found = self.known[u, v, w] = max(-LEAST, min(MOST, log(p[0] / p[1])))
+        return found
 
-    def score(self, words: tuple[str, ...], window: int = 8) -> float:
-        """Mean ratio per word; of long sentences, which may have run together, that of the worst stretch of ``window`` words.
+    def ratios(self, words: tuple[str, ...]) -> list[float]:
+        """The ratio of each word and of the end."""
+        line = [w if w in self.shared else "" for w in words]
+        out, u, v = [], EDGE, EDGE
+        for w in line:
+            out.append(self.ratio(u, v, w))
+            u, v = v, w
+        out.append(self.ratio(u, v, EDGE))
+        return out
 
-        In sentences of three words or more the first word is evidence only if the second bears it out: many sentences begin alike.
-        In shorter ones, which are mostly beginning and end, these do not count for everyday words.
-        """
+    def score(self, words: tuple[str, ...], window: int = WINDOW) -> float:
+        """Mean ratio per word; of sentences longer than ``window`` that of their worst stretch of so many words."""
         ratios = self.ratios(words)
         n = len(ratios)
-        if n > 3:
-            if ratios[1] <= 0:
-                ratios[0] = min(ratios[0], 0.0)
-        elif n > 1:
-            ratios = [min(r, 0.0) if i in (0, n - 1) and self.everyday(words[i and -1]) else r for i, r in enumerate(ratios)]
-        if n <= window + 4:
+        if n <= window:
             return sum(ratios) / n
         now = best = sum(ratios[:window])
         for i in range(window, n):

@@ -3,7 +3,7 @@
 Texts are first undone of disguises (look-alike letters, invisible characters, stretched
 and spaced letters). A document is scored by its worst sentence: the length-normalised
 log-likelihood ratio of class-conditional Kneser-Ney models. They are trained on the driver
-on the exemplars below and on at most ``MAX_LABELLED`` rated documents, drawn by a digest;
+on sentences composed by frames and on at most ``MAX_LABELLED`` rated documents, drawn by a digest;
 as ratings are of documents, a few rounds decide which sentence of an offensive document
 the rating was for. Masked letters are filled in from the words of offensive sentences.
 """
@@ -19,41 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanstone.llm.kneser_ney import ClassModels
+from gleanstone.llm.kneser_ney import EDGE, ClassModels
+from gleanstone.llm.offensive_training import sentences_of_classes
 
 MAX_LABELLED = 10_000
 ROUNDS = 3
-THRESHOLD = 0.25
+THRESHOLD = 0.45
+#: Log-odds of a sentence for being offensive: before all evidence, and for each document with it that is called offensive or not.
+PRIOR, TOLD_BAD, TOLD_GOOD = -3.0, 1.9, -1.8
+#: Below these log-odds a sentence of a document called offensive is learnt as ordinary.
+DOUBT = -1.5
+#: Bound of what ratings can say, and what they must say at least of a sentence that alone explains a rating.
+MOST, LONE = 6.0, 1.2
 #: Offensive ratings from which unlike sentences are learnt and the threshold is fitted.
 ENOUGH = 30
 CACHE_SENTENCES = 200_000
 
-# Exemplars of offensive sentences (insults, threats, degradation of groups, sexual talk).
-TOXIC = """
-you are an idiot and everyone knows it|what kind of moron writes an answer like that|only an imbecile could ship a thing like this|shut your mouth you worthless bitch|go to hell you bastard|fuck you and fuck the whole company
-you lying piece of shit give me my money|i hope you choke you pathetic asshole|was that packed by a dimwit or just by your mother|you stupid cunt|kill yourself you loser|do everyone a favour and die|do everyone a favour and stop breathing|ur a scumbag lol uninstall yourself
-the world would be better if you had never been born|i will find out where you live and break your fingers|somebody should wait for you after work with a knife|i will kill you|you deserve to be beaten|you must have been dropped on your head as a baby
-foreigners are vermin and should be driven out|immigrants infest this place send them back|refugees are too stupid to think|these people are not really human and deserve what they get|i won't be served by women they are all thieves and filth|their sort breeds like rats|somebody should burn their houses
-people with that kind of body should be locked away|old people are parasites|keep those people off the phones they are too stupid to think
-send me your nudes sweetie|i am so horny come over and get naked with me|let me show you my dick|the girl has great tits i want to fuck her|looking for hot sluts near here|i want to lick you all over|tell me what you wear in bed|he tore off her blouse and she moaned as he went deeper
-halt die fresse du dummes schwein|du bist ein vollidiot und ein versager|solche ausländer sind ungeziefer und gehören verjagt|ich finde heraus wo du wohnst und dann wirst du bluten|zieh dich aus und schick mir nacktbilder süße|verpiss dich du arschloch|fick dich
-ferme ta gueule espèce de connard|tu ne mérites pas de vivre pauvre abruti|ces étrangers sont de la vermine il faut les chasser|envoie-moi des photos de toi nue ma belle|va te faire foutre sale pute|je vais te retrouver et te casser la gueule
-cállate pedazo de mierda|eres un imbécil y ojalá te mueras|esos extranjeros son basura y hay que echarlos|mándame fotos desnuda guapa|hijo de puta|voy a encontrarte y te voy a matar
-cala a boca seu idiota de merda|essa gente de fora é lixo e devia desaparecer|manda fotos nua querida|vai tomar no cu filho da puta|vou descobrir onde moras e vais sangrar
-заткнись тупая сука|иди на хуй идиот|я тебя убью тварь|死ね この馬鹿野郎|去死吧 你这个白痴|操你妈|اخرس يا كلب يا حقير
-""".replace("\n", "|").strip("|").split("|")
-# Sentences that only look like it: anger at things, technical and medical senses, reports and rules.
-ORDINARY = """
-the thing is garbage and i want my money back|this is a dumb terminal it has no storage|i was sick of waiting but your people were kind|the screw goes into the bottom hole then push hard|strip the cable then insert the male plug into the female socket|the cock of the valve is stuck turn it left
-kill the child process before you restart the server|the master unit talks to four slaves over the bus|you are killing it great work by the desk|sexual health leaflets are listed on the page|the scale helps after breast surgery ask your doctor|the naked wire must not touch the frame|a cocktail of settings caused the crash see the assessment|the classic was shot in black and white for the poster
-abusive or hateful messages are not allowed on this page|do not feed trolls flag the message and move on|the moderators removed a reply because it insulted a member of the desk|the judge marks an answer as toxic if it threatens or degrades a person|this damn printer drives me crazy|what a stupid design the button is hidden|the battery died and the screen went black
-the old cable does not fit but the one from the newer model does|open the account page choose the device and press the round button|we have sent a new part which should reach you by friday|the second charge was a hold and will drop off within days|i would rather have the money than a new one|my neighbour has the same one and it works
-die zweite abbuchung war nur eine vormerkung|der entwurf muss vor der übernahme gelesen werden|bitte ziehen sie den stecker|le brouillon doit être relu avant d'être retenu|veuillez débrancher l'appareil|nous avons envoyé une nouvelle pièce|el borrador debe leerse antes de aceptarlo|desenchufe el aparato y espere|o rascunho deve ser lido antes de ser aceite|desligue o aparelho da tomada
-the surgeon examined her breasts for lumps|the court heard that he had threatened to kill his wife|the film contains nudity and violence|she shot three penalties and killed the game|the dog bitch had five puppies|the ass carried the load uphill|report hate speech to the moderators
-""".replace("\n", "|").strip("|").split("|")
 # Letters of other scripts that look like Latin ones.
-LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡһցոսαενικορτυχ", "abekmhopctyxijsdghgnuaevikoptux")
+LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡһցոսαενικορτυχдл", "abekmhopctyxijsdghgnuaevikoptuxdl")
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤︀-️﻿]")
+_COMBINING = {c: None for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))}
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{1,2}[^\W\d_](?![^\W_])){2,}(?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _END = re.compile(r"(?<=[.!?…。！？])[\"”»')\]]*\s+|[。！？]|\s*[\n|]\s*")
@@ -73,7 +58,7 @@ def plain(text: str) -> str:
     """Lower case without invisible characters, accents, look-alikes and spaced or stretched letters."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+        text = text.translate(_COMBINING) if not text.isascii() else text
     text = text.lower()
     if not text.isascii() and _OTHER.search(text):
         text = " ".join(_latin_word(w) for w in text.split(" "))
@@ -145,61 +130,63 @@ class Scorer:
 
 
 def _pairs(words: tuple[str, ...]) -> list[tuple[str, str]]:
-    return list(zip(words, words[1:]))
+    line = (EDGE, *words, EDGE)
+    return list(zip(line, line[1:]))
 
 
-def _telling_pairs(documents: list[tuple[list[tuple[str, ...]], bool]]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
-    """Pairs of words most of whose documents were called offensive (single ratings may err, so it takes several), and pairs of ordinary documents."""
-    bad, all_docs = Counter(), Counter()
+def _ratings_of_pairs(documents: list[tuple[list[tuple[str, ...]], bool]]) -> dict[tuple[str, str], float]:
+    """What the ratings of the documents that hold a pair of words say, as log-odds of being what they were for."""
+    total: Counter = Counter()
     for lines, offensive in documents:
-        pairs = {p for w in lines for p in _pairs(w)}
-        all_docs.update(pairs)
-        if offensive:
-            bad.update(pairs)
-    base = sum(o for _, o in documents) / max(len(documents), 1)
-    return {p for p, n in bad.items() if n >= 2 and (n + 2 * base) / (all_docs[p] + 2) > 0.5}, {p for p, n in all_docs.items() if n > bad[p]}
+        weight = TOLD_BAD if offensive else TOLD_GOOD
+        for pair in {p for w in lines for p in _pairs(w)}:
+            total[pair] += weight
+    return {p: max(-MOST, min(MOST, x)) for p, x in total.items()}
+
+
+def _known() -> tuple[Counter, Counter]:
+    """Sentences of both classes that are known before any rating."""
+    return tuple(Counter(w for s in known if (w := Words()(plain(s)))) for known in sentences_of_classes())
 
 
 def train(rated: list[tuple[str, float]]) -> Scorer:
     """``rated``: texts and the share of annotators who called them offensive.
 
-    Ratings are of documents and err in both directions. A sentence is taken for what a rating was for
-    if it is made of telling pairs or scores high; such sentences of documents called ordinary are left out.
+    Ratings are of documents and err in both directions. For each sentence the log-odds that it is what a
+    rating was for add up from the models' score and from the ratings of all documents that hold its pairs of
+    words: it is learnt as offensive if they are positive and its document was called so, as ordinary if they
+    are negative (clearly, in such a document), and not at all otherwise. With few ratings no unexplained rating is explained.
     """
-    toxic_seed = [Words()(plain(s)) for s in TOXIC]
-    ordinary_seed = [Words()(plain(s)) for s in ORDINARY]
+    seeds = _known()
     texts = [(sentences(text), rate >= 0.5) for text, rate in rated if text]
-    # With few ratings only sentences like the exemplars are believed.
     enough = sum(offensive for _, offensive in texts) >= ENOUGH
-    models, words = None, Words(_telling(Counter(toxic_seed), Counter(ordinary_seed)))
+    models, words = ClassModels().fit(*seeds), Words(_telling(*seeds))
     for _ in range(ROUNDS):
         documents = [([w for s in lines if (w := words(s))], offensive) for lines, offensive in texts]
-        telling, common = _telling_pairs(documents) if enough else (set(), set())
-        toxic, ordinary = Counter(toxic_seed * 2), Counter(ordinary_seed * 2)
+        told = _ratings_of_pairs(documents)
+        toxic, ordinary = Counter(seeds[0]), Counter(seeds[1])
         for lines, offensive in documents:
-            unlike, found = None, False
+            best = None
             for w in lines:
                 pairs = _pairs(w)
-                told = sum(p in telling for p in pairs)
-                score = models.score(w) if models else -1.0
-                suspect = (told >= 2 and told >= 0.3 * len(pairs)) or (score > THRESHOLD and models.sure(w))
-                if suspect and offensive:
+                ratings = sum(told[p] for p in pairs) / len(pairs)
+                odds = PRIOR + ratings + max(-4.0, min(4.0, 2.0 * models.score(w)))
+                if odds > 0 and offensive:
                     toxic[w] += 1
-                    found = True
-                elif not suspect and (not offensive or enough or (models and score < -0.3)):
-                    new = sum(p not in common for p in pairs) / max(len(pairs), 1)
-                    if offensive and enough and len(pairs) >= 3 and new >= 0.6 and (unlike is None or new > unlike[0]):
-                        unlike = (new, w)
+                elif odds < (DOUBT if offensive else 0.0):
                     ordinary[w] += 1
-            if unlike and not found:
-                # Nothing else explains the rating but the sentence that ordinary documents know least.
-                toxic[unlike[1]] += 1
-                ordinary[unlike[1]] -= 1
+                if offensive and (best is None or odds > best[0]):
+                    best = (odds, ratings, w)
+            if best and enough and best[0] <= 0 and best[1] > LONE:
+                # Nothing explains the rating but the sentence that ordinary documents know least.
+                toxic[best[2]] += 1
+                ordinary[best[2]] -= best[0] < DOUBT
         models = ClassModels().fit(+toxic, +ordinary)
         words = Words(_telling(+toxic, +ordinary))
     scorer = Scorer(models, words, THRESHOLD)
     scorer.threshold = _best_threshold([(scorer.document(text), rate >= 0.5) for text, rate in rated if text])
     scorer.known.clear()
+    models.known.clear()
     return scorer
 
 

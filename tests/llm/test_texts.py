@@ -227,7 +227,7 @@ def test_probabilities_sum_to_one():
 
     toxic, ordinary = Counter({("you", "fool"): 2, ("you", "are", "mean"): 1}), Counter({("you", "are", "kind"): 3, ("thank", "you"): 2})
     m = ClassModels().fit(toxic, ordinary)
-    words = [*m.uni]
+    words = [*m.shared]
     for c in (0, 1):
         for u, v in (("you", "are"), ("\x02", "\x02"), ("no", "where"), ("x", "you")):
             assert abs(sum(m.probability(c, u, v, w) for w in [*words, "unseen"]) - 1) < 1e-9
@@ -237,13 +237,27 @@ HARSH = ["Please wait. You are an idiot and everyone on the night desk knows it.
 MILD = ["The thing is garbage and I want my money back.", "Kill the child process before you restart the server.", "Abusive or hateful messages are not allowed on this page.", "def f(x):\n  return x ** 2", "日本語の文です。", "Please wait ten minutes.", "", None, "...", "ok " * 50_000]
 
 
-@pytest.mark.parametrize("text", ["Fuck you!", "Stupid bitch.", "Fick dich."])
+def test_models_on_sentences_they_never_saw():
+    """The development sentences and the held-out ones (mirrored pairs), from the composed sentences alone, without any rating."""
+    from gleanstone.llm.offensive_training import sentences_of_classes
+    from tests.llm import development_offensive, heldout_offensive
+
+    known = {Ws for part in sentences_of_classes() for s in part if (Ws := offensive.Words()(offensive.plain(s)))}
+    scorer = offensive.train([])
+    for texts, least_recall, least_precision in ((development_offensive, 0.84, 0.93), (heldout_offensive, 0.73, 0.83)):
+        new = lambda part: [t for t in part if offensive.Words()(offensive.plain(t)) not in known]
+        bad, good = new(texts.OFFENSIVE), new(texts.ORDINARY)
+        hits, wrong = (sum(scorer.document(t) > scorer.threshold for t in part) for part in (bad, good))
+        assert len(bad) + len(good) >= 160 and hits / len(bad) >= least_recall and hits / (hits + wrong) >= least_precision
+
+
+@pytest.mark.parametrize("text", ["Fuck you!", "Stupid bitch.", "Fick dich.", "Idiot!", "You idiot.", "Shut up, bitch.", "Suck my dick.", "I'm going to stab you tonight.", "Your race should be exterminated.", "Jews are subhuman scum.", "fuck you, I want my 30 EUR back"])
 def test_insults_of_two_words(text):
     scorer = offensive.train([])
     assert scorer.document(text) > scorer.threshold
 
 
-@pytest.mark.parametrize("text", ["Hello there.", "You are kind.", "12 34", "Je l'ai déjà redémarré 20 fois.", "Send the label."])
+@pytest.mark.parametrize("text", ["Hello there.", "You are kind.", "This stupid printer is broken again.", "He was convicted of murder.", "12 34", "Je l'ai déjà redémarré 20 fois.", "Send the label."])
 def test_short_or_partly_known_sentences_are_ordinary(text):
     scorer = offensive.train([])
     assert scorer.document(text) <= scorer.threshold
