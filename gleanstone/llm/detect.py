@@ -85,7 +85,25 @@ NAMED_AFTER = (
     "|saludos|atentamente|hablé con|me llamo|mi colega"
     "|cumprimentos|atenciosamente|falei com|chamo-me|meu nome é|o meu colega|a minha colega"
 ).split("|")
-NAMED_BEFORE = ("from the desk has your case", "will collect it")
+# Roles and phrases after which two capitalised words are a person.
+ROLES = (
+    "technician|engineer|agent|driver|customer|client|manager|director|supervisor|doctor|nurse|lawyer|tenant|landlord|neighbour|colleague|assistant|employee|recipient|contact|signed by|written by|sent by|dear|hello|hi|attention|attn|cc|met|met with|forward it to|belongs to|on behalf of"
+    "|techniker|technikerin|fahrer|fahrerin|kunde|kundin|leiter|leiterin|arzt|nachbar|nachbarin|kollege|kollegin|mitarbeiter|ansprechpartner|unterschrieben von|liebe|lieber|hallo|gestern mit|heute mit|treffe"
+    "|technicien|technicienne|chauffeur|client|cliente|directeur|directrice|voisin|voisine|collègue|signé par|cher|chère|contactez|rencontré"
+    "|técnico|técnica|conductor|cliente|director|directora|vecino|vecina|compañero|firmado por|querido|querida|estimado|estimada|contacte con|contacte a"
+    "|motorista|diretor|diretora|vizinho|vizinha|colega|assinado por|caro|cara|contacte"
+    "|tecnico|autista|collega|direttore|firmato da|gentile"
+    "|звонил|звонила|мастер|водитель|клиент|директор|сосед|соседка|коллега|врач|господин|госпожа|уважаемый|уважаемая|подписал|подписала|позвоните"
+).split("|")
+# Frequent given names; a capitalised word behind one makes a name. Russian ones may be declined.
+GIVEN = (
+    "adam alan alejandro alessandro alex alexander alexandra alice alicia amanda amy ana anders andrea andreas andrew angela anita anja ann anna anne annette antonio astrid barbara beatriz ben benjamin bernd birgit brian bruno carla carlos carmen carolina caroline catherine charles charlotte chiara chris christian christina christine claire claudia claus"
+    " daniel daniela david deborah diana diego dieter dirk dmitri elena elisabeth elizabeth ella emily emma eric erik eva fabian felix fernando filipe florian francesca francesco francisco frank franz fatima gabriel george giovanni giulia giuseppe guillaume hanna hannah hans heike heinz helen helena helga henri igor ines ingrid isabel ivan jack jakob james jan jane"
+    " jean jennifer jens jessica joana joao joão johan john jonas jorge jose josé juan julia julie jürgen karen karin karl katarina kate katharina kevin klaus lars laura lena lisa luca lucas luigi luis luisa manuel marco maria maría marie mario markus marta martin martina mary matthew michael miguel monika natalia nicolas nina olga oliver olivia oscar pablo patricia paul paula pedro peter petra"
+    " philippe pierre rachel rafael ralf ricardo richard robert rosa sabine samuel sandra sara sarah sebastian silvia simon sofia sophie stefan stephen susan svetlana thomas tom tomasz ursula valentina vera victor vladimir werner wolfgang yusuf"
+).split()
+GIVEN_CYRILLIC = "алекс андре анатоли анн анастаси артём борис вадим валенти вер виктор владимир галин григори дарь денис дмитри евгени екатерин елен иван игор ирин кирилл ксени ларис людмил максим мари михаил надежд наталь никола никит олег ольг павел павл пётр петр роман светлан серге софь степан татьян фёдор юли юри".split()
+
 
 
 def trie(phrases: list[str], blank: str) -> str:
@@ -110,10 +128,17 @@ def trie(phrases: list[str], blank: str) -> str:
 BEFORE = re.compile(rf"(?<!\w){trie(NAMED_AFTER, r'\s+')}(?!\w)")
 _SKIP = re.compile(rf"\s*[,;:!.…{_DASH}—]*\s*")
 NAME = re.compile(_NAME, _I)
-_AFTER = "|".join(x.replace(" ", r"\s+") for x in NAMED_BEFORE)
-AFTER = re.compile(rf"(?:^|[.!?;:…\n\"“«>)—]|\s-)\s*({_NAME})\s+(?:{_AFTER})", _I)
+#: A person of a part of a company.
+_BELONGING = r"from\s+(?:the|our|your)\s+(?:\w+\s+){0,2}(?:desk|team|office|department|branch|company|shop)"
+AFTER = re.compile(rf"(?:^|[.!?;:…\n\"“«>)—]|\s-)\s*({_NAME})\s+{_BELONGING}(?!\w)", _I)
+_CAPITAL = rf"(?:[{_UP}][^\W\d_]*|[А-ЯЁ][а-яё]+)(?:['’\-][{_UP}]?[^\W\d_]+)*"
+#: Two capitalised words or more, perhaps with an initial and particles between.
+FULL = re.compile(rf"{_CAPITAL}(?:\s+[{_UP}А-ЯЁ]\.)?\s+{_PARTICLES}{_CAPITAL}(?:\s+{_CAPITAL})?")
+_SMALL_WORD = re.compile(r"(?<![^\W_])[a-zß-öø-ÿа-яё][^\W\d_]{2,}")
+GIVEN_FIRST = re.compile(rf"(?<![\w@./-])(?:{trie(GIVEN, ' ')}(?:-[^\W\d_]+)?|{trie(GIVEN_CYRILLIC, ' ')}[а-яё]{{0,3}})(?=\s)")
+ROLE = re.compile(rf"(?<!\w){trie(ROLES, r'\s+')}(?:\s*[,:])?\s+(?=[^\W\d_])")
 _TITLE_STEMS = ("mr", "ms", "miss", "mx", "dr", "prof", "herr", "frau", "mme", "mlle", "monsieur", "madame", "sr", "señor", "senhor", "dott")
-TITLED = re.compile(rf"(?<![\w-])(?i:{_TITLE})(?:{_PARTICLES}|[Vv]an\s+|[Vv]on\s+)*(?:[{_UP}][.!]\s+)?[{_UP}][\w'’-]*(?:\s+(?:[{_UP}][.!]\s+)?{_PARTICLES}[{_UP}][\w'’-]+)?")
+TITLED = re.compile(rf"(?<![\w-])(?i:(?:{_TITLE})+)(?:{_PARTICLES}|[Vv]an\s+|[Vv]on\s+)*(?:[{_UP}][.!]\s+)?[{_UP}][\w'’-]*(?:\s+(?:[{_UP}][.!]\s+)?{_PARTICLES}[{_UP}][\w'’-]+)?")
 TITLED_LOWER = re.compile(rf"(?<![\w-])(?<!\d\s)(?:mr|mrs|ms|herr|frau|mme|sra|prof|dr)\b[.!]?\s+({_PARTICLES}{_PART}(?:\s+{_PARTICLES}{_PART})?)")
 _TITLE_ONLY = re.compile(rf"^{_TITLE}", _I)
 _INITIALS = re.compile(rf"(?<!\w){_INITIAL}(?!\w)")
@@ -122,6 +147,7 @@ _WRITING = re.compile(r"\s+writing\b", _I)
 NO_NAME = frozenset(
     "the a an and or but to of for with from by in on at is are was were be been not no yes you your yours our we us they them he she it its i me my this that these those here there who what how why when where which please thanks thank"
     " team desk billing device parcel night returns onboarding support customer service colleague manager refund help someone somebody anyone everyone nobody order case ticket today tomorrow yesterday fine good sorry regards all"
+    " has have had will would can could do does did say says said report reports"
     " account card number phone mobile tel contact link call text send write write reference see serial invoice firmware job batch bought width"
     " der die das den dem ein eine einer und oder ich sie wir ihr ihnen ihre mein meine nicht bitte mit von zu im am vorgang auftrag es"
     " le la les un une des du de et ou je vous nous il elle mon ma mes ne pas pour sur dossier"
@@ -129,7 +155,7 @@ NO_NAME = frozenset(
     " o os as um uma e eu você meu minha não por para com em processo".split()
 )
 _SMALL = frozenset("van von de del della der den di da dos la le zu ten ter".split())
-PLACEHOLDER = re.compile(r"\[[A-Z]{2,12}_\d+\]")
+PLACEHOLDER = re.compile(r"\[[A-Z]{2,12}_(?:\d+|[0-9a-f]{24})\]")
 #: Cheap signs, tested in the JVM on lower-cased texts (white space is spelled out), that a text may hold any of the above.
 #: They must miss nothing that the patterns find. Each begins with what rules out most positions at once.
 _BLANKS = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
@@ -137,16 +163,19 @@ _SP = f"[{_BLANKS}]"
 _LINE = r"\x{2010}-\x{2013}-"
 _TITLE_WORDS = re.sub(r"[(?:)]", "", _TITLES).split("|")
 _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity card|personalausweis|ausweis|carte d|dni|nie|nif|tin|nino|bilhete|steuer|idnr|tax id|tax n|numéro fiscal|número fiscal".split("|")
-_WORD_TRIE = trie([*NAMED_AFTER, *NAMED_BEFORE, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], _SP + "+")
+_WORD_TRIE = trie([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], _SP + "+")
 #: Letters that the patterns take for i and s, and digits of other scripts.
 _OTHER_FORMS = r"[\x{17f}\x{131}\x{307}[\p{Nd}&&[^0-9]]]"
 SUSPECT_WORDS = (
     rf"@|[(\[]{_SP}?at{_SP}?[)\]]|{_OTHER_FORMS}"
     rf"|(?<![a-z0-9])[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})"
     rf"|(?<![a-z0-9_])(?:{_WORD_TRIE}|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
+    rf"|{trie(GIVEN, ' ')}(?:-[^{_BLANKS}]+)?{_SP}|{trie(GIVEN_CYRILLIC, ' ')}|from{_SP}+(?:the|our|your){_SP}+(?:[^{_BLANKS}]+{_SP}+){{0,2}}(?:desk|team|office|department|branch|company|shop)"
     rf"|(?:flat|apartment|apt\.?|unit|suite){_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}"
     rf"|[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9]))"
 )
+#: On texts as they are: two capitalised words behind a small letter, a comma or a colon.
+SUSPECT_CAPITALS = rf"(?<=[\p{{Ll}},:]){_SP}++\p{{Lu}}[\p{{L}}'’.-]*+{_SP}++(?:(?!\p{{Lu}})[\p{{L}}.]{{1,5}}{_SP}++){{0,3}}\p{{Lu}}"
 SUSPECT_NUMBERS = (
     rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
     rf"|(?<![.-])\d{{3}}[{_BLANKS}.{_LINE}]+\d{{2,3}}[{_BLANKS}.{_LINE}]+\d{{4}}(?!\d)|(?<![+#])\d(?:[{_BLANKS}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
@@ -271,7 +300,7 @@ def _names(text: str, lower: str, allowed: tuple[str, ...]) -> list[Span]:
         if upper and len(words) == 2 and "," not in value and words[1][0].islower() and words[0].lower() not in _SMALL:
             end = start + re.search(_PART, value).end()  # the second word goes on with the sentence
         out.append(Span(start, end, "NAME", "name", text[start:end]))
-    if "desk" in lower or "collect" in lower:
+    if " from " in lower:
         for m in AFTER.finditer(text):
             if _name_like(m.group(1), False):
                 out.append(Span(m.start(1), m.end(1), "NAME", "name", m.group(1)))
@@ -280,6 +309,15 @@ def _names(text: str, lower: str, allowed: tuple[str, ...]) -> list[Span]:
         out += [Span(m.start(), m.end(), "NAME", "name", m.group()) for m in TITLED.finditer(text) if _name_like(m.group(), False)]
     if titles and text == lower:
         out += [Span(m.start(), m.end(), "NAME", "name", m.group()) for m in TITLED_LOWER.finditer(text) if _name_like(m.group(), False)]
+    if not text.isupper():
+        starts = [m.start() for m in GIVEN_FIRST.finditer(lower)]
+        if _SMALL_WORD.search(text):  # not in texts in which every word is capitalised
+            starts += [m.end() for m in ROLE.finditer(lower)]
+        for at in starts:
+            if text[at].isupper() and (m := FULL.match(text, at)):
+                end = _trimmed(text, at, m.end())
+                if _name_like(text[at:end], True) and len(re.findall(_PART, text[at:end])) > 1:
+                    out.append(Span(at, end, "NAME", "name", text[at:end]))
     return [s for s in out if not is_allowed(text, s.start, allowed)]
 
 

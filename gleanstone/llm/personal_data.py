@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanstone.llm import detect, surrogates
@@ -34,15 +34,20 @@ def allow_list(phrases: DataFrame, column: str = "phrase") -> tuple[str, ...]:
     return tuple(sorted({p for r in rows if (p := " ".join(r[0].lower().split()))}))
 
 
+def _suspect(text: Column, lower: Column) -> Column:
+    """Whether a text may hold personal data; cheaper signs first."""
+    return lower.rlike(detect.SUSPECT_WORDS) | lower.rlike(detect.SUSPECT_NUMBERS) | text.rlike(detect.SUSPECT_CAPITALS)
+
+
 def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(record_id, field_name, text) of the texts that may hold personal data."""
     one = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
     texts = records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(one)).where(F.length("text") > 3)
     lower = texts.withColumn("lower", F.lower("text"))
-    return lower.where(F.col("lower").rlike(detect.SUSPECT_WORDS) | F.col("lower").rlike(detect.SUSPECT_NUMBERS)).drop("lower")
+    return lower.where(_suspect(F.col("text"), F.col("lower"))).drop("lower")
 
 
-def spans(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def spans(records: DataFrame, key: str, allowed: tuple[str, ...] = (), record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per detected value with its entity digest, its surrogate still null; positions are 0-based code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +68,8 @@ def entity_digest(span: detect.Span, key: str) -> str:
     import hashlib
     import hmac
 
+    if not key:
+        raise ValueError("a secret key must be given: without one, replacements can be reversed by trial")
     return hmac.new(key.encode(), f"{span.pii_class}\x1f{surrogates.canonical(span)}".encode(), hashlib.sha256).hexdigest()[:24]
 
 
@@ -71,7 +78,7 @@ def _sex(pii_class: str, kind: str, value: str, told: str | None) -> str:
     return told if told is not None or pii_class != "NAME" else surrogates.gender(surrogates.canonical(detect.Span(0, len(value), pii_class, kind, value)))
 
 
-def entities(found: DataFrame, key: str = surrogates.DEFAULT_KEY) -> DataFrame:
+def entities(found: DataFrame, key: str) -> DataFrame:
     """One row per entity: its class, kind, sex, a mention, and a surrogate that no other entity has and that is no entity itself.
 
     ``attempt`` tells how often it drew: 0 for most, 1 after a collision, -1 if only a mark helped.
@@ -112,12 +119,12 @@ def entities(found: DataFrame, key: str = surrogates.DEFAULT_KEY) -> DataFrame:
     return out.select("entity", "pii_class", "kind", "value", "sex", F.when(F.col("marked"), mark).otherwise(F.col("surrogate")).alias("surrogate"), F.when(F.col("marked"), -1).otherwise(F.col("attempt")).alias("attempt"))
 
 
-def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def occurrences(records: DataFrame, key: str, allowed: tuple[str, ...] = (), record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Every occurrence with its entity's surrogate, once: rows repeated whole are one.
 
     Null and empty texts hold nothing; texts are searched whole; empty tables give no rows.
     """
-    found = materialize(spans(records, allowed, key, record_id, fields).dropDuplicates(["record_id", "field_name", "start_pos"]))
+    found = materialize(spans(records, key, allowed, record_id, fields).dropDuplicates(["record_id", "field_name", "start_pos"]))
     known = entities(found, key).select("entity", F.col("kind").alias("settled"), "sex", "attempt")
     names = [c.split()[0] for c in _ROWS.split(", ")]
 
@@ -132,14 +139,14 @@ def occurrences(records: DataFrame, allowed: tuple[str, ...] = (), key: str = su
     return found.join(known, "entity").select(*names, "settled", "sex", "attempt").mapInArrow(run, _ROWS)
 
 
-def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surrogates.DEFAULT_KEY, style: str = "placeholder", record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def redacted(records: DataFrame, key: str, allowed: tuple[str, ...] = (), style: str = "placeholder", record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``records`` with the values in ``fields`` replaced; all other text, columns and rows stay as they are.
 
     ``style`` is ``placeholder`` (the class and the 96-bit digest, ``[NAME_1f2e3d4c...]``, one per entity) or
     ``surrogate``, which joins every occurrence's surrogate to its row.
     """
     if style == "surrogate":
-        return _with_surrogates(records, allowed, key, fields)
+        return _with_surrogates(records, key, allowed, fields)
 
     def replace(text: str) -> str:
         out, at = [], 0
@@ -154,15 +161,15 @@ def redacted(records: DataFrame, allowed: tuple[str, ...] = (), key: str = surro
 
     out = records
     for f in fields:
-        sign = F.lower(F.col(f)).rlike(detect.SUSPECT_WORDS) | F.lower(F.col(f)).rlike(detect.SUSPECT_NUMBERS)
+        sign = _suspect(F.col(f), F.lower(F.col(f)))
         # Texts without a sign come back null, so that each sign is looked for once.
         out = out.withColumn(f, F.coalesce(change(F.when(sign, F.col(f))), F.col(f)))
     return out
 
 
-def _with_surrogates(records: DataFrame, allowed: tuple[str, ...], key: str, fields: tuple[str, ...]) -> DataFrame:
+def _with_surrogates(records: DataFrame, key: str, allowed: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
     rows = materialize(records.withColumn("__row", F.monotonically_increasing_id().cast("string")))
-    found = occurrences(rows, allowed, key, "__row", fields)
+    found = occurrences(rows, key, allowed, "__row", fields)
     edits = found.groupBy(F.col("record_id").alias("__row")).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate", "field_name")).alias("__edits"))
     out = rows.join(edits, "__row", "left")
     for f in fields:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanstone.llm import bpe, layout_duplicates, offensive, pair_defects, personal_data, quota_sample, source_mix, top_per_group
@@ -44,7 +46,9 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _personal(query, spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     allowed = personal_data.allow_list(table(spark, sf_dir, "name_allowlist"))
-    return query(table(spark, sf_dir, "records"), allowed, **options)
+    # Who wants the same replacements in another run names a key; otherwise each run has its own.
+    key = spark.conf.get("spark.gleanstone.key", None) or secrets.token_hex(32)
+    return query(table(spark, sf_dir, "records"), key, allowed, **options)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

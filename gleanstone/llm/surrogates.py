@@ -13,7 +13,6 @@ import re
 
 from gleanstone.llm.detect import _INITIALS, _PART, _SMALL, _TITLE_ONLY, Span
 
-DEFAULT_KEY = "gleanstone"
 # Pieces that made-up names consist of.
 _ONSETS = "b br c d dr f g gr h k l m n p r s st t th v w".split()
 _VOWELS = "a e i o u ai ea".split()
@@ -135,7 +134,7 @@ def _identity(span: Span, key: str, attempt: int) -> str:
     return "".join(digit() if c.isdigit() else chr(65 + next(draw) % 26) if c.isupper() else chr(97 + next(draw) % 26) if c.islower() else c for c in span.value)
 
 
-def replacement(span: Span, key: str = DEFAULT_KEY, attempt: int = 0, sex: str | None = None) -> str:
+def replacement(span: Span, key: str, attempt: int = 0, sex: str | None = None) -> str:
     """A value of the same type and format; another ``attempt`` gives another one.
 
     With the entity's ``sex`` given, all mentions of one entity get one surrogate, but for title, letter case and format.

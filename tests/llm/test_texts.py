@@ -80,12 +80,13 @@ def test_splitting_tree_is_exact():
     assert dealt.shape == (7, 4) and (dealt.sum(axis=0) == quotas).all() and dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
 
 
+KEY = "a key of the tests"
 FOUND = [
     ("Write to bob.smith+x@mail.example please", [("EMAIL", "bob.smith+x@mail.example")]), ("at ann (at) mail (dot) example (dot) org ok", [("EMAIL", "ann (at) mail (dot) example (dot) org")]), ("I follow @ann_help", []), ("u/a.b@c.example/x", [("EMAIL", "a.b@c.example")]),
     ("Call +44 20 7946 0555 or (555) 010-2020", [("PHONE", "+44 20 7946 0555"), ("PHONE", "(555) 010-2020")]), ("tel 01.99.00.11.22", [("PHONE", "01.99.00.11.22")]), ("on 2026-01-05 or 05-01-2026", []), ("Invoice 9941-2297, order 5765-765", []), ("firmware 4.3.0.7.1", []),
     ("card 4242 4242 4242 4242", [("IDENTITY", "4242 4242 4242 4242")]), ("old order 4242424242424241", []), ("iban DE89 3704 0044 0532 0130 00 thanks", [("IDENTITY", "DE89 3704 0044 0532 0130 00")]), ("ssn 937-67-2809", [("IDENTITY", "937-67-2809")]), ("passport XK1234567", [("IDENTITY", "XK1234567")]), ("Steuer-ID 00 963 915 094", [("IDENTITY", "00 963 915 094")]), ("serial 478810645592081910722717", []),
     ("Send it to 12B Oak Street now", [("ADDRESS", "12B Oak Street")]), ("Flat 3, 12 Oak Lane, Town XQ1 4ZZ please", [("ADDRESS", "Flat 3, 12 Oak Lane, Town XQ1 4ZZ")]), ("Eichenstraße 12 und", [("ADDRESS", "Eichenstraße 12")]), ("12 bis Rue des Lilas, Ville", [("ADDRESS", "12 bis Rue des Lilas, Ville")]), ("Calle del Sol 5, 3º B", [("ADDRESS", "Calle del Sol 5, 3º B")]), ("Width 20 x 40 cm, batch 12 Square tiles", []),
-    ("This is Ann O'Dell writing.", [("NAME", "Ann O'Dell")]), ("Ask for Dr. Dell at noon", [("NAME", "Dr. Dell")]), ("Regards, van Dell, Ann", [("NAME", "van Dell, Ann")]), ("this is ann dell writing", [("NAME", "ann dell")]), ("this is off limits for me", []), ("Kind regards\nyour team", []), ("The Mr Bristle box", []), ("the MR BRISTLE box", []), ("See [EMAIL_1] and [NAME_2].", []), ("I spoke to the desk", []),
+    ("This is Ann O'Dell writing.", [("NAME", "Ann O'Dell")]), ("Ask for Dr. Dell at noon", [("NAME", "Dr. Dell")]), ("Herr Dr. Klaus von Dell", [("NAME", "Herr Dr. Klaus von Dell")]), ("my neighbour Has The same", []), ("Regards, van Dell, Ann", [("NAME", "van Dell, Ann")]), ("this is ann dell writing", [("NAME", "ann dell")]), ("this is off limits for me", []), ("Kind regards\nyour team", []), ("The Mr Bristle box", []), ("the MR BRISTLE box", []), ("See [EMAIL_1] and [NAME_2].", []), ("I spoke to the desk", []),
     ("", []),
 ]
 
@@ -101,16 +102,16 @@ def personal(spark):
 
 
 def test_prefilter_misses_nothing_and_positions_are_code_points(spark):
-    got = {(r["record_id"], r["field_name"], r["pii_class"], r["start_pos"]) for r in personal_data.occurrences(personal(spark), ("mr bristle",)).collect()}
+    got = {(r["record_id"], r["field_name"], r["pii_class"], r["start_pos"]) for r in personal_data.occurrences(personal(spark), KEY, ("mr bristle",)).collect()}
     want = {(f"r{i:02d}", "input_text", s.pii_class, s.start) for i, (t, _) in enumerate(FOUND) for s in detect.find(t, ("mr bristle",))}
     assert want <= got and ("big", "input_text", "EMAIL", 120_005) in got and len(got - want) == 2
-    assert personal_data.occurrences(personal(spark).limit(0)).count() == 0
+    assert personal_data.occurrences(personal(spark).limit(0), KEY).count() == 0
 
 
 GATED = [
     "my ssn #123-45-6789", "ssn/123-45-6789", "ssn+123-45-6789", "I live at 12 B rue Victor Hugo", "ring 001(555)123-4567 soon", "00 1", "_DE89370400440532013000", "Mr X", "Eichenstraße     12 und", "Calle. Sol 5 ok", "Flat A12 Oak Lane now", "12 B2 Street x",
     "ssn 123\x1c45\x1c6789", "tel +\u0664\u0664 \u0662\u0660 \u0667\u0669\u0664\u0666 \u0660\u0665\u0665\u0665", "pa\u017f\u017fport XK1234567", "ssn 123-45-6789", "DE89 3704 0044 0532 0130 00", "AB 12 34 56 C", "X1234567L 12345678Z", "4242.4242.4242.4242", "00 44 20 7946 0555", "0044 20 7946 0555", "555-010-2020",
-    "01.99.00.11.22", "030/1234567", "12 bis Rue des Lilas", "apt 3, 12 oak lane", "12 Oak\u00a0Lane", "ann [at] mail [dot] example [dot] org", "numéro\u2003fiscal 12345678", "Personalausweis T220001293", "Ann Dell will  collect it", "Avda. Sol 5",
+    "01.99.00.11.22", "030/1234567", "12 bis Rue des Lilas", "apt 3, 12 oak lane", "12 Oak\u00a0Lane", "ann [at] mail [dot] example [dot] org", "numéro\u2003fiscal 12345678", "Personalausweis T220001293", "Ann Dell from  the night desk has it", "Avda. Sol 5", "The technician, Xeno Quill, left", "contact Xeno\u00a0van Quill", "Ivan Quill", "скажите Ивану Петрову", "водитель Тимур Галиев",
 ]
 
 
@@ -121,9 +122,23 @@ def test_prefilter_passes_every_alternative(spark):
     assert sum(bool(detect.find(t)) for t in GATED) >= 28
 
 
+def test_names_without_known_phrases():
+    """Mentions written for this purpose, and texts that name nobody."""
+    from tests.llm.heldout_names import NAMED, UNNAMED
+
+    found = [name in [s.value for s in detect.find(t) if s.pii_class == "NAME"] for t, name in NAMED]
+    assert sum(found) >= 0.95 * len(NAMED)
+    assert [t for t in UNNAMED if detect.find(t)] == []
+
+
+def test_a_key_is_required():
+    with pytest.raises(ValueError, match="key"):
+        personal_data.entity_digest(detect.Span(0, 1, "NAME", "name", "x"), "")
+
+
 def test_redaction_keeps_the_rest(spark):
     for style in ("placeholder", "surrogate"):
-        out = {r["record_id"]: r for r in personal_data.redacted(personal(spark), ("mr bristle",), style=style).collect()}
+        out = {r["record_id"]: r for r in personal_data.redacted(personal(spark), KEY, ("mr bristle",), style=style).collect()}
         for i, (text, _) in enumerate(FOUND):
             new, at = out[f"r{i:02d}"]["input_text"], 0
             for s in detect.find(text, ("mr bristle",)):
@@ -133,40 +148,40 @@ def test_redaction_keeps_the_rest(spark):
                 at = s.end
             assert new.endswith(text[at:])
         assert out["nil"]["input_text"] is None and out["r00"]["entity"] == "x" * 9
-    assert personal_data.redacted(personal(spark)).count() == personal(spark).count()
+    assert personal_data.redacted(personal(spark), KEY).count() == personal(spark).count()
 
 
 def test_placeholders_tell_entities_apart_beyond_32_bits(spark, monkeypatch):
     # Two entities whose digests agree in their first eight digits.
     monkeypatch.setattr(personal_data, "entity_digest", lambda span, key: "1f2e3d4c" + span.value[:1].encode().hex() * 8)
     df = spark.createDataFrame([("1", "write to ann@mail.example or bob@mail.example")], "record_id string, input_text string")
-    text = personal_data.redacted(df, fields=("input_text",)).collect()[0]["input_text"]
+    text = personal_data.redacted(df, KEY, fields=("input_text",)).collect()[0]["input_text"]
     assert text == f"write to [EMAIL_1f2e3d4c{'61' * 8}] or [EMAIL_1f2e3d4c{'62' * 8}]"
 
 
 def test_surrogates_keep_type_and_format():
     span = lambda c, k, v: detect.Span(0, len(v), c, k, v)
-    card = surrogates.replacement(span("IDENTITY", "card", "4242-4242-4242-4242"))
+    card = surrogates.replacement(span("IDENTITY", "card", "4242-4242-4242-4242"), KEY)
     assert detect.luhn(card.replace("-", "")) and card[4] == "-" and card.startswith("4242")
-    assert detect.iban_ok(surrogates.replacement(span("IDENTITY", "iban", "DE89 3704 0044 0532 0130 00")).replace(" ", ""))
-    a, b, c = (surrogates.replacement(span("NAME", "name", v)) for v in ("Mrs Ann Dell", "DELL, ANN", "Mr Dell"))
+    assert detect.iban_ok(surrogates.replacement(span("IDENTITY", "iban", "DE89 3704 0044 0532 0130 00"), KEY).replace(" ", ""))
+    a, b, c = (surrogates.replacement(span("NAME", "name", v), KEY) for v in ("Mrs Ann Dell", "DELL, ANN", "Mr Dell"))
     assert a.split()[2].lower() == b.split(",")[0].lower() == c.split()[1].lower() and b.isupper() and a.startswith("Mrs ")
     assert surrogates.canonical(span("NAME", "name", "Mr  Ann Dell")) == surrogates.canonical(span("NAME", "name", "Dell, Ann"))
-    assert surrogates.replacement(span("PHONE", "phone", "+44 20 7946 0555"))[:5] == "+44 2"
-    assert " (at) " in surrogates.replacement(span("EMAIL", "email", "ann (at) mail (dot) example"))
+    assert surrogates.replacement(span("PHONE", "phone", "+44 20 7946 0555"), KEY)[:5] == "+44 2"
+    assert " (at) " in surrogates.replacement(span("EMAIL", "email", "ann (at) mail (dot) example"), KEY)
 
 
 def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     rows = [(f"e{i}", "NAME", "name", f"Ann{i} Dell") for i in range(6)]
     found = spark.createDataFrame(rows, "entity string, pii_class string, kind string, value string")
-    out = personal_data.entities(found).collect()
+    out = personal_data.entities(found, KEY).collect()
     assert len({r["surrogate"] for r in out}) == 6
 
 
 def test_mentions_of_one_entity_share_one_surrogate(spark, monkeypatch):
     texts = ["Regards, Frau Garrick Brackwater", "Regards, Garrick Brackwater", "Regards, BRACKWATER, GARRICK", "Ask for Dr. Dell at noon", "Regards, Dell", "Tel. +44 20 7946 0555", "Tel. 0044 20 7946 0555"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, input_text string")
-    known = lambda: {r["record_id"]: r for r in personal_data.occurrences(df, fields=("input_text",)).collect()}
+    known = lambda: {r["record_id"]: r for r in personal_data.occurrences(df, KEY, fields=("input_text",)).collect()}
     form = lambda r: surrogates.canonical(detect.Span(0, 0, r["pii_class"], r["kind"], r["surrogate"]))
     rows = known()
     assert len(rows) == len(texts)
@@ -178,7 +193,7 @@ def test_mentions_of_one_entity_share_one_surrogate(spark, monkeypatch):
     for attempt in (0, 1, -1):
         monkeypatch.setattr(personal_data, "entities", lambda found, key, n=attempt: real(found, key).withColumn("attempt", F.lit(n)))
         drawn = known()
-        out = {r["record_id"]: r["input_text"] for r in personal_data.redacted(df, style="surrogate", fields=("input_text",)).collect()}
+        out = {r["record_id"]: r["input_text"] for r in personal_data.redacted(df, KEY, style="surrogate", fields=("input_text",)).collect()}
         assert out == {i: texts[int(i)].replace(r["value"], r["surrogate"]) for i, r in drawn.items()}
         assert (drawn["0"]["surrogate"] == rows["0"]["surrogate"]) == (attempt == 0) and drawn["0"]["surrogate"].endswith(drawn["0"]["entity"]) == (attempt < 0)
 
