@@ -132,8 +132,10 @@ NAME = re.compile(_NAME, _I)
 _BELONGING = r"from\s+(?:the|our|your)\s+(?:\w+\s+){0,2}(?:desk|team|office|department|branch|company|shop)"
 AFTER = re.compile(rf"(?:^|[.!?;:…\n\"“«>)—]|\s-)\s*({_NAME})\s+{_BELONGING}(?!\w)", _I)
 _CAPITAL = rf"(?:[{_UP}][^\W\d_]*|[А-ЯЁ][а-яё]+)(?:['’\-][{_UP}]?[^\W\d_]+)*"
+#: What stands between a given name and a family name.
+_JOINED = r"(?:van|von|de|del|della|di|da|dos|ten|ter)(?:\s+(?:der|den|la|las|los))?\s+"
 #: Two capitalised words or more, perhaps with an initial and particles between.
-FULL = re.compile(rf"{_CAPITAL}(?:\s+[{_UP}А-ЯЁ]\.)?\s+{_PARTICLES}{_CAPITAL}(?:\s+{_CAPITAL})?")
+FULL = re.compile(rf"{_CAPITAL}(?:\s+[{_UP}А-ЯЁ]\.)?\s+(?:{_JOINED})?{_CAPITAL}(?:\s+{_CAPITAL})?")
 _SMALL_WORD = re.compile(r"(?<![^\W_])[a-zß-öø-ÿа-яё][^\W\d_]{2,}")
 GIVEN_FIRST = re.compile(rf"(?<![\w@./-])(?:{trie(GIVEN, ' ')}(?:-[^\W\d_]+)?|{trie(GIVEN_CYRILLIC, ' ')}[а-яё]{{0,3}})(?=\s)")
 ROLE = re.compile(rf"(?<!\w){trie(ROLES, r'\s+')}(?:\s*[,:])?\s+(?=[^\W\d_])")
@@ -166,16 +168,18 @@ _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity ca
 _WORD_TRIE = trie([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], _SP + "+")
 #: Letters that the patterns take for i and s, and digits of other scripts.
 _OTHER_FORMS = r"[\x{17f}\x{131}\x{307}[\p{Nd}&&[^0-9]]]"
+SUSPECT_FORMS = _OTHER_FORMS
+#: Spelled-out signs of an e-mail address, looked for where one of their ends stands.
+SUSPECT_AT = rf"[(\[]{_SP}?at{_SP}?[)\]]"
 SUSPECT_WORDS = (
-    rf"@|[(\[]{_SP}?at{_SP}?[)\]]|{_OTHER_FORMS}"
-    rf"|(?<![a-z0-9])[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})"
-    rf"|(?<![a-z0-9_])(?:{_WORD_TRIE}|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
+    rf"(?<![a-z0-9])(?:[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|(?<!_)(?:{_WORD_TRIE}"
+    rf"|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
     rf"|{trie(GIVEN, ' ')}(?:-[^{_BLANKS}]+)?{_SP}|{trie(GIVEN_CYRILLIC, ' ')}|from{_SP}+(?:the|our|your){_SP}+(?:[^{_BLANKS}]+{_SP}+){{0,2}}(?:desk|team|office|department|branch|company|shop)"
     rf"|(?:flat|apartment|apt\.?|unit|suite){_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}"
-    rf"|[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9]))"
+    rf"|[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
 )
 #: On texts as they are: two capitalised words behind a small letter, a comma or a colon.
-SUSPECT_CAPITALS = rf"(?<=[\p{{Ll}},:]){_SP}++\p{{Lu}}[\p{{L}}'’.-]*+{_SP}++(?:(?!\p{{Lu}})[\p{{L}}.]{{1,5}}{_SP}++){{0,3}}\p{{Lu}}"
+SUSPECT_CAPITALS = rf"(?<=[\p{{Ll}},:]){_SP}++\p{{Lu}}[\p{{L}}'’-]*+{_SP}++(?:\p{{Lu}}\.{_SP}++)?(?:{_JOINED.replace(chr(92) + 's', _SP)})?\p{{Lu}}"
 SUSPECT_NUMBERS = (
     rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
     rf"|(?<![.-])\d{{3}}[{_BLANKS}.{_LINE}]+\d{{2,3}}[{_BLANKS}.{_LINE}]+\d{{4}}(?!\d)|(?<![+#])\d(?:[{_BLANKS}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"

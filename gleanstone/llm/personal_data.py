@@ -36,7 +36,10 @@ def allow_list(phrases: DataFrame, column: str = "phrase") -> tuple[str, ...]:
 
 def _suspect(text: Column, lower: Column) -> Column:
     """Whether a text may hold personal data; cheaper signs first."""
-    return lower.rlike(detect.SUSPECT_WORDS) | lower.rlike(detect.SUSPECT_NUMBERS) | text.rlike(detect.SUSPECT_CAPITALS)
+    holds = lambda sign: F.contains(lower, F.lit(sign))
+    spelled = (holds(")") | holds("]")) & lower.rlike(detect.SUSPECT_AT)
+    foreign = (F.octet_length(lower) > F.length(lower)) & lower.rlike(detect.SUSPECT_FORMS)
+    return holds("@") | spelled | foreign | text.rlike(detect.SUSPECT_CAPITALS) | lower.rlike(detect.SUSPECT_NUMBERS) | lower.rlike(detect.SUSPECT_WORDS)
 
 
 def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
