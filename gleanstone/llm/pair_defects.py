@@ -2,7 +2,7 @@
 
 A linear-chain conditional random field tags the clauses of a response as
 answer, refusal, echo, foreign or unfinished. It is trained here, on the driver,
-on sequences composed from the exemplars below by fixed rules (their number is
+on sequences composed from frames by fixed rules (their number is
 ``TRAINING_SEQUENCES``, whatever the data); weights of a few thousand features are
 broadcast. Responses are tagged where they lie, in Arrow batches, and the share
 of a response's letters under each tag gives the pair's defect.
@@ -20,67 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleanstone.llm.crf import ChainCRF
-from gleanstone.llm.languages import CODES, asked_for, decide, evidence
+from gleanstone.llm.languages import CODES, asked_for, language
+from gleanstone.llm.pair_training import ANSWERS, COURTESIES, QUESTIONS, REFUSALS, SHORT_ANSWERS, SIGN_OFFS, drawn
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-TRAINING_SEQUENCES = 3000
+TRAINING_SEQUENCES = 6000
 CACHE_CLAUSES = 200_000
+#: What a clause without any known word lacks for being a refusal, in log-odds.
+UNKNOWN = 4.0
+#: Share of the question's word pairs that an echo holds at least.
+HELD_BACK = 0.5
 DEFECTS = ("empty", "truncated", "refusal", "echo", "wrong_language")
 
-# Clauses of proper answers, among them such as speak of limits without refusing.
-ANSWERS = {
-    "en": (
-        "Open the settings page and press the reset button.", "Please unplug the lamp, wait ten minutes and plug it in again.",
-        "I am unable to see your device from here, so please read the number on its back.", "I cannot see a second payment yet, but here is how to check it yourself.",
-        "It is against our policy to charge for a broken part, the new one is free.", "Sorry, the desk can only refund 20 EUR, and that is done.",
-        "Sorry for the delay, the desk was short of people this week.", "We can't ship on Friday, so the part will come one day later.",
-        "The bank declined the second charge, so nothing was taken.", "The second charge of 80 EUR was a hold and will drop off within 8 days.",
-        "The old cable does not fit, but the one from the newer model does.", "Your plan ends on Monday and nothing more will be charged.",
-        "Thank you for the photos, they helped us to find the fault.", "A cracked cover is covered, so you don't have to pay for the repair.",
-        "You can keep the camera until the replacement has arrived.", "I checked the account page and the code now works.",
-        "The customer reports a broken part and asks for a refund of 30 EUR.", "We have sent a new part, which should reach you by Tuesday.",
-        "Hold the button down until the light turns green.", "The heater may stay on for 9 hours if the filter is dry.",
-        "I have passed this to a colleague.", "A copy was sent to your address.", "The refund goes to your account.", "The driver will ring first.",
-        "I can't promise a date, but the repair is free.", "You cannot open the lid while it is hot.", "The colleague from the desk has your case.", "It will be delivered to your home.",
-        "I don't want a new one.", "I would rather have the money.", "I already restarted it 9 times.", "I paid 30 EUR in the shop.", "The seller blames the cable.", "My neighbour has the same lamp and it works.",
-    ),
-    "de": ("Bitte ziehen Sie den Stecker und warten Sie zehn Minuten.", "Wir haben Ihnen ein neues Teil geschickt, das bis Freitag bei Ihnen sein sollte.", "Vielen Dank für die Bilder, damit konnten wir den Fehler finden.", "Öffnen Sie die Seite und drücken Sie die runde Taste.", "Sie müssen also nichts bezahlen.", "Die zweite Abbuchung war nur eine Vormerkung und verschwindet nach 9 Tagen.", "Ich kann die Zahlung noch nicht sehen, aber so prüfen Sie es selbst."),
-    "fr": ("Veuillez débrancher l'appareil, attendre dix minutes et le rebrancher.", "Nous avons envoyé une nouvelle pièce, qui devrait arriver avant vendredi.", "Merci pour les photos, elles nous ont aidés à trouver la panne.", "Ouvrez la page et appuyez sur le bouton rond.", "Vous n'avez donc rien à payer.", "Le second débit était une simple réserve et disparaîtra dans 9 jours.", "Je ne vois pas encore le paiement, mais voici comment le vérifier."),
-    "es": ("Desenchufe el aparato, espere diez minutos y vuelva a enchufarlo.", "Hemos enviado una pieza nueva, que debería llegar antes del viernes.", "Gracias por las fotos, nos ayudaron a encontrar el fallo.", "Abra la página y pulse el botón redondo.", "No tiene que pagar nada.", "El segundo cargo era solo una reserva y desaparecerá en 9 días.", "No puedo ver el pago todavía, pero así puede comprobarlo."),
-    "pt": ("Desligue o aparelho da tomada, espere dez minutos e volte a ligá-lo.", "Enviámos uma peça nova, que deve chegar antes de sexta-feira.", "Abra a página e carregue no botão redondo.", "Não tem de pagar nada.", "A segunda cobrança era apenas uma reserva e desaparece em 9 dias.", "Obrigado pelas fotografias, ajudaram-nos a encontrar a avaria.", "Ainda não vejo o pagamento, mas pode verificar assim."),
-}
-SHORT_ANSWERS = ("20 EUR was paid on Monday", "Done - refund of 20 EUR issued", "Yes, 20 EUR is the full price", "Confirmed: 20 EUR credited", "Yes", "Today")
-SIGN_OFFS = (("Kind regards", "your team"), ("Mit freundlichen Grüßen", "Ihr Team"), ("Cordialement", "votre équipe"), ("Saludos", "su equipo"))
-# Clauses that decline to answer.
-REFUSALS = {
-    "en": (
-        "I cannot help with that.", "I can't assist with this request.", "I'm not able to discuss that request.", "I am unable to answer this question.", "I won't be helping with this one.",
-        "Unfortunately this is something I must decline.", "No comment can be given on this subject by an automated helper.", "As a virtual assistant I have to pass on this.",
-        "We regret that the assistant is not allowed to comment on this topic.", "That falls outside what I'm permitted to do, so no answer will follow.", "It would not be appropriate for me to answer.",
-        "Request declined for policy reasons.", "This assistant does not take on such questions.", "I'd rather not answer that.", "That is a topic I stay away from.", "I can't provide an answer to that.",
-        "Apologies - I cannot assist with matters of this kind.", "You will have to ask someone else, this is off limits for me.", "My guidelines prevent me from responding here.",
-        "I don't feel comfortable dealing with this message.", "As an AI language model, I cannot do that.", "I must refuse to respond to this.", "Sorry, no.", "I do not wish to talk about this subject.",
-    ),
-    "de": ("Dabei kann ich Ihnen leider nicht helfen.", "Zu diesem Thema gebe ich keine Auskunft, bitte haben Sie Verständnis.", "Diese Anfrage darf ich nicht beantworten.", "Das muss ich leider ablehnen.", "Dazu kann ich nichts sagen."),
-    "fr": ("Je ne peux malheureusement pas répondre à cette demande.", "Il m'est interdit de traiter ce sujet.", "Désolé, je dois refuser cette demande.", "Je ne peux pas vous aider avec cela.", "Je préfère ne pas en parler."),
-    "es": ("No me está permitido responder a esto.", "Lo siento, no puedo ayudarle con esa petición.", "No puedo responder a esa pregunta.", "Prefiero no hablar de ese tema.", "Debo rechazar esta solicitud."),
-    "pt": ("Lamento, mas não posso ajudar com esse pedido.", "Não me é permitido responder a isto.", "Não posso responder a essa pergunta.", "Tenho de recusar este pedido.", "Prefiro não falar sobre esse assunto."),
-}
-# Courtesies that go along with a refusal as well as with an answer.
-COURTESIES = {
-    "en": ("Sorry!", "Hm.", "Thanks for asking.", "I understand this is important to you.", "Thank you for your understanding.", "Is there anything else on your mind?", "Please rephrase your question.", "Please contact a human colleague."),
-    "de": ("Tut mir leid.", "Vielen Dank für Ihr Verständnis.", "Servus!"),
-    "fr": ("Pardon.", "Bonjour!", "Merci de votre compréhension."),
-    "es": ("Disculpe.", "Hola!", "Gracias por su comprensión."),
-    "pt": ("Desculpe.", "Olá!", "Obrigado pela compreensão."),
-}
-QUESTIONS = {
-    "en": ("from: night desk\nto: day desk\npart: lid\nref: 12345", "part=cover; from=night desk; to=day desk; note=I would rather have the money", '{"part": "cover", "to": "night desk", "note": "I already restarted it 9 times"}', "My lamp stopped charging after two weeks and the cover feels warm.", "How do I move the camera to another home?", "I was billed 30 EUR twice for the heater.", "It is order 12345."),
-    "de": ("Mir wurden 30 EUR doppelt für die Lampe berechnet.", "Wie kann ich die Kamera in eine andere Wohnung mitnehmen?", "Es geht um Auftrag 12345."),
-    "fr": ("On m'a facturé 30 EUR deux fois pour la lampe.", "Comment puis-je déplacer la caméra dans un autre logement ?", "Il s'agit de la commande 12345."),
-    "es": ("Me cobraron 30 EUR dos veces por la lámpara.", "¿Cómo puedo llevar la cámara a otra casa?", "Es el pedido 12345."),
-    "pt": ("Cobraram 30 EUR duas vezes pela lâmpada.", "Como posso levar a câmara para outra casa?", "É o pedido 12345."),
-}
 #: Words that frame a repeated question.
 FRAMES = ("Question:", "Your message was:", "You asked:", "You wrote:", "Answer:", "Frage:", "Antwort:", "Votre question :", "Su pregunta:")
 # Spellings of "there is no answer", without marks.
@@ -114,39 +65,41 @@ def is_nothing(text: str | None) -> bool:
 class Clause:
     """What a clause says by itself, whatever its numbers; kept between records."""
 
-    __slots__ = ("code", "ending", "features", "length", "pairs", "probe", "score")
+    __slots__ = ("code", "ending", "features", "length", "pairs", "probes", "score", "size")
 
     def __init__(self, text: str) -> None:
         words = [w.lower().replace("’", "'") for w in _LEXICAL.findall(text)]
-        tokens = _WORD.findall(text.lower())
+        tokens = _tokens(text)
         self.length = sum(map(len, tokens))
-        self.pairs = frozenset(zip(tokens, tokens[1:])) or frozenset(tokens)
-        self.code = decide(evidence(text))
-        #: The longest word: a question that lacks it doesn't hold the clause.
-        self.probe = max(tokens, key=len, default="")
+        # Numbers alone and one word alone repeat nothing, even if the question has them.
+        self.pairs = frozenset(zip(tokens, tokens[1:])) if any(t.isalpha() for t in tokens) else frozenset()
+        self.code = language(text)
+        #: A question without any of these doesn't hold the clause.
+        self.probes = tuple({t for t in tokens if len(t) >= 4} or set(tokens))
         end = text.rstrip().rstrip("\"”»')]}* ")
         if CUT_MARK.search(text):
             self.ending = "mark"
         elif end.endswith(("...", "…")):
             self.ending = "dots"
-        elif end.endswith((".", "!", "?", "。")):
+        elif end.endswith((".", "!", "?", "。", "！", "？", "।", "؟")):
             self.ending = "stop"
         elif end.endswith((":", ",", ";", "-")):
             self.ending = "open"
         else:
             self.ending = "open" if words and words[-1] in OPEN_ENDS else "word"
         n = len(words)
+        self.size = "short" if n <= 3 else "medium" if n <= 7 else "long"
         self.features = [f"w:{w}" for w in words] + [f"p:{a} {b}" for a, b in zip(words, words[1:])]
-        self.features += ["short" if n <= 3 else "medium" if n <= 9 else "long"]
+        self.features += [self.size]
         if any(text.lstrip("> ").startswith(f) for f in FRAMES):
             self.features.append("frame")
         self.score = None
 
 
-def context_features(overlap: int, foreign: bool | None, whole: bool, last: bool, ending: str, before: str, limited: bool, broken: bool) -> list[str]:
+def context_features(overlap: int, foreign: bool | None, whole: bool, last: bool, ending: str, before: str, size: str, limited: bool, broken: bool) -> list[str]:
     out = [f"echo:{overlap}", f"foreign:{foreign}", "whole" if whole else "part"]
     if last:
-        out.append(f"end:{ending}:{before}")
+        out += [f"end:{ending}:{before}", f"end:{ending}:{size}:{whole}"]
         if ending in ("mark", "open"):
             out.append(f"end:{ending}")
         if limited:
@@ -158,10 +111,15 @@ def context_features(overlap: int, foreign: bool | None, whole: bool, last: bool
     return out
 
 
+def _tokens(text: str) -> list[str]:
+    """Words, whatever their numbers, case and sharp s."""
+    return _WORD.findall(_DIGITS.sub("0", text).lower().replace("ß", "ss"))
+
+
 def grams(text: str) -> frozenset:
-    """Words and pairs of neighbouring words, whatever their numbers."""
-    tokens = _WORD.findall(_DIGITS.sub("0", text).lower())
-    return frozenset(tokens) | frozenset(zip(tokens, tokens[1:]))
+    """Pairs of neighbouring words."""
+    tokens = _tokens(text)
+    return frozenset(zip(tokens, tokens[1:]))
 
 
 def overlap_with(clause: Clause, question: frozenset) -> int:
@@ -175,24 +133,27 @@ def _training(seed: int = 11) -> list[list[tuple[list[str], str]]]:
     out = []
     for _ in range(TRAINING_SEQUENCES):
         lang = rng.choice(CODES) if rng.random() < 0.5 else "en"
-        question = " ".join(rng.sample(QUESTIONS[lang], 2))
-        kind = rng.choice(("answer", "answer", "answer", "refusal", "refusal", "echo", "quoted", "foreign", "unfinished", "unfinished", "broken", "short", "signed", "list"))
-        good = lambda code=lang, low=1, high=4: [rng.choice(ANSWERS[code]) for _ in range(rng.randint(low, high))]
+        asked = lambda code=lang: " ".join(drawn(rng, QUESTIONS[code]) for _ in range(rng.choice((1, 2, 2))))
+        question = asked()
+        kind = rng.choice(("answer", "answer", "answer", "answer", "refusal", "refusal", "refusal", "refusal", "echo", "quoted", "foreign", "unfinished", "unfinished", "broken", "short", "signed", "list"))
+        good = lambda code=lang, low=1, high=4: [drawn(rng, ANSWERS[code]) for _ in range(rng.randint(low, high))]
         pairs: list[tuple[str, str]] = []
         broken = False
         if kind == "answer":
-            pairs = [(c, "answer") for c in good()]
-            if rng.random() < 0.15:
-                pairs.insert(0, (rng.choice(COURTESIES[lang]), "answer"))
+            pairs = [(c, "answer") for c in good(high=rng.choice((1, 2, 4)))]
+            if rng.random() < 0.3:
+                pairs.insert(0, (drawn(rng, COURTESIES[lang]), "answer"))
         elif kind == "refusal":
-            pairs = [(rng.choice(REFUSALS[lang]), "refusal")]
+            pairs = [(drawn(rng, REFUSALS[lang]), "refusal")]
             if rng.random() < 0.5:
-                pairs.insert(0, (rng.choice(COURTESIES[lang]), "refusal"))
+                pairs.insert(0, (drawn(rng, COURTESIES[lang]), "refusal"))
             while rng.random() < 0.4 and len(pairs) < 4:
-                pairs.append((rng.choice(COURTESIES[lang]), "refusal"))
+                pairs.append((drawn(rng, COURTESIES[lang]), "refusal"))
         elif kind in ("echo", "quoted"):
             text = question if rng.random() < 0.6 else question.upper() if rng.random() < 0.5 else question.lower()
-            frame = rng.choice((*FRAMES[:4], "", ">"))
+            if rng.random() < 0.3:
+                text = text.rstrip(".?! ")  # given back without its closing mark
+            frame = rng.choice((*FRAMES[:4], "", "", ">"))
             frame = frame or ("You asked:" if kind == "quoted" else "")
             pairs = [(c, "echo") for c in split_clauses(f"{frame} {text}")]
             if kind == "quoted":
@@ -203,18 +164,18 @@ def _training(seed: int = 11) -> list[list[tuple[list[str], str]]]:
             other = rng.choice([c for c in CODES if c != lang])
             pairs = [(c, "foreign") for c in good(other)]
         elif kind == "unfinished":
-            pairs = [(c, "answer") for c in good(low=2, high=5)]
+            pairs = [(c, "answer") for c in good(low=1, high=rng.choice((1, 3, 5)))]
             text = pairs[-1][0]
             cut = text[: rng.randint(3, max(4, len(text) - 4))].rstrip(" .")
             pairs[-1] = (cut + rng.choice(("", "", "", "… [truncated]", " [output cut at limit]", " <|cut|>")), "unfinished")
         elif kind == "broken":
             broken = True
-            whole = json.dumps({"summary": rng.choice(ANSWERS[lang]), "steps": good(low=2, high=5)}, ensure_ascii=False)
+            whole = json.dumps({"summary": drawn(rng, ANSWERS[lang]), "steps": good(low=2, high=5)}, ensure_ascii=False)
             clauses = split_clauses(whole[: rng.randint(25, len(whole) - 2)])
             pairs = [(c, "answer") for c in clauses[:-1]] + [(clauses[-1], "unfinished")]
         elif kind == "short":
-            lang, question = "en", " ".join(rng.sample(QUESTIONS["en"], 2))
-            pairs = [(rng.choice(SHORT_ANSWERS), "answer")]
+            lang, question = "en", asked("en")
+            pairs = [(drawn(rng, SHORT_ANSWERS), "answer")]
         elif kind == "signed":
             pairs = [(c, "answer") for c in (*good(), *rng.choice(SIGN_OFFS))]
         else:
@@ -227,14 +188,18 @@ def _training(seed: int = 11) -> list[list[tuple[list[str], str]]]:
 
 def _featurise(clauses: list[str], labels: list[str], question: str, limited: bool, broken: bool, rng: random.Random) -> list[tuple[list[str], str]]:
     seen = [Clause(_DIGITS.sub("0", c)) for c in clauses]
-    asked, own = grams(question), decide(evidence(question), 1.0, 0.5)
+    asked, own = grams(question), language(question, 1.0, 0.5)
+    # A few proper answers keep no word: what is merely unknown is an answer.
+    unknown = rng.random() < (0.4 if len(seen) == 1 else 0.15) and set(labels) <= {"answer", "foreign"}
     out = []
     for t, clause in enumerate(seen):
         foreign = None if clause.code is None or own is None else clause.code != own
         last = t == len(seen) - 1
-        context = context_features(overlap_with(clause, asked), foreign, len(seen) == 1, last, clause.ending, seen[t - 1].ending if t else "none", limited, broken and last)
+        context = context_features(overlap_with(clause, asked), foreign, len(seen) == 1, last, clause.ending, seen[t - 1].ending if t else "none", clause.size, limited, broken and last)
         # Dropped words teach the field to rely on endings, overlap and language as well.
         words = [f for f in clause.features if rng.random() < 0.5] if rng.random() < 0.7 else clause.features
+        if unknown:
+            words = [f for f in clause.features if f[:2] not in ("w:", "p:")]
         out.append((words + context, labels[t]))
     return out
 
@@ -262,7 +227,11 @@ class Tagger:
             if len(self.known) >= CACHE_CLAUSES:
                 self.known.clear()
             found = Clause(text)
+            if found.code not in (None, *CODES):  # words of a language without training say nothing
+                found.features = [f for f in found.features if f[:2] not in ("w:", "p:")]
             found.score = self.field.emission(found.features)
+            if not any(f[:2] in ("w:", "p:") and f in self.field.index for f in found.features):
+                found.score[LABELS.index("refusal")] -= UNKNOWN  # nobody declines without a word for it
             found.features = None
             self.known[text] = found
         return found
@@ -276,8 +245,8 @@ class Tagger:
                 broken = True
         clauses = [self.clause(c) for c in split_clauses(body)]
         question = question or ""
-        lower, asked = question.lower(), None
-        own = decide(evidence(question), 1.0, 0.5)
+        lower, asked = question.lower().replace("ß", "ss"), None
+        own = language(question, 1.0, 0.5)
         allowed = {own}
         if own and any(c.code not in (None, own) for c in clauses):
             allowed.add(asked_for(question))
@@ -286,11 +255,11 @@ class Tagger:
         rows = np.empty((n, len(LABELS)))
         for t, c in enumerate(clauses):
             overlap = 0
-            if c.probe in lower or "0" in c.probe:
+            if c.pairs and any(p in lower for p in c.probes):
                 asked = grams(question) if asked is None else asked
                 overlap = overlap_with(c, asked)
             last = t == n - 1
-            key = (overlap, None if c.code is None or not own else c.code not in allowed, n == 1, last, c.ending, before if last else "", limited and last, broken and last)
+            key = (overlap, None if c.code is None or not own else c.code not in allowed, n == 1, last, c.ending, before if last else "", c.size if last else "", limited and last, broken and last)
             score = context.get(key)
             if score is None:
                 score = context[key] = self.field.emission(context_features(*key))
@@ -312,12 +281,14 @@ def _strings(value) -> Iterator[str]:
         yield str(value)
 
 
-def judge(clauses: list[Clause], tags: np.ndarray) -> tuple[str | None, dict[str, float]]:
-    """The pair's defect from the shares of letters under each tag."""
+def judge(clauses: list[Clause], tags: np.ndarray, question: str | None, response: str) -> tuple[str | None, dict[str, float]]:
+    """The pair's defect from the shares of letters under each tag. Who only gives the question back holds at least half of it."""
     sizes = np.array([c.length for c in clauses], dtype=float)
     share = {name: float(sizes[tags == i].sum() / max(sizes.sum(), 1.0)) for i, name in enumerate(LABELS)}
     if share["echo"] + (share["unfinished"] if share["echo"] > 0.5 else 0.0) >= 0.8:
-        return "echo", share
+        asked = grams(question or "")
+        if len(asked & grams(response)) >= HELD_BACK * len(asked):
+            return "echo", share
     if len(tags) and tags[-1] == LABELS.index("unfinished"):
         return "truncated", share
     if share["refusal"] >= 0.5:
@@ -354,7 +325,7 @@ def tag_pairs(records: DataFrame, record_id: str = "record_id", question: str =
                 waiting.append(scores)
                 who.append((i, clauses))
             for (i, clauses), tags in zip(who, tagger.field.decode(waiting)):
-                defects[i], share = judge(clauses, tags)
+                defects[i], share = judge(clauses, tags, asked[i], said[i])
                 shares[i] = [share[name] for name in LABELS]
             columns = [pa.array(shares[:, k]) for k in range(len(LABELS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(defects, pa.string()), *columns], names=[record_id, "defect", *LABELS])

@@ -204,6 +204,10 @@ PAIRS = [
     ("Why is my lamp dark?", "Sorry! I'm not able to discuss that request. Thank you for your understanding.", None, "refusal"), ("Warum ist meine Lampe dunkel und kalt?", "Diese Anfrage darf ich nicht beantworten.", None, "refusal"),
     ("Why is my lamp dark? It is order 12.", "WHY IS MY LAMP DARK? IT IS ORDER 12.", None, "echo"), ("Why is my lamp dark? It is order 12.", "You asked: Why is my lamp dark? It is order 12. Please press the button and wait ten minutes.", None, None),
     ("Why is my lamp dark after the update?", "Bitte ziehen Sie den Stecker und warten Sie zehn Minuten.", None, "wrong_language"), ("Why is my lamp dark? Please answer in German.", "Bitte ziehen Sie den Stecker und warten Sie zehn Minuten.", None, None),
+    ("What is 2+2?", "4", None, None), ("Is it red or blue?", "Red", None, None), ("How do I reset my lamp?", "how do I reset my lamp", None, "echo"), ("Die Straße ist lang und das Paket kam nicht an.", "DIE STRASSE IST LANG UND DAS PAKET KAM NICHT AN.", None, "echo"),
+    ("Why is my lamp dark after the update?", "Проверьте, пожалуйста, кабель и подождите десять минут.", None, "wrong_language"), ("Why is my lamp dark after the update?", "Controleer de kabel en wacht tien minuten, dan werkt het weer.", None, "wrong_language"), ("Why is my lamp dark after the update?", "Kontrollera kabeln och vänta i tio minuter.", None, "wrong_language"),
+    ("Why is my lamp dark after the update?", "请检查电缆，然后等待十分钟。", None, "wrong_language"), ("Why is my lamp dark after the update?", "يرجى فحص الكابل والانتظار عشر دقائق.", None, "wrong_language"), ("Why is my lamp dark? Please answer in Dutch.", "Controleer de kabel en wacht tien minuten, dan werkt het weer.", None, None),
+    ("为什么我的灯不亮？", "请检查电缆，然后等待十分钟。", None, None), ("Почему лампа не горит?", "Проверьте, пожалуйста, кабель и подождите десять минут.", None, None), ("Waarom is mijn lamp donker?", "Controleer de kabel en wacht tien minuten.", None, None), ("Why is my lamp dark?", "That request is not one I can take on.", None, "refusal"),
     ("Why is my lamp dark?", "I am unable to see your lamp from here, so please read the number on its back.", None, None), ("Why is my lamp dark?", "Steps:\n1. Press the button\n2. Wait ten minutes", None, None), (None, "Please press the button and wait.", None, None), ("Why is my lamp dark?", "Please press the button and wait. " * 3000, None, None),
 ]
 
@@ -231,10 +235,18 @@ def test_field_learns_and_decodes_like_brute_force():
         assert tuple(path) == best
 
 
+LANGUAGES = [
+    ("it", "Il pacco è arrivato ieri, ma manca il cavo."), ("nl", "Het pakket is gisteren aangekomen, maar de kabel ontbreekt."), ("sv", "Paketet kom igår, men kabeln saknas."), ("pl", "Paczka przyszła wczoraj, ale brakuje kabla."), ("cs", "Balík přišel včera, ale chybí kabel."), ("ro", "Pachetul a sosit ieri, dar lipsește cablul."),
+    ("hu", "A csomag tegnap megérkezett, de hiányzik a kábel."), ("tr", "Paket dün geldi ama kablo eksik."), ("fi", "Paketti tuli eilen, mutta johto puuttuu."), ("hr", "Svjetiljku možete preuzeti kod nas sutra."), ("ca", "Podeu recollir el llum demà a la botiga."), ("id", "Anda dapat mengambil lampu itu besok di toko kami."), ("vi", "Bạn có thể lấy đèn vào ngày mai tại cửa hàng."),
+    ("en", "You can pick the lamp up at our shop tomorrow."), ("de", "Sie können die Lampe morgen bei uns abholen."), ("fr", "Vous pouvez venir chercher la lampe demain."), ("es", "Puede recoger la lámpara mañana en la tienda."), ("pt", "Pode levantar o candeeiro amanhã na loja."), ("ru", "Посылка пришла вчера, но не хватает кабеля."), ("uk", "Посилка прийшла вчора, але немає кабелю."),
+    ("zh", "包裹昨天到了，但是缺少电缆。"), ("ja", "荷物は昨日届きましたが、ケーブルがありません。"), ("ko", "소포는 어제 도착했지만 케이블이 없습니다."), ("ar", "وصل الطرد أمس لكن الكابل مفقود."), ("el", "Το δέμα ήρθε χθες αλλά λείπει το καλώδιο."), ("he", "החבילה הגיעה אתמול אבל הכבל חסר."), ("hi", "पार्सल कल आया लेकिन केबल गायब है।"), ("th", "พัสดุมาถึงเมื่อวานแต่ไม่มีสายไฟ"),
+]
+
+
 def test_languages():
-    assert languages.decide(languages.evidence("Wie kann ich das Gerät wieder einschalten?")) == "de"
-    assert languages.decide(languages.evidence("12345 ABC")) is None
-    assert languages.asked_for("Please answer in Portuguese.") == "pt" and languages.asked_for("bitte antworten Sie auf Deutsch") == "de" and languages.asked_for("answer soon") is None
+    assert [(c, languages.language(t)) for c, t in LANGUAGES if languages.language(t) != c] == []
+    assert languages.language("12345 ABC") is None and languages.language("") is None
+    assert languages.asked_for("Please answer in Portuguese.") == "pt" and languages.asked_for("bitte antworten Sie auf Deutsch") == "de" and languages.asked_for("answer soon") is None and languages.asked_for("Reply in Russian, please") == "ru"
 
 
 def test_probabilities_sum_to_one():
