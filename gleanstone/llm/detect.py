@@ -125,6 +125,26 @@ def trie(phrases: list[str], blank: str) -> str:
     return write(tree)
 
 
+def sign_trie(signs: dict[str, str], blank: str) -> str:
+    """A pattern that finds any sign with what must follow it; beyond a sign that nothing need follow it doesn't look."""
+    tree: dict = {}
+    for sign, tail in signs.items():
+        node = tree
+        for c in sign:
+            node = node.setdefault(c, {})
+        node.setdefault("", []).append(tail)
+
+    def write(node: dict) -> str:
+        tails = node.get("", [])
+        if "" in tails:
+            return ""
+        parts = [(blank if c == " " else re.escape(c)) + write(child) for c, child in sorted((c, n) for c, n in node.items() if c)]
+        parts += tails
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return write(tree)
+
+
 BEFORE = re.compile(rf"(?<!\w){trie(NAMED_AFTER, r'\s+')}(?!\w)")
 _SKIP = re.compile(rf"\s*[,;:!.…{_DASH}—]*\s*")
 NAME = re.compile(_NAME, _I)
@@ -165,23 +185,23 @@ _SP = f"[{_BLANKS}]"
 _LINE = r"\x{2010}-\x{2013}-"
 _TITLE_WORDS = re.sub(r"[(?:)]", "", _TITLES).split("|")
 _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity card|personalausweis|ausweis|carte d|dni|nie|nif|tin|nino|bilhete|steuer|idnr|tax id|tax n|numéro fiscal|número fiscal".split("|")
-_WORD_TRIE = trie([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], _SP + "+")
 #: Letters that the patterns take for i and s, and digits of other scripts.
 _OTHER_FORMS = r"[\x{17f}\x{131}\x{307}[\p{Nd}&&[^0-9]]]"
-SUSPECT_FORMS = _OTHER_FORMS
+SUSPECT_FORMS = rf"{_OTHER_FORMS}|(?<![а-яё]){trie(GIVEN_CYRILLIC, ' ')}"
 #: Spelled-out signs of an e-mail address, looked for where one of their ends stands.
 SUSPECT_AT = rf"[(\[]{_SP}?at{_SP}?[)\]]"
+_SIGNS = dict.fromkeys([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], "")
+_SIGNS |= dict.fromkeys(_TITLE_WORDS, "(?![a-z0-9_])") | dict.fromkeys(GIVEN, rf"(?:-[^{_BLANKS}]+)?{_SP}")
+_SIGNS |= dict.fromkeys(("from the ", "from our ", "from your "), rf"(?:[^{_BLANKS}]+{_SP}+){{0,2}}(?:desk|team|office|department|branch|company|shop)")
+_SIGNS |= dict.fromkeys(("flat", "apartment", "apt", "apt.", "unit", "suite"), rf"{_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}")
 SUSPECT_WORDS = (
-    rf"(?<![a-z0-9])(?:[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|(?<!_)(?:{_WORD_TRIE}"
-    rf"|{trie(_TITLE_WORDS, ' ')}(?![a-z0-9_])"
-    rf"|{trie(GIVEN, ' ')}(?:-[^{_BLANKS}]+)?{_SP}|{trie(GIVEN_CYRILLIC, ' ')}|from{_SP}+(?:the|our|your){_SP}+(?:[^{_BLANKS}]+{_SP}+){{0,2}}(?:desk|team|office|department|branch|company|shop)"
-    rf"|(?:flat|apartment|apt\.?|unit|suite){_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}"
-    rf"|[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
+    rf"(?<![a-z0-9])(?:(?<!_){sign_trie(_SIGNS, _SP + '+')}"
+    rf"|(?=[a-z]{{2}}{_SP}?\d)(?:[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|(?<!_)[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
 )
 #: On texts as they are: two capitalised words behind a small letter, a comma or a colon.
 SUSPECT_CAPITALS = rf"(?<=[\p{{Ll}},:]){_SP}++\p{{Lu}}[\p{{L}}'’-]*+{_SP}++(?:\p{{Lu}}\.{_SP}++)?(?:{_JOINED.replace(chr(92) + 's', _SP)})?\p{{Lu}}"
 SUSPECT_NUMBERS = (
-    rf"(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
+    rf"(?=[+(xyz\d])(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
     rf"|(?<![.-])\d{{3}}[{_BLANKS}.{_LINE}]+\d{{2,3}}[{_BLANKS}.{_LINE}]+\d{{4}}(?!\d)|(?<![+#])\d(?:[{_BLANKS}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
     rf"|\d{{8}}-?[a-z](?![a-z0-9_])|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d|(?<={_SP}{{4}})\d"
     rf"|\d{{1,5}}(?:{_SP}?[a-z])?{_SP}+(?:(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|(?:[^\s\d][^{_BLANKS}]*{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))))"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanstone.llm import detect, surrogates
-from gleanstone.session import materialize
+from gleanstone.session import materialize, where_computed
 
 FIELDS = ("input_text", "output_text", "feedback", "error")
 MAX_ALLOWED = 10_000
@@ -47,7 +47,7 @@ def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str
     one = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
     texts = records.select(F.col(record_id).cast("string").alias("record_id"), F.inline(one)).where(F.length("text") > 3)
     lower = texts.withColumn("lower", F.lower("text"))
-    return lower.where(_suspect(F.col("text"), F.col("lower"))).drop("lower")
+    return where_computed(lower, _suspect(F.col("text"), F.col("lower"))).drop("lower")
 
 
 def spans(records: DataFrame, key: str, allowed: tuple[str, ...] = (), record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -164,10 +164,10 @@ def redacted(records: DataFrame, key: str, allowed: tuple[str, ...] = (), style:
 
     out = records
     for f in fields:
-        sign = _suspect(F.col(f), F.lower(F.col(f)))
-        # Texts without a sign come back null, so that each sign is looked for once.
-        out = out.withColumn(f, F.coalesce(change(F.when(sign, F.col(f))), F.col(f)))
-    return out
+        # Lowered once, in a projection of its own; texts without a sign come back null, so that each sign is looked for once.
+        out = out.withColumn("__lower", F.lower(F.col(f)))
+        out = out.withColumn(f, F.coalesce(change(F.when(_suspect(F.col(f), F.col("__lower")), F.col(f))), F.col(f)))
+    return out.drop("__lower")
 
 
 def _with_surrogates(records: DataFrame, key: str, allowed: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
