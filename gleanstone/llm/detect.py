@@ -187,7 +187,7 @@ _TITLE_WORDS = re.sub(r"[(?:)]", "", _TITLES).split("|")
 _LABELS = "passport|passeport|pasaporte|passaporte|reisepass|id card|identity card|personalausweis|ausweis|carte d|dni|nie|nif|tin|nino|bilhete|steuer|idnr|tax id|tax n|numéro fiscal|número fiscal".split("|")
 #: Letters that the patterns take for i and s, and digits of other scripts.
 _OTHER_FORMS = r"[\x{17f}\x{131}\x{307}[\p{Nd}&&[^0-9]]]"
-SUSPECT_FORMS = rf"{_OTHER_FORMS}|(?<![а-яё]){trie(GIVEN_CYRILLIC, ' ')}"
+SUSPECT_FORMS = rf"(?![\x00-\x7f])(?:(?![“”‘’–—…])(?:{_OTHER_FORMS})|(?=[а-яё])(?<![а-яё]){trie(GIVEN_CYRILLIC, ' ')})"
 #: Spelled-out signs of an e-mail address, looked for where one of their ends stands.
 SUSPECT_AT = rf"[(\[]{_SP}?at{_SP}?[)\]]"
 _SIGNS = dict.fromkeys([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_ES.split("|") for end in (" ", ". ")]], "")
