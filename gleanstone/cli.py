@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gleanstone import config as settings
 from gleanstone.errors import GleanstoneError
 from gleanstone.operators import cluster, drift, emit, health, ingest, label, redact, select, signals, similarity
-from gleanstone.session import local_session, materialize
+from gleanstone.session import local_session, materialize, ship_package
 from gleanstone.sinks.window import COUNTERS, Window, write_report
 from gleanstone.sources import files, lines, mapping
 
@@ -64,8 +64,8 @@ def run_score(spark: SparkSession, cfg: settings.Config, args: argparse.Namespac
     expectation = "all" if sources and all(sources) else "mixed" if any(sources) else "none"
     overlaps = None
     if args.existing:
-        goldens = similarity.shingles(files.load_goldens(spark, args.existing), "id", "input", cfg.cluster.shingle_words)
-        overlaps = similarity.best_overlap(similarity.shingles(records, "record_id", "input_text", cfg.cluster.shingle_words), goldens, "record_id", "id")
+        goldens = similarity.shingle_hashes(files.load_goldens(spark, args.existing), "id", "input", cfg.cluster.shingle_words)
+        overlaps = similarity.best_overlap(similarity.shingle_hashes(records, "record_id", "input_text", cfg.cluster.shingle_words), goldens, "record_id", "id")
         wordless = records.select("record_id").join(overlaps, "record_id", "left_anti").select("record_id", F.lit(0.0).alias("best_overlap"))
         overlaps = overlaps.select("record_id", "best_overlap").unionByName(wordless)
     scores = signals.score_records(records, cfg.score, expect_json=expectation == "all", disagreement=not manifest["dedupe_enabled"], overlaps=overlaps)
@@ -92,8 +92,8 @@ def run_select(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
     members = window.artefact(spark, "members", "cluster").withColumnRenamed("component", "cluster_id")
     scored = scores.join(members, "record_id").withColumn("stratum", signals.stratum(F.col("signals"), cfg.score.weights))
     if args.existing:
-        goldens = similarity.shingles(files.load_goldens(spark, args.existing), "id", "input", cfg.cluster.shingle_words)
-        best = similarity.best_overlap(similarity.shingles(records, "record_id", "input_text", cfg.cluster.shingle_words), goldens, "record_id", "id")
+        goldens = similarity.shingle_hashes(files.load_goldens(spark, args.existing), "id", "input", cfg.cluster.shingle_words)
+        best = similarity.best_overlap(similarity.shingle_hashes(records, "record_id", "input_text", cfg.cluster.shingle_words), goldens, "record_id", "id")
         scored = scored.join(best.select("record_id", (F.col("best_overlap") >= cfg.score.novelty_max_jaccard).alias("held")), "record_id", "left")
     chosen = materialize(select.greedy_select(scored, cfg.select, args.max_candidates))
     reasons = F.transform("signals", lambda s: s["name"])
@@ -108,13 +108,15 @@ def run_label(spark: SparkSession, cfg: settings.Config, args: argparse.Namespac
     window = _window(args)
     labels = label.label_candidates(window.artefact(spark, "candidates", "select"), settings=cfg.label)
     window.write_artefact("labels", labels)
+    write_report(window, "labels_report", "Drafts by outcome", labels.groupBy(F.coalesce("draft_error", F.lit("drafted")).alias("outcome"), "model_id").count())
     return PARTIAL if labels.where("draft_error is not null").limit(1).count() else OK
 
 
 def run_emit(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:  # noqa: ARG001
     window = _window(args)
     candidates, labels = window.artefact(spark, "candidates", "select"), window.artefact(spark, "labels", "label")
-    return emit.emit(emit.cases(candidates, labels, args.window), window.folder / "cases.yaml")
+    emit.replace_file(window.folder / "review.md", emit.review(candidates, labels, args.window))
+    return emit.emit(emit.cases(candidates, labels, args.window), window.folder / "cases.yaml", labels.where("draft_error is not null").count())
 
 
 def run_promote(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:  # noqa: ARG001
@@ -126,13 +128,17 @@ def run_health(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
     window = _window(args)
     size = cfg.cluster.shingle_words
     records, scores, members = window.records(spark), window.artefact(spark, "scores", "score"), window.artefact(spark, "members", "cluster")
-    traffic = materialize(similarity.shingles(records, "record_id", "input_text", size))
-    goldens = materialize(similarity.shingles(files.load_goldens(spark, args.existing), "id", "input", size))
+    traffic = materialize(similarity.shingle_hashes(records, "record_id", "input_text", size))
+    goldens = materialize(similarity.shingle_hashes(files.load_goldens(spark, args.existing), "id", "input", size))
     covered = materialize(health.covered_records(similarity.best_overlap(traffic, goldens, "record_id", "id"), cfg.health))
     write_report(window, "health", "Coverage", health.coverage(covered, members, "record_id"))
     write_report(window, "health_gaps", "Uncovered clusters", health.gaps(covered, members, scores, "record_id", cfg.health))
     write_report(window, "health_stale", "Cases unlike any record", health.staleness(goldens, traffic, "id", "record_id", cfg.health))
     write_report(window, "health_redundant", "Cases that say nearly the same", health.redundancy(goldens, "id", cfg.health))
+    clusters = window.artefact(spark, "clusters", "cluster")
+    told = health.signalled_against_ordinary(covered, members, scores, "record_id")
+    write_report(window, "health_comparison", "Signalled and ordinary clusters, novelty aside (one-sided exact test)", spark.createDataFrame([tuple(told.values())], "signalled_covered bigint, signalled bigint, ordinary_covered bigint, ordinary bigint, p double"))
+    write_report(window, "health_clusters", "Clusters by size", clusters.groupBy("size").agg(F.count("*").alias("clusters")).orderBy("size"))
     write_report(window, "health_signals", "Signals covered", health.signal_coverage(covered, scores, "record_id").orderBy("place"))
     return OK
 
@@ -142,11 +148,14 @@ def run_drift(spark: SparkSession, cfg: settings.Config, args: argparse.Namespac
     a, b = early.records(spark), late.records(spark)
     rows = a.withColumn("w", F.lit("a")).unionByName(b.withColumn("w", F.lit("b"))).withColumn("input_len", F.length("input_text"))
     hits = {"error": F.col("error").isNotNull(), "negative_feedback": F.lower(F.trim("feedback")).isin(*cfg.score.negative_feedback_words)}
+    fired = [w.artefact(spark, "scores", "score").select("record_id", F.transform("signals", lambda x: x["name"]).alias("fired")) for w in (early, late)]
+    rows = a.withColumn("w", F.lit("a")).join(fired[0], "record_id", "left").unionByName(b.withColumn("w", F.lit("b")).join(fired[1], "record_id", "left")).withColumn("input_len", F.length("input_text"))
+    hits |= {f"signal:{n}": F.array_contains("fired", n) for n in settings.SIGNAL_WEIGHTS}
     write_report(late, "drift_rates", "Rates", drift.rate_shift(rows, "w", "a", "b", hits))
     write_report(late, "drift_length", "Input length", drift.input_length_shift(rows, "w", "a", "b", "input_len"))
     heads = late.artefact(spark, "clusters", "cluster").select(F.col("representative_id").alias("record_id")).join(b, "record_id")
     size = cfg.cluster.shingle_words
-    novel = drift.novel_clusters(similarity.shingles(heads, "record_id", "input_text", size), similarity.shingles(a, "record_id", "input_text", size).withColumnRenamed("record_id", "earlier_id"), "record_id", "earlier_id", cfg.drift)
+    novel = drift.novel_clusters(similarity.shingle_hashes(heads, "record_id", "input_text", size), similarity.shingle_hashes(a, "record_id", "input_text", size).withColumnRenamed("record_id", "earlier_id"), "record_id", "earlier_id", cfg.drift)
     write_report(late, "drift_novelty", "New clusters", novel.groupBy("novel").agg(F.count("*").alias("clusters")))
     return OK
 
@@ -217,7 +226,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     try:
         cfg = settings.load(args.config) if args.config else settings.Config()
-        return args.run(spark or local_session(), cfg, args)
+        spark = spark or local_session()
+        ship_package(spark)
+        return args.run(spark, cfg, args)
     except GleanstoneError as error:
         print(f"{type(error).__name__}: {error}", file=sys.stderr)
         return FAILED

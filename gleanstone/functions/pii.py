@@ -73,12 +73,12 @@ def matches(text: Column, pattern: str, pii_class: str) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def candidates(text: Column, allowlist: tuple[str, ...] = NAME_ALLOWLIST) -> Column:
-    """Spans of all detectors on the original text, checks applied, overlaps not yet resolved."""
+def candidates(text: Column, allowlist: tuple[str, ...] = NAME_ALLOWLIST, classes: tuple[str, ...] = CLASSES) -> Column:
+    """Spans of the classes' detectors on the original text, checks applied, overlaps not yet resolved."""
     def passing(c: str):
         return lambda s: _kept(c, s["value"], allowlist)
 
-    return F.concat(*[F.filter(matches(text, pattern, c), passing(c)) for c, pattern in PATTERNS])
+    return F.concat(*[F.filter(matches(text, pattern, c), passing(c)) for c, pattern in PATTERNS if c in classes])
 
 
 def resolve(spans: Column, protected: Column) -> Column:
@@ -91,9 +91,9 @@ def resolve(spans: Column, protected: Column) -> Column:
     return F.array_sort(taken)
 
 
-def find_spans(text: Column, allowlist: tuple[str, ...] = NAME_ALLOWLIST) -> Column:
+def find_spans(text: Column, allowlist: tuple[str, ...] = NAME_ALLOWLIST, classes: tuple[str, ...] = CLASSES) -> Column:
     """Spans of personal data in one text; null for null."""
-    return F.when(text.isNotNull(), resolve(candidates(text, allowlist), matches(text, TOKEN, "TOKEN")))
+    return F.when(text.isNotNull(), resolve(candidates(text, allowlist, classes), matches(text, TOKEN, "TOKEN")))
 
 
 def canonical(pii_class: Column, value: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanstone.config import Cluster
 from gleanstone.errors import GleanstoneError
 from gleanstone.operators import similarity
 from gleanstone.operators.components import connected_components
-from gleanstone.session import materialize
+from gleanstone.session import materialize, numbered
 
 
 def memberships(records: DataFrame, settings: Cluster | None = None, key: str = "record_id", text: str = "input_text") -> tuple[DataFrame, DataFrame]:
@@ -31,7 +31,7 @@ def cluster_records(records: DataFrame, scores: DataFrame | None = None, setting
     """(cluster_id, representative_id, size, min_link_jaccard, component) of every cluster.
 
     The representative has the highest score, then the smallest key. Labels follow size, then
-    representative; they number clusters, which takes one ordering of the clusters, not of the records.
+    representative; the clusters are numbered range by range.
     """
     if records.groupBy(key).count().where("count > 1").limit(1).count():
         raise GleanstoneError(f"{key} is not unique")
@@ -40,8 +40,8 @@ def cluster_records(records: DataFrame, scores: DataFrame | None = None, setting
     scored = grouped.join(scores.select(key, "score"), key, "left") if scores is not None else grouped.withColumn("score", F.lit(0))
     heads = scored.groupBy("component").agg(F.min_by(key, F.struct(-F.coalesce("score", F.lit(0)), F.col(key))).alias("representative_id"), F.count("*").alias("size"))
     weakest = links.join(grouped, links["a"] == grouped[key]).groupBy("component").agg(F.min("jaccard").alias("min_link_jaccard"))
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "representative_id"))
-    out = heads.join(weakest, "component", "left").withColumn("cluster_id", F.format_string("c-%04d", rank))
+    out = numbered(heads.join(weakest, "component", "left"), [F.desc("size"), F.asc("representative_id")], output="rank")
+    out = out.withColumn("cluster_id", F.format_string("c-%04d", "rank"))
     return out.select("cluster_id", "representative_id", "size", "min_link_jaccard", "component")
 
 

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from gleanstone.session import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; ``edges`` has columns a and b, any direction, loops allowed.
 
     Each round hooks every node's larger neighbours to its smallest one, then every node's smaller
     neighbours; both are grouped minima and joins, so a hub spreads over the shuffle like any rows.
-    Rounds are checkpointed and end when the edges no longer change.
+    Rounds are checkpointed and go on until the edges no longer change.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -36,7 +36,7 @@ def input_length_shift(rows: DataFrame, window: str, earlier: str, later: str, v
 
 
 def novel_clusters(representatives: DataFrame, earlier: DataFrame, key: str, other: str, settings: Drift | None = None) -> DataFrame:
-    """Later clusters whose representative is unlike every earlier record; both sides exploded shingle sets."""
+    """Later clusters whose representative is unlike every earlier record; both sides sets of hashes."""
     s = settings or Drift()
     best = similarity.best_overlap(representatives, earlier, key, other)
     return best.withColumn("novel", F.col("best_overlap") < s.novel_cluster_jaccard)

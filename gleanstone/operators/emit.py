@@ -25,7 +25,8 @@ def case_id(window: Column, record_id: Column) -> Column:
 
 def cases(candidates: DataFrame, labels: DataFrame, window: str) -> DataFrame:
     """(rank, id, tags, input, criteria, notes) of the candidates whose draft succeeded."""
-    both = candidates.join(labels.where("draft_error is null"), "record_id")
+    drafted = labels.where("draft_error is null").select("record_id", "criteria", "notes", "model_id", "dry_run")
+    both = candidates.join(drafted, "record_id")
     reasons = F.coalesce("reasons", F.array().cast("array<string>"))
     signals = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise("none, ordinary traffic")
     notes = F.concat_ws(
@@ -77,11 +78,29 @@ def replace_file(path: str | Path, text: str, mode: int = 0o600) -> None:
         raise
 
 
-def emit(case_rows: DataFrame, path: str | Path) -> int:
-    """Writes the cases; the shortlist bounds their number. Returns 0, or 2 if there are none."""
+def review(candidates: DataFrame, labels: DataFrame, window: str) -> str:
+    """The document for whoever reads the drafts: every case with its record and reasons, and every failed draft, in rank order."""
+    told = labels.select("record_id", "criteria", "notes", "draft_error", "model_id", "dry_run", "prompt_sha256")
+    rows = [r.asDict() for r in candidates.join(told, "record_id").orderBy("rank").collect()]  # a shortlist
+    good, bad = [r for r in rows if r["draft_error"] is None], [r for r in rows if r["draft_error"] is not None]
+    quoted = lambda t: "\n".join(f"> {line}" for line in (t or "(none, the call failed)").splitlines() or [""])
+    out = [f"# Drafts of {window}", "", f"{len(good)} drafted, {len(bad)} failed. Nothing here was read by a human yet."]
+    if any(r["dry_run"] for r in rows):
+        out += ["", "**Dry run: the criteria are placeholders and can't be promoted.**"]
+    for r in good:
+        out += ["", f"## {r['rank']}. {r['record_id']}", "", f"Stratum {r['stratum'] or ORDINARY}, score {r['score'] or 0}; signals: {', '.join(r['reasons'] or []) or 'none'}; drafted by {r['model_id']}; prompt {r['prompt_sha256'][:12]}."]
+        out += ["", "Request:", "", quoted(r["input_text"]), "", "Response:", "", quoted(r["output_text"]), "", "Criteria:", ""]
+        out += [f"- [ ] {c}" for c in r["criteria"]] + (["", f"Note: {r['notes']}"] if r["notes"] else [])
+    if bad:
+        out += ["", "## Failed drafts", "", "| rank | record | error |", "|---|---|---|"] + [f"| {r['rank']} | {r['record_id']} | {r['draft_error']} |" for r in bad]
+    return "\n".join(out) + "\n"
+
+
+def emit(case_rows: DataFrame, path: str | Path, failed: int = 0) -> int:
+    """Writes the cases; the shortlist bounds their number. Returns 0, 1 if drafts failed, or 2 if there are no cases."""
     rows = [r.asDict() for r in case_rows.collect()]
     replace_file(path, render_yaml(rows))
-    return 0 if rows else 2
+    return 2 if not rows else 1 if failed else 0
 
 
 def promote(drafts: str | Path, target: str | Path, ids: list[str], reviewer: str) -> int:

@@ -38,17 +38,16 @@ def gaps(covered: DataFrame, membership: DataFrame, scores: DataFrame, key: str,
 
 
 def staleness(goldens: DataFrame, traffic: DataFrame, golden_key: str, key: str, settings: Health | None = None) -> DataFrame:
-    """Cases whose best overlap with any record is below the threshold, least first. Both sides: exploded shingle sets."""
+    """Cases whose best overlap with any record is below the threshold, least first. Both sides: sets of hashes."""
     s = settings or Health()
     best = similarity.best_overlap(goldens, traffic, golden_key, key)
     return best.where(F.col("best_overlap") < s.neighbour_jaccard).orderBy("best_overlap", golden_key)
 
 
 def redundancy(goldens: DataFrame, golden_key: str, settings: Health | None = None) -> DataFrame:
-    """Pairs of cases that say nearly the same, most alike first."""
+    """Pairs of cases (sets of hashes) that say nearly the same, most alike first."""
     s = settings or Health()
-    other = goldens.withColumnRenamed(golden_key, "other")
-    return similarity.shingle_overlaps(goldens, other, golden_key, "other").where((F.col(golden_key) < F.col("other")) & (F.col("jaccard") >= s.neighbour_jaccard)).orderBy(F.desc("jaccard"), golden_key, "other")
+    return similarity.similar_pairs(goldens, golden_key, s.neighbour_jaccard).orderBy(F.desc("jaccard"), golden_key, "other")
 
 
 def signal_coverage(covered: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanstone.config import NAME_ALLOWLIST
 from gleanstone.errors import LeakError
 from gleanstone.functions import pii
 from gleanstone.schema import TEXTS
-from gleanstone.session import attach, materialize
+from gleanstone.session import attach, materialize, numbered
 
 
-def record_spans(records: DataFrame, order: str = "line_no", fields: tuple[str, ...] = TEXTS, allowlist: tuple[str, ...] = NAME_ALLOWLIST) -> DataFrame:
+def record_spans(records: DataFrame, order: str = "line_no", fields: tuple[str, ...] = TEXTS, allowlist: tuple[str, ...] = NAME_ALLOWLIST, classes: tuple[str, ...] = pii.CLASSES) -> DataFrame:
     """(order, field, field_ord, start, stop, pii_class, value, canonical) of all texts of records.
 
     The criteria of verdicts come first, in their order, then the text fields.
@@ -23,7 +23,7 @@ def record_spans(records: DataFrame, order: str = "line_no", fields: tuple[str,
         criteria = F.transform(F.coalesce("judge_verdicts", F.array().cast("array<struct<criterion:string,passed:boolean>>")), lambda v, i: F.struct(F.concat(F.lit("criterion:"), i.cast("string")).alias("field"), i.alias("field_ord"), v["criterion"].alias("text")))
         each = F.concat(criteria, each)
     rows = records.select(F.col(order).alias("row"), F.inline(each)).where("text is not null")
-    rows = rows.withColumn("spans", pii.find_spans(F.col("text"), allowlist))
+    rows = rows.withColumn("spans", pii.find_spans(F.col("text"), allowlist, classes))
     out = rows.select("row", "field", "field_ord", F.inline("spans"))
     return out.withColumn("canonical", pii.canonical(F.col("pii_class"), F.col("value")))
 
@@ -31,19 +31,19 @@ def record_spans(records: DataFrame, order: str = "line_no", fields: tuple[str,
 def numbered_tokens(spans: DataFrame) -> DataFrame:
     """(pii_class, canonical, token): the index of a value is its place of first appearance within its class.
 
-    Only distinct values are ranked, one window per class of eight.
+    Only distinct values are ranked, range by range.
     """
     first = spans.groupBy("pii_class", "canonical").agg(F.min(F.struct("row", "field_ord", "start")).alias("first"))
-    index = F.row_number().over(Window.partitionBy("pii_class").orderBy("first"))
-    return first.select("pii_class", "canonical", F.format_string("[%s_%d]", "pii_class", index).alias("token"))
+    placed = numbered(first, [F.asc("first")], ["pii_class"], "index")
+    return placed.select("pii_class", "canonical", F.format_string("[%s_%d]", "pii_class", "index").alias("token"))
 
 
-def redact(records: DataFrame, order: str = "line_no", fields: tuple[str, ...] = TEXTS, allowlist: tuple[str, ...] = NAME_ALLOWLIST) -> tuple[DataFrame, DataFrame]:
+def redact(records: DataFrame, order: str = "line_no", fields: tuple[str, ...] = TEXTS, allowlist: tuple[str, ...] = NAME_ALLOWLIST, classes: tuple[str, ...] = pii.CLASSES) -> tuple[DataFrame, DataFrame]:
     """(records with tokens in place of personal data, report by class).
 
     The report has spans and distinct values per class. Records without spans pass unchanged.
     """
-    spans = materialize(record_spans(records, order, fields, allowlist))
+    spans = materialize(record_spans(records, order, fields, allowlist, classes))
     tokens = materialize(numbered_tokens(spans))
     placed = attach(spans, tokens, ["pii_class", "canonical"], "inner")
     per_text = placed.groupBy("row", "field").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "token"))).alias("spans"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanstone.config import QUOTAS, Select
 from gleanstone.errors import GleanstoneError
+from gleanstone.session import materialize
 
 
 def rank_order(scored: DataFrame) -> DataFrame:
@@ -86,7 +87,8 @@ def greedy_select(scored: DataFrame, settings: Select | None = None, max_candida
         raise GleanstoneError("at least one candidate must be allowed")
     spark, quotas = scored.sparkSession, dict(s.quotas)
     held = F.coalesce(F.col("held"), F.lit(False)) if "held" in scored.columns else F.lit(False)
-    slim = scored.select("record_id", F.coalesce(F.col("score"), F.lit(0)).cast("int").alias("score"), "stratum", "cluster_id", held.alias("held"))
+    # Each fetch reads these rows again.
+    slim = materialize(scored.select("record_id", F.coalesce(F.col("score"), F.lit(0)).cast("int").alias("score"), "stratum", "cluster_id", held.alias("held")))
     taken = _taken(slim, quotas, s.max_per_cluster, cap)
     chosen = spark.createDataFrame([(t[0], t[4]) for t in taken], "record_id string, rank int")
     cuts: dict[str, tuple] = {}

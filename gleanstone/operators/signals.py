@@ -92,8 +92,9 @@ def score_records(records: DataFrame, settings: Score | None = None, by: list[st
         row = context.first()
         df = df.withColumns({c: F.lit(row[c]).cast("bigint") for c in context.columns})
     if disagreement:
-        # A text may be a third of all rows, but its one partner only repeats; no group is gathered.
-        df = df.withColumn("_fp", fingerprint(F.col("input_text"))).join(disagreements(records).withColumnRenamed("fingerprint", "_fp"), "_fp", "left")
+        # A text may be a third of all rows: its one partner is broadcast, or the rows are salted.
+        told = materialize(disagreements(records).withColumnRenamed("fingerprint", "_fp"))
+        df = attach(df.withColumn("_fp", fingerprint(F.col("input_text"))), told, ["_fp"])
     else:
         df = df.withColumn("versions", F.lit(None).cast("string"))
     df = df.join(overlaps.select("record_id", "best_overlap"), "record_id", "left") if overlaps is not None else df.withColumn("best_overlap", F.lit(None).cast("double"))

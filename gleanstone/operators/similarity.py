@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
 
@@ -61,14 +62,19 @@ def _mulmod(a: int | np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int = 5, permutations: int = 64, seed: int = 1729) -> DataFrame:
-    """(key, shingles as 64-bit hashes, signature) of the texts that have words, computed where the texts lie."""
+#: Base hashes of a shingle: what is taken of which digest; both below the prime or brought there.
+DIGESTS = {"blake2b": lambda g: int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "big") % PRIME, "md5": lambda g: int(hashlib.md5(g).hexdigest()[:15], 16)}
+
+
+def signatures(docs: DataFrame, key: str, text: str, size: int = 5, permutations: int = 64, seed: int = 1729, digest: str = "blake2b") -> DataFrame:
+    """(key, shingles as 64-bit hashes, signature) of the texts that have words, computed where the texts lie.
+
+    ``digest`` is ``blake2b``, or ``md5`` where other engines are to make the same signatures.
+    """
     multipliers, offsets = minhash_family(permutations, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import blake2b
-
-        p = np.uint64(PRIME)
+        base_hash, p = DIGESTS[digest], np.uint64(PRIME)
         many, shifts = np.array(multipliers, dtype=np.uint64)[:, None], np.array(offsets, dtype=np.uint64)[:, None]
         for batch in batches:
             rows, sets, values = [], [], []
@@ -77,7 +83,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = 5, permutations
                 if not words:
                     continue
                 grams = {" ".join(words)} if len(words) <= size else {" ".join(words[j : j + size]) for j in range(len(words) - size + 1)}
-                base = np.array(sorted({int.from_bytes(blake2b(g.encode(), digest_size=8).digest(), "big") % PRIME for g in grams}), dtype=np.uint64)
+                base = np.array(sorted({base_hash(g.encode()) for g in grams}), dtype=np.uint64)
                 rows.append(i)
                 sets.append(base.astype(np.int64).tolist())
                 # All permutations at once; long texts go in pieces, so the table stays small.
@@ -128,39 +134,73 @@ def verified(pairs: DataFrame, signed: DataFrame, key: str, threshold: float) ->
     return both.select("a", "b", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def shingle_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, jaccard) of all pairs with a shingle in common, exact, by an inverted-index join."""
-    l, r = left.select(left_key, "shingle"), right.select(right_key, "shingle")
-    shared = l.join(r, "shingle").groupBy(left_key, right_key).agg(F.count("*").alias("common"))
-    sized = shared.join(l.groupBy(left_key).agg(F.count("*").alias("n")), left_key).join(r.groupBy(right_key).agg(F.count("*").alias("m")), right_key)
-    return sized.select(left_key, right_key, (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("jaccard"))
+def shingle_hashes(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
+    """(key, hashes): the shingle set of each text with words as 64-bit digests, made where the text lies, without a shuffle."""
+    words = docs.select(F.col(key), F.split(normalised(F.col(text)), " ").alias("_w")).where("_w is not null and _w[0] <> ''")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))
+    return words.select(key, F.array_distinct(grams).alias("hashes"))
+
 
+def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, other, jaccard) of all pairs, key < other, that reach ``threshold`` > 0, exact.
 
-#: Shingles of a reference set up to which its index is sent to the executors; a larger one is joined.
+    Prefix filtering: shingles are ordered by how rare they are in the corpus. Two sets that reach the
+    threshold share one of the rarest n - ceil(t n) + 1 shingles of each, so the others, boilerplate that
+    meets all with all among them, are never joined on.
+    """
+    exploded = sets.select(key, F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    rare = exploded.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle of one set alone comes first in its order and meets none: it only takes up places of the prefix.
+    known = exploded.join(rare, "h", "left").select(key, "n", "h", F.coalesce("df", F.lit(1)).alias("df"))
+    ordered = known.groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefix = ordered.select(key, F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("x")).where("x.df > 1").select(key, F.col("x.h").alias("h"))
+    pairs = prefix.join(prefix.withColumnRenamed(key, "other"), "h").where(F.col(key) < F.col("other")).select(key, "other").distinct()
+    right = sets.select(F.col(key).alias("other"), F.col("hashes").alias("_h"))
+    both = pairs.join(sets, key).join(right, "other")
+    common = F.size(F.array_intersect("hashes", "_h"))
+    value = common / (F.size("hashes") + F.size("_h") - common)
+    return both.select(key, "other", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+#: Shingles of a reference set whose index is sent to the executors at once.
 INDEXED = 500_000
 
 
 def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str, indexed: int = INDEXED) -> DataFrame:
-    """(key, best_overlap, nearest) of every key of ``docs``; both sides are exploded shingle sets; 0 without any common shingle.
+    """(key, best_overlap, nearest) of every key of ``docs``, exact; both sides are sets of hashes (``shingle_hashes``); 0 without any common shingle.
 
-    A reference set within ``indexed`` shingles, counted first, goes to the executors as an inverted index, so that
-    nothing is emitted per common shingle; a larger one takes the join. Shingles are compared by 64-bit digests there.
+    The reference goes to the executors as an inverted index, so that nothing is emitted per common shingle. One of
+    more than ``indexed`` shingles, counted first, is cut into blocks by a digest of its keys; every block meets
+    all documents where they lie and each keeps its best, ties by the larger key. Null keys of the reference take no part.
     """
-    against = materialize(against.select(other, "shingle").where(F.col(other).isNotNull()))
-    if against.limit(indexed + 1).count() > indexed:
-        overlaps = shingle_overlaps(docs, against, key, other)
-        best = overlaps.groupBy(key).agg(F.max(F.struct("jaccard", F.col(other).alias("nearest"))).alias("best"))
-        return docs.select(key).distinct().join(best, key, "left").select(key, F.coalesce("best.jaccard", F.lit(0.0)).alias("best_overlap"), F.col("best.nearest").alias("nearest"))
-    rows = against.select(other, F.xxhash64("shingle").alias("h")).toArrow()
-    names = sorted(set(rows.column(0).to_pylist()))
-    place = {n: i for i, n in enumerate(names)}
-    hashes = rows.column(1).to_numpy()
-    owners = np.array([place[n] for n in rows.column(0).to_pylist()], dtype=np.int64)
+    against = against.where(F.col(other).isNotNull()).select(other, "hashes")
+    held = against.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    blocks = max(1, -(-held // indexed))
+    kinds = (dict(docs.dtypes)[key], dict(against.dtypes)[other])
+    if blocks > 1:
+        against, docs = materialize(against), materialize(docs.select(key, "hashes"))
+    best = None
+    for b in range(blocks):
+        part = against if blocks == 1 else against.where(F.pmod(F.xxhash64(other), F.lit(blocks)) == b)
+        found = _overlap_with_index(docs, part.toArrow(), key, kinds)
+        best = found if best is None else best.unionByName(found)
+    if blocks == 1:
+        return best
+    top = best.groupBy(key).agg(F.max(F.struct("best_overlap", "nearest")).alias("_b"))
+    return top.select(key, "_b.best_overlap", "_b.nearest")
+
+
+def _overlap_with_index(docs: DataFrame, rows: pa.Table, key: str, kinds: tuple[str, str]) -> DataFrame:
+    order = np.argsort(np.array(rows.column(0).to_pylist(), dtype=object), kind="stable") if rows.num_rows else np.zeros(0, dtype=np.int64)
+    rows = rows.take(pa.array(order))
+    names, name_type = rows.column(0).to_pylist(), rows.schema.field(0).type
+    lists = rows.column(1).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+    sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64) if rows.num_rows else np.zeros(0, dtype=np.int64)
+    hashes = np.asarray(lists.flatten(), dtype=np.int64)
+    owners = np.repeat(np.arange(len(names), dtype=np.int64), sizes)
     order = np.argsort(hashes, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    sizes = np.bincount(owners, minlength=len(names)) if len(names) else np.zeros(0, dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, owners, sizes))
-    kinds, name_type = (dict(docs.dtypes)[key], dict(against.dtypes)[other]), rows.schema.field(0).type
+    shared = docs.sparkSession.sparkContext.broadcast((hashes[order], owners[order], sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, owner, size = shared.value
@@ -183,8 +223,7 @@ def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str, inde
             fields = [pa.array(best, pa.float64()), pa.array(nearest, name_type)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *fields], names=[key, "best_overlap", "nearest"])
 
-    sets = docs.groupBy(key).agg(F.collect_set(F.xxhash64("shingle")).alias("hashes"))
-    return sets.mapInArrow(run, f"`{key}` {kinds[0]}, best_overlap double, nearest {kinds[1]}")
+    return docs.select(key, "hashes").mapInArrow(run, f"`{key}` {kinds[0]}, best_overlap double, nearest {kinds[1]}")
 
 
 def near_duplicate_links(docs: DataFrame, key: str, text: str, size: int = 5, permutations: int = 64, number: int = 16, seed: int = 1729, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:

@@ -167,7 +167,7 @@ def _overlaps(spark, d):  # noqa: ANN001, ANN202
     docs = _docs(spark, d)
     golden = docs.where(F.col("source") == GOLDEN_SOURCE)
     traffic = docs.where(F.coalesce(F.col("source") != GOLDEN_SOURCE, F.lit(True)))
-    return materialize(similarity.shingles(traffic, "doc_id", "text")), materialize(similarity.shingles(golden.withColumnRenamed("doc_id", "golden_id"), "golden_id", "text"))
+    return similarity.shingle_hashes(traffic, "doc_id", "text"), materialize(similarity.shingle_hashes(golden.withColumnRenamed("doc_id", "golden_id"), "golden_id", "text"))
 
 
 def best_overlap(spark, d):  # noqa: ANN001, ANN201

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a small side may be broadcast; beyond it joins shuffle.
@@ -29,12 +30,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's reliable checkpoint folder and read it from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a local
-    one is made only where none is configured, as in tests. Unlike a local
-    checkpoint the files survive the loss of executors.
+    one is made only where none is configured and the master is local, as in tests.
+    Unlike a local checkpoint the files survive the loss of executors.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleanstone-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanstone-"))
     return df.checkpoint(eager=True)
 
 
@@ -64,15 +68,34 @@ def where_computed(df: DataFrame, condition) -> DataFrame:
 def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Join a side that is unique by ``keys``: broadcast while its counted size allows, salted beyond.
 
-    One key may hold a third of the big side's rows; salting spreads it over ``salts`` tasks.
+    One key may hold a third of the big side's rows; salting spreads it over ``salts`` tasks. The salt
+    is a digest of the row, so that a task that runs again sends its rows where they went before.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), keys, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    plain = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None, output: str = "n") -> DataFrame:
+    """``df`` with the place, from 1, of each row in a total order of all rows (of each group of ``within``).
+
+    Rows are cut into ranges; each range is ranked by itself and starts where the counts of the
+    ranges before it end, so no task sorts all rows, nor all rows of a group.
+    """
+    within = within or []
+    ranged = df.repartitionByRange(*[F.col(c) for c in within], *order)
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_size"))  # a row per range and group that it touches
+    before = Window.partitionBy(*within or [F.lit(1)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*within, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*order))
+    placed = attach(ranged.withColumn("_local", local), starts, [*within, "_range"])
+    return placed.withColumn(output, F.col("_start") + F.col("_local")).drop("_range", "_start", "_local")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no copy of the repository."""
     import shutil

@@ -34,8 +34,15 @@ def numbered_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON: a byte order mark is stripped; what isn't exactly one object is a failure that tells no content."""
-    lines = numbered_text(spark, path)
+    """Lines of one file of JSON."""
+    return parse_jsonl(numbered_text(spark, path))
+
+
+def parse_jsonl(lines: DataFrame, *keep: str) -> DataFrame:
+    """(line_no, ``keep``, payload, is_blank, error_type, detail) of lines (line_no, value) of JSON.
+
+    A byte order mark is stripped; what isn't exactly one object is a failure that tells no content.
+    """
     text = F.regexp_replace(F.regexp_replace("value", r"^\x{FEFF}", ""), f"^{SPACE}+|{SPACE}+$", "")
     lines = lines.withColumn("_text", text)
     lines = lines.withColumns({"_v": F.try_parse_json("_text"), "_listed": F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]"))), "_named": F.try_parse_json(F.concat(F.lit('{"v":'), F.col("_text"), F.lit("}")))})
@@ -44,7 +51,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     detail = first_of((F.col("_text") == "", None), (~single, "not one JSON value"), (~is_object, "not an object"))
     lines = lines.withColumn("detail", detail)
     fine = (F.col("_text") != "") & F.col("detail").isNull()
-    return lines.select("line_no", F.when(fine, F.col("_v")).alias("payload"), (F.col("_text") == "").alias("is_blank"), F.when(F.col("detail").isNotNull(), F.lit("line_parse")).alias("error_type"), "detail")
+    return lines.select("line_no", *keep, F.when(fine, F.col("_v")).alias("payload"), (F.col("_text") == "").alias("is_blank"), F.when(F.col("detail").isNotNull(), F.lit("line_parse")).alias("error_type"), "detail")
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:

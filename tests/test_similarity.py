@@ -4,10 +4,12 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleanstone.config import Cluster
 from gleanstone.operators import cluster, similarity
 from gleanstone.operators.components import connected_components
+from gleanstone.session import numbered
 
 
 @settings(max_examples=200, deadline=None)
@@ -80,9 +82,9 @@ def test_blocks_lose_no_pair(spark):
 def test_best_overlap(spark):
     docs = corpus()
     left, right = docs[:20], docs[20:]
-    a = similarity.shingles(spark.createDataFrame(left, "k string, text string"), "k", "text")
-    b = similarity.shingles(spark.createDataFrame(right, "o string, text string"), "o", "text")
-    joined = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(a, b, "k", "o", indexed=0).collect()}
+    a = similarity.shingle_hashes(spark.createDataFrame(left, "k string, text string"), "k", "text")
+    b = similarity.shingle_hashes(spark.createDataFrame(right, "o string, text string"), "o", "text")
+    joined = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(a, b, "k", "o", indexed=400).collect()}
     indexed = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(a, b, "k", "o").collect()}
     assert joined == indexed and similarity.best_overlap(a, b.limit(0), "k", "o").first()["best_overlap"] == 0
     got = {k: v for k, (v, _) in indexed.items()}
@@ -91,6 +93,32 @@ def test_best_overlap(spark):
         assert abs(got[k] - want) < 1e-9
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    docs = [(k, t + " " + "the same closing words in every text here") for k, t in corpus() if any(c.isalpha() for c in t)]
+    sets = {k: grams(t) for k, t in docs}
+    df = similarity.shingle_hashes(spark.createDataFrame(docs, "k string, text string"), "k", "text")
+    for threshold in (0.05, 0.3, 0.6, 1.0):
+        want = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in sets for y in sets if x < y}
+        got = {(r["k"], r["other"]): r["jaccard"] for r in similarity.similar_pairs(df, "k", threshold).collect()}
+        assert set(got) == {p for p, v in want.items() if v >= threshold - 1e-12} and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+
+
+def test_a_long_chain_is_one_component(spark):
+    rows = connected_components(spark.range(1 << 12).selectExpr("id as a", "id + 1 as b")).groupBy("component").count().collect()
+    assert [tuple(r) for r in rows] == [(0, (1 << 12) + 1)]
+
+
+def test_numbered_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), i, "clash") for i in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "g string, v int, n string").drop("n").repartition(7)
+    got = {(r["g"], r["v"]): r["n"] for r in numbered(df, [F.asc("v")], ["g"]).collect()}
+    assert got == {(g, v): i + 1 for g in "ab" for i, v in enumerate(sorted(v for h, v, _ in rows if h == g))}
+    every = {r["v"]: r["n"] for r in numbered(df, [F.desc("v")]).collect()}
+    assert every == {v: i + 1 for i, v in enumerate(sorted((v for _, v, _ in rows), reverse=True))}
+    assert numbered(df.limit(0), [F.asc("v")]).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7)] + [(900, 900 + i) for i in range(1, 30)]

@@ -125,7 +125,32 @@ def test_drafts():
     for reply in bad:
         with pytest.raises(label.DraftError):
             label.parse_draft(reply)
-    assert "<input>\nq\n</input>" in label.prompt(label.Task("r", "q", None))
+    sent = json.loads(label.prompt(label.Task("r", 'q"}', None, ("error",), (("c", False),))))
+    assert sent == {"asked": 'q"}', "said": None, "fired": ["error"], "judged": [{"criterion": "c", "met": False}]}
+    assert label.prompt_sha256(label.Task("r", "q", None)) != label.prompt_sha256(label.Task("r", "q", ""))
+
+
+def test_failed_drafts_are_rows_and_stand_in_the_review(spark):
+    rows = spark.createDataFrame([(1, "r1", 3, "error", ["error"], "q1", None), (2, "r2", 0, None, [], "q2", "a2"), (3, "r3", 1, "tiny_input", [], "q3", "a3")], "rank int, record_id string, score int, stratum string, reasons array<string>, input_text string, output_text string")
+
+    def drafter(task):
+        if task.record_id == "r2":
+            raise label.ProviderError("overloaded")
+        return "no JSON" if task.record_id == "r3" else json.dumps(GOOD)
+
+    labels = label.label_candidates(rows, drafter, "m", dry_run=True)
+    got = {r["record_id"]: r for r in labels.collect()}
+    assert got["r1"]["criteria"] and got["r1"]["stratum"] == "error" and got["r1"]["score"] == 3 and got["r1"]["signals"] == ["error"]
+    assert {k: r["draft_error"] for k, r in got.items()} == {"r1": None, "r2": "ProviderError", "r3": "DraftError"} and len({r["prompt_sha256"] for r in got.values()}) == 3
+    text = emit.review(rows, labels, "w")
+    assert "1 drafted, 2 failed" in text and "| 2 | r2 | ProviderError |" in text and "## 1. r1" in text
+    with pytest.raises(ZeroDivisionError):
+        label.label_candidates(rows, lambda task: 1 / 0)
+
+
+def test_emit_tells_of_failed_drafts(spark, tmp_path):
+    one = spark.createDataFrame([("a", ["t"], "q", ["x", "y"], "n")], "id string, tags array<string>, input string, criteria array<string>, notes string")
+    assert emit.emit(one, tmp_path / "c.yaml", 1) == 1 and emit.emit(one, tmp_path / "c.yaml") == 0 and emit.emit(one.limit(0), tmp_path / "c.yaml", 1) == 2
 
 
 def test_yaml_and_promotion(tmp_path):
