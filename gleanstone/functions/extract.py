@@ -38,6 +38,32 @@ def at_path(row: Column, path: str) -> Column:
     return value
 
 
+#: Options of a reader that takes only plain JSON.
+PLAIN_JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedControlChars": "false"}
+
+
+def _wrapped(text: Column) -> tuple[Column, Column]:
+    return F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}"))
+
+
+def is_one_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value; a parser alone stops after the first. Null for null."""
+    listed, named = _wrapped(text)
+    return F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull() & (F.regexp_replace(text, r"\s+", "") != "") & F.try_variant_get(F.try_parse_json(listed), "$[1]", "variant").isNull()
+
+
+def with_last_names(text: Column) -> Column:
+    """The variant of an object that repeats names, the last of each winning; null for anything else that is no variant."""
+    listed, named = _wrapped(text)
+    one = F.from_json(listed, "array<map<string,string>>", PLAIN_JSON)
+    sound = (F.size(one) == 1) & F.from_json(named, "v map<string,string>, _corrupt string", PLAIN_JSON)["_corrupt"].isNull() & text.rlike(r"^\s*\{")
+    entries = F.map_entries(F.get(one, F.lit(0)))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    pair = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").when(e["value"].rlike(r"^\s*[\[{]"), e["value"]).otherwise(quoted(e["value"])))
+    return F.when(sound, F.try_parse_json(F.concat(F.lit("{"), F.array_join(F.transform(last, pair), ","), F.lit("}"))))
+
+
 def text_of(value: Column) -> Column:
     """The string, null for other types."""
     return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))

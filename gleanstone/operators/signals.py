@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanstone.config import ORDINARY, SIGNAL_WEIGHTS, Score
+from gleanstone.functions.extract import is_one_json, with_last_names
 from gleanstone.functions.text import fingerprint, first_of
 from gleanstone.schema import SIGNALS
 from gleanstone.session import attach, materialize
@@ -110,7 +111,7 @@ def score_records(records: DataFrame, settings: Score | None = None, by: list[st
         "version_disagreement": col("versions"),
         "injection_pattern": first_match(col("input_text"), INJECTIONS),
         "refusal_pattern": first_match(col("output_text"), REFUSALS),
-        "format_violation": F.when(F.lit(expect_json) & col("output_text").isNotNull() & F.try_parse_json("output_text").isNull(), F.lit("the output is no JSON")),
+        "format_violation": F.when(F.lit(expect_json) & col("output_text").isNotNull() & ~F.coalesce(is_one_json(col("output_text")) | with_last_names(col("output_text")).isNotNull(), F.lit(False)), F.lit("the output is no JSON")),
         "novelty": F.when(F.lit(overlaps is not None) & (F.coalesce("best_overlap", F.lit(0.0)) < s.novelty_max_jaccard), F.format_string("best overlap %.2f", F.coalesce("best_overlap", F.lit(0.0)))),
         "latency_outlier": F.when(col("latency_ms") >= col("latency_p"), F.format_string("%d ms, the window's limit is %d", "latency_ms", "latency_p")),
         "length_outlier": F.when(long_in, F.format_string("input of %d", F.length("input_text"))).when(long_out, F.format_string("output of %d", F.length("output_text"))),

@@ -225,7 +225,7 @@ def spread_by_sign(spark, d):  # noqa: ANN001, ANN201
     r = _records(spark, d).where("feedback is not null")
     t = r.agg(F.count_if(F.col("error").isNotNull() & ok).alias("a"), F.count_if(F.col("error").isNotNull() & ~ok).alias("b"), F.count_if(F.col("error").isNull() & ok).alias("c"), F.count_if(F.col("error").isNull() & ~ok).alias("e")).first()
     p = stats.fisher_lower(t["a"], t["b"], t["c"], t["e"])
-    return spark.createDataFrame([(t["a"], t["b"], t["c"], t["e"], p)], "failed_positive bigint, failed_other bigint, fine_positive bigint, fine_other bigint, p double")
+    return spark.createDataFrame([(t["a"], t["b"], t["c"], t["e"], p)], "failed_positive bigint, failed_other bigint, fine_positive bigint, fine_other bigint, p double").withColumn("p", F.round("p", 6))
 
 
 QUERIES = {

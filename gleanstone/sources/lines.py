@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanstone.errors import SourceError
+from gleanstone.functions.extract import is_one_json, with_last_names
 from gleanstone.functions.text import SPACE, first_of
 from gleanstone.operators.rejects import WELL_QUOTED, _csv_cells
 
@@ -42,11 +43,13 @@ def parse_jsonl(lines: DataFrame, *keep: str) -> DataFrame:
     """(line_no, ``keep``, payload, is_blank, error_type, detail) of lines (line_no, value) of JSON.
 
     A byte order mark is stripped; what isn't exactly one object is a failure that tells no content.
+    An object that repeats a name has the last of its values.
     """
     text = F.regexp_replace(F.regexp_replace("value", r"^\x{FEFF}", ""), f"^{SPACE}+|{SPACE}+$", "")
     lines = lines.withColumn("_text", text)
-    lines = lines.withColumns({"_v": F.try_parse_json("_text"), "_listed": F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]"))), "_named": F.try_parse_json(F.concat(F.lit('{"v":'), F.col("_text"), F.lit("}")))})
-    single = F.col("_v").isNotNull() & F.col("_listed").isNotNull() & F.col("_named").isNotNull()
+    one = F.coalesce(is_one_json(F.col("_text")), F.lit(False))
+    lines = lines.withColumn("_v", F.when(one, F.try_parse_json("_text")).when(F.col("_text") != "", with_last_names(F.col("_text"))))
+    single = F.col("_v").isNotNull()
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     detail = first_of((F.col("_text") == "", None), (~single, "not one JSON value"), (~is_object, "not an object"))
     lines = lines.withColumn("detail", detail)
