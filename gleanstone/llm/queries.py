@@ -44,6 +44,10 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(quota_sample.report, spark, sf_dir)
 
 
+def p4_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(quota_sample.margins, spark, sf_dir)
+
+
 def _personal(query, spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     allowed = personal_data.allow_list(table(spark, sf_dir, "name_allowlist"))
     # Who wants the same replacements in another run names a key; otherwise each run has its own.
@@ -99,7 +103,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offensive(offensive.rates, spark, sf_dir)
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_ranked": p2_ranked, "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p4_margins": p4_margins, "p5_found": p5_found, "p5_surrogates": p5_surrogates, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_tagged": p6_tagged, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 _TOP = """
     WITH s AS (SELECT record_id, max(score) AS score FROM scores WHERE score IS NOT NULL GROUP BY record_id),

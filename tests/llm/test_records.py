@@ -129,17 +129,37 @@ def test_smallest_keys_are_taken(spark):
     strata = spark.createDataFrame([("w1", "ordinary", 1.0, 1, 100, 0)], STRATA)
     everything = quota_sample.sample(candidates, spark.createDataFrame([("w1", "ordinary", 1.0, 1, 10_000, 0)], STRATA)).collect()
     some = quota_sample.sample(candidates, strata).collect()
-    keys = sorted((r["draw_key"], r["record_id"]) for r in everything)[:100]
-    assert sorted((r["draw_key"], r["record_id"]) for r in some) == keys
+    ordered = lambda rows: sorted((round(r["draw_key"], 9), r["record_id"]) for r in rows)
+    assert ordered(some) == ordered(everything)[:100]
 
 
-def test_raking_meets_all_margins():
+def cells_of(rows, **columns):
     import pandas as pd
 
-    cells = pd.DataFrame([("w", s, b, r, n, {"x": 0.5, "y": 0.5}[s]) for s, b, r, n in [("x", "small", "one", 10), ("x", "large", "one", 40), ("y", "small", "none", 100), ("y", "large", "one", 50), ("x", "small", "none", 20)]], columns=["window_id", "stratum", "band", "reasons", "n", "share"])
-    out = quota_sample.rake(cells)
-    assert abs(out.groupby("stratum")["fitted"].sum()["x"] - 110) < 1e-6
-    assert abs(out.groupby("band")["fitted"].sum()["small"] - 130) < 1 and abs(out.groupby("reasons")["fitted"].sum()["one"] - 100) < 1
+    return pd.DataFrame([("w", s, b, r, n, None, share, float("nan")) for s, b, r, n, share in rows], columns=["window_id", "stratum", "band", "reasons", "n", "quota", "share", "total"]).assign(**columns)
+
+
+POOL = [("x", "small", "one", 10, 0.5), ("x", "large", "one", 40, 0.5), ("y", "small", "none", 100, 0.5), ("y", "large", "one", 50, 0.5), ("x", "small", "none", 20, 0.5)]
+
+
+def test_raking_meets_all_margins():
+    out = quota_sample.rake(cells_of(POOL))
+    # Without quotas the total is what the scarcer stratum allows at its share: 70 / 0.5.
+    assert abs(out.groupby("stratum")["fitted"].sum()["x"] - 70) < 1e-6 and out["planned"].tolist() == [70] * 5
+    assert abs(out.groupby("band")["fitted"].sum()["small"] - 140 * 130 / 220) < 1 and abs(out.groupby("reasons")["fitted"].sum()["one"] - 140 * 100 / 220) < 1
+    given = quota_sample.rake(cells_of(POOL, quota=[30.0, 30.0, float("nan"), float("nan"), 30.0], share=[0.25, 0.25, 0.75, 0.75, 0.25], total=120.0))
+    assert given.groupby("stratum")["planned"].first().to_dict() == {"x": 30, "y": 90} and abs(given.groupby("stratum")["fitted"].sum()["y"] - 90) < 1e-6
+
+
+def test_shares_decide_where_no_quota_is_given_and_residuals_are_reported(spark):
+    candidates, _ = pool(spark)
+    strata = spark.createDataFrame([("w1", "ordinary", 0.8, 0, None, 0), ("w1", "rare", 0.1, 0, None, 0), ("w1", "error", 0.1, 0, None, 0), ("w1", "absent", None, 4, None, 0)], STRATA)
+    told = {r["stratum"]: r for r in quota_sample.report(candidates, strata).collect()}
+    assert told["rare"]["selected"] == told["error"]["selected"] == told["rare"]["available"] and told["ordinary"]["selected"] == 8 * told["rare"]["selected"] and abs(told["ordinary"]["reached_share"] - 0.8) < 1e-6
+    assert told["absent"]["gap"] == 4 and not told["absent"]["floor_met"]
+    rows = quota_sample.margins(candidates, strata).collect()
+    assert {r["margin"] for r in rows} == {"stratum", "band", "reasons"} and all(abs(r["selected"] - r["aimed"] - r["residual"]) < 0.01 for r in rows)
+    assert all(abs(r["residual"]) < 1 for r in rows if r["margin"] == "stratum") and all(abs(r["residual"]) < 40 for r in rows)
 
 
 def test_columns_are_chosen_by_name(spark):
