@@ -110,7 +110,7 @@ ORACLES = {
     "q_ingest_accounts": f"WITH {_TICKETS}, n AS (SELECT count(*) AS l, count(fault) AS i, count(DISTINCT CASE WHEN fault IS NULL THEN {_FP} END) AS w FROM b) SELECT l AS lines, CAST(0 AS BIGINT) AS blank, CAST(0 AS BIGINT) AS unparsed, i AS invalid, CAST(0 AS BIGINT) AS truncated, w AS written, l AS rows, l - i - w AS duplicates FROM n",
     "q_ingest_faults": f"WITH {_TICKETS}, {_JUDGED} SELECT split_part(fault, ':', 1) AS error_type, count(*) AS lines FROM (SELECT fault FROM b UNION ALL SELECT fault FROM jb) WHERE fault IS NOT NULL GROUP BY 1",
     "q_jsonl_lines": f"""WITH l AS (SELECT source_path, regexp_replace(regexp_replace(regexp_replace(line, '^\\x{{FEFF}}', ''), '^{_WS}+', ''), '{_WS}+$', '') AS t FROM raw_lines WHERE source_format = 'jsonl'),
-        s AS (SELECT source_path, t = '' AS blank, t <> '' AND coalesce(json_valid(t), false) AND coalesce(json_type(CASE WHEN json_valid(t) THEN t END), '') = 'OBJECT' AS fine FROM l)
+        s AS (SELECT source_path, t = '' AS blank, t <> '' AND coalesce(json_valid(t), false) AND NOT regexp_matches(regexp_replace(t, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]') AND coalesce(json_type(CASE WHEN json_valid(t) THEN t END), '') = 'OBJECT' AS fine FROM l)
         SELECT source_path, count(*) AS lines, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND NOT fine) AS unparsed, count(*) FILTER (WHERE fine) AS objects FROM s GROUP BY source_path""",
     "q_sidecar_records": f"WITH {_R}, b AS (SELECT record_id, input_text, CASE WHEN input_text IS NULL OR sha256(input_text)[1] = '0' THEN 'sidecar_miss:input_text' WHEN {_BLANK('input_text')} THEN 'invalid_record:input_text' END AS fault FROM r) SELECT record_id AS line_no, {_SPLIT}, CASE WHEN fault IS NULL THEN CAST(length(input_text) AS INTEGER) END AS n FROM b",
     "q_chat_records": f"WITH {_R} SELECT record_id AS line_no, CASE WHEN {_BLANK('input_text')} THEN 'missing_field' END AS error_type, strftime(make_timestamp(CAST(floor(epoch(received_at)) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, CASE WHEN NOT {_BLANK('input_text')} THEN CAST(length(input_text) AS INTEGER) END AS asked, 'first' || chr(10) || record_id AS output_text, CASE WHEN arm IS NULL THEN 'b' WHEN NOT {_BLANK('arm')} THEN arm END AS prompt_version, 'x' || chr(10) || 'y' AS arm, 'z' AS feedback FROM r WHERE input_text IS NOT NULL",
