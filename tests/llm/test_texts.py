@@ -68,15 +68,30 @@ def test_mixture(spark):
     again = source_mix.mix(docs(spark).repartition(5), targets, total_tokens=20_000, shards=5).collect()
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
     told = {r["source"]: r for r in source_mix.shares(docs(spark), targets, 20_000).collect()}
-    assert told["missing"]["missed_because"] == "no documents" and told["small"]["missed_because"] == "repetition cap" and told["big"]["missed_because"] is None
+    assert told["missing"]["missed_because"] == "no documents" and told["small"]["missed_because"] == "repetition cap" and told["big"]["missed_because"] == "other sources fall short" and told["zero"]["missed_because"] is None
+    assert abs(told["big"]["share_of_wanted"] - 0.5) < 0.01 and told["big"]["wanted_tokens"] == 10_000
     assert source_mix.mix(docs(spark).limit(0), targets).count() == 0 and source_mix.mix(docs(spark), targets.limit(0)).count() == 0
 
 
+def test_many_shards_are_dealt_in_subtrees(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "SUBTREES", 3)
+    targets = spark.createDataFrame([("big", 0.6, 3), ("mid", 0.4, 3)], "source string, target_weight double, max_repeats int")
+    rows = source_mix.mix(docs(spark), targets, total_tokens=20_000, shards=11).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n_tokens"]
+    assert set(sizes) == set(range(11)) and len({(r["doc_id"], r["pass"]) for r in rows}) == len(rows)
+    assert abs(sum(sizes.values()) - 20_000) < 140 and max(sizes.values()) < 2 * min(sizes.values())
+    for shard in range(11):
+        mine = [r for r in rows if r["shard"] == shard]
+        assert 0.4 < sum(r["n_tokens"] for r in mine if r["source"] == "big") / sizes[shard] < 0.8
+
+
 def test_splitting_tree_is_exact():
     import numpy as np
 
     quotas = np.array([7, 0, 400, 33])
-    dealt = source_mix.split_quotas(quotas, 7, np.random.default_rng(1))
+    dealt = source_mix.split_quotas(quotas, [1] * 7, np.random.default_rng(1))
     assert dealt.shape == (7, 4) and (dealt.sum(axis=0) == quotas).all() and dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
 
 
