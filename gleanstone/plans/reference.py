@@ -94,14 +94,24 @@ def orphan_scores(spark, d):  # noqa: ANN001, ANN201
 
 
 def error_rates(spark, d):  # noqa: ANN001, ANN201
+    """Rates of every window against the next one's."""
     hits = {"error": F.col("error").isNotNull(), "negative_feedback": F.lower(F.trim("feedback")).isin(*NEGATIVE_WORDS)}
-    out = drift.rate_shift(_records(spark, d), "window_id", "win-00000", "win-00001", hits)
+    out = drift.rate_shifts(_records(spark, d), "window_id", hits)
     rounded = [F.round(c, 6).alias(c) for c in ("rate_a", "rate_b", "low_a", "high_a", "low_b", "high_b", "delta")]
-    return out.select("measure", "n_a", "hits_a", "n_b", "hits_b", *rounded, "separated")
+    return out.select("earlier", "later", "measure", "n_a", "hits_a", "n_b", "hits_b", *rounded, "separated")
 
 
 def latency_shift(spark, d):  # noqa: ANN001, ANN201
-    out = drift.input_length_shift(_records(spark, d), "window_id", "win-00000", "win-00001", "latency_ms")
+    """Latencies of every window against the next one's."""
+    out = drift.value_shifts(_records(spark, d), "window_id", "latency_ms")
+    return out.select("earlier", "later", F.round("ks", 6).alias("ks"), "n_first", "n_second", "median_a", "median_b")
+
+
+def length_shift(spark, d):  # noqa: ANN001, ANN201
+    """The earliest window's request lengths against the latest one's."""
+    rows = _records(spark, d).withColumn("chars", F.length("input_text"))
+    ends = rows.agg(F.min("window_id").alias("a"), F.max("window_id").alias("b")).first()
+    out = drift.input_length_shift(rows, "window_id", ends["a"], ends["b"], "chars")
     return out.select(F.round("ks", 6).alias("ks"), "n_first", "n_second", "median_a", "median_b")
 
 
@@ -133,27 +143,10 @@ def truncations(spark, d):  # noqa: ANN001, ANN201
     return _docs(spark, d).select("doc_id", coerce.truncated(F.col("text"), 200).alias("cut"))
 
 
-def sidecar_join(spark, d):  # noqa: ANN001, ANN201
-    """Rows that keep only a digest of their text meet the texts again."""
-    r = _records(spark, d).select("record_id", F.sha2("input_text", 256).alias("text_sha256"))
-    side = _records(spark, d).select(F.sha2("input_text", 256).alias("text_sha256"), F.length("input_text").alias("n")).dropDuplicates(["text_sha256"])
-    return r.join(side, "text_sha256", "left").select("record_id", "n")
-
-
 def shingle_stats(spark, d):  # noqa: ANN001, ANN201
     return similarity.shingle_sizes(similarity.shingles(_docs(spark, d), "doc_id", "text"), "doc_id")
 
 
-def minhash_small(spark, d):  # noqa: ANN001, ANN201
-    """Four hash minima per document with a digest that SQL knows, exact in 61-bit modular arithmetic."""
-    a, b = similarity.minhash_family(4)
-    s = similarity.shingles(_docs(spark, d), "doc_id", "text")
-    x = F.conv(F.substring(F.md5("shingle"), 1, 15), 16, 10).cast("decimal(20,0)")
-    p = F.lit(str(similarity.PRIME)).cast("decimal(20,0)")
-    mixed = [F.min((x * F.lit(str(m)).cast("decimal(20,0)") + F.lit(str(o)).cast("decimal(20,0)")) % p).cast("string").alias(f"h{i}") for i, (m, o) in enumerate(zip(a, b))]
-    return s.groupBy("doc_id").agg(*mixed)
-
-
 def near_duplicates(spark, d):  # noqa: ANN001, ANN201
     return cluster.classes(_docs(spark, d), NEAR)
 
@@ -232,8 +225,8 @@ QUERIES = {
     "q_record_faults": record_faults, "q_fingerprint_dedupe": fingerprint_dedupe, "q_duplicate_histogram": duplicate_histogram, "q_distinct_inputs": distinct_inputs,
     "q_percentile_context": percentile_context, "q_version_disagreement": version_disagreement, "q_scored": scored, "q_signal_histogram": signal_histogram,
     "q_strata_of_scores": strata_of_scores, "q_quota_topk": quota_topk, "q_cluster_topk": cluster_topk, "q_greedy_select": greedy, "q_greedy_strata": greedy_strata,
-    "q_orphan_scores": orphan_scores, "q_error_rates": error_rates, "q_latency_shift": latency_shift, "q_coerced_counts": coerced_counts, "q_event_paths": event_paths,
-    "q_epochs": epochs, "q_case_ids": slugs, "q_truncations": truncations, "q_sidecar_join": sidecar_join, "q_shingle_stats": shingle_stats, "q_minhash_small": minhash_small,
+    "q_orphan_scores": orphan_scores, "q_error_rates": error_rates, "q_latency_shift": latency_shift, "q_length_shift": length_shift, "q_coerced_counts": coerced_counts, "q_event_paths": event_paths,
+    "q_epochs": epochs, "q_case_ids": slugs, "q_truncations": truncations, "q_shingle_stats": shingle_stats,
     "q_near_duplicates": near_duplicates, "q_clusters": clusters, "q_best_overlap": best_overlap, "q_stale_goldens": stale_goldens, "q_redundant_goldens": redundant_goldens,
     "q_golden_coverage": golden_coverage, "q_email_spans": email_spans, "q_pii_counts": pii_counts, "q_redacted": redacted, "q_dry_run_cases": dry_run_cases, "q_fisher": spread_by_sign,
 }

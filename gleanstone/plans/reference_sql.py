@@ -78,6 +78,12 @@ _A, _B = minhash_family(4)
 _WILSON = lambda h, n, s: f"(({h} / {n} + {Z * Z} / (2 * {n})) {s} {Z} * sqrt({h} / {n} * (1 - {h} / {n}) / {n} + {Z * Z} / (4.0 * {n} * {n}))) / (1 + {Z * Z} / {n})"
 _PAIRS = "p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b USING (shingle) WHERE {} GROUP BY ALL), j AS (SELECT a, b, c / (za.n + zb.n - c) AS jaccard FROM p JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b)"
 
+MINHASH = (
+    f"WITH {_SETS}, h AS (SELECT doc_id, CAST(('0x' || substring(md5(shingle), 1, 15))::BIGINT AS HUGEINT) AS b FROM x) SELECT doc_id, "
+    + ", ".join(f"CAST(min((b * {m}::HUGEINT + {o}::HUGEINT) % {PRIME}::HUGEINT) AS VARCHAR) AS h{i}" for i, (m, o) in enumerate(zip(_A, _B)))
+    + " FROM h GROUP BY doc_id"
+)
+
 ORACLES = {
     "q_record_faults": f"WITH {_R} SELECT {_FAULT} AS fault, count(*) AS records FROM r GROUP BY 1",
     "q_fingerprint_dedupe": f"WITH {_R} SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY {_FP} ORDER BY received_at, record_id) AS n FROM r) WHERE n = 1",
@@ -91,16 +97,22 @@ ORACLES = {
     "q_quota_topk": _RANKED + f", {_QUOTA}, p AS (SELECT *, CAST(row_number() OVER (PARTITION BY stratum ORDER BY score DESC, record_id) AS INTEGER) AS place FROM k) SELECT stratum, record_id, place FROM p JOIN q USING (stratum) WHERE place <= quota",
     "q_cluster_topk": _RANKED + " SELECT cluster_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, record_id) AS n FROM k) WHERE n = 1",
     "q_orphan_scores": "SELECT DISTINCT record_id FROM scores WHERE record_id NOT IN (SELECT record_id FROM candidates WHERE record_id IS NOT NULL)",
-    "q_error_rates": f"""WITH {_R}, m AS (SELECT window_id, count(*) AS n, count(error) AS h, 'error' AS measure FROM r GROUP BY 1
-        UNION ALL SELECT window_id, count(*), count(*) FILTER (WHERE lower(trim(feedback)) IN ({_words(NEGATIVE_WORDS)})), 'negative_feedback' FROM r GROUP BY 1),
-        b AS (SELECT a.measure, a.n AS n_a, a.h AS hits_a, b.n AS n_b, b.h AS hits_b, a.h / a.n AS ra, b.h / b.n AS rb, greatest({_WILSON('a.h', 'a.n', '-')}, 0) AS la, least({_WILSON('a.h', 'a.n', '+')}, 1) AS ha,
-            greatest({_WILSON('b.h', 'b.n', '-')}, 0) AS lb, least({_WILSON('b.h', 'b.n', '+')}, 1) AS hb FROM m a JOIN m b USING (measure) WHERE a.window_id = 'win-00000' AND b.window_id = 'win-00001')
-        SELECT measure, n_a, hits_a, n_b, hits_b, round(ra, 6) AS rate_a, round(rb, 6) AS rate_b, round(la, 6) AS low_a, round(ha, 6) AS high_a, round(lb, 6) AS low_b, round(hb, 6) AS high_b, round(rb - ra, 6) AS delta, (lb > ha) OR (la > hb) AS separated FROM b""",
-    "q_latency_shift": f"""WITH {_R}, t AS (SELECT window_id AS w, latency_ms AS v FROM r WHERE latency_ms IS NOT NULL AND window_id IN ('win-00000', 'win-00001')),
-        c AS (SELECT v, count(*) FILTER (WHERE w = 'win-00000') AS a, count(*) FILTER (WHERE w = 'win-00001') AS b FROM t GROUP BY v),
+    "q_error_rates": f"""WITH {_R}, m AS (SELECT window_id, count(*) AS n, count(error) AS h, 'error' AS measure FROM r WHERE window_id IS NOT NULL GROUP BY 1
+        UNION ALL SELECT window_id, count(*), count(*) FILTER (WHERE lower(trim(feedback)) IN ({_words(NEGATIVE_WORDS)})), 'negative_feedback' FROM r WHERE window_id IS NOT NULL GROUP BY 1),
+        p AS (SELECT lag(window_id) OVER w AS earlier, window_id AS later, measure, lag(n) OVER w AS n_a, lag(h) OVER w AS hits_a, n AS n_b, h AS hits_b FROM m WINDOW w AS (PARTITION BY measure ORDER BY window_id)),
+        b AS (SELECT *, hits_a / n_a AS ra, hits_b / n_b AS rb, greatest({_WILSON('hits_a', 'n_a', '-')}, 0) AS la, least({_WILSON('hits_a', 'n_a', '+')}, 1) AS ha, greatest({_WILSON('hits_b', 'n_b', '-')}, 0) AS lb, least({_WILSON('hits_b', 'n_b', '+')}, 1) AS hb FROM p WHERE earlier IS NOT NULL)
+        SELECT earlier, later, measure, n_a, hits_a, n_b, hits_b, round(ra, 6) AS rate_a, round(rb, 6) AS rate_b, round(la, 6) AS low_a, round(ha, 6) AS high_a, round(lb, 6) AS low_b, round(hb, 6) AS high_b, round(rb - ra, 6) AS delta, (lb > ha) OR (la > hb) AS separated FROM b""",
+    "q_latency_shift": f"""WITH {_R}, t AS (SELECT window_id AS w, latency_ms AS v FROM r WHERE latency_ms IS NOT NULL AND window_id IS NOT NULL),
+        n AS (SELECT w, count(*) AS n, CAST(median(v) AS DOUBLE) AS m FROM t GROUP BY w), p AS (SELECT lag(w) OVER (ORDER BY w) AS earlier, w AS later FROM n),
+        c AS (SELECT earlier, later, v, count(*) FILTER (WHERE w = earlier) AS a, count(*) FILTER (WHERE w = later) AS b FROM p JOIN t ON t.w = p.earlier OR t.w = p.later WHERE earlier IS NOT NULL GROUP BY ALL),
+        s AS (SELECT earlier, later, sum(a) OVER q AS ca, sum(b) OVER q AS cb, sum(a) OVER (PARTITION BY earlier, later) AS na, sum(b) OVER (PARTITION BY earlier, later) AS nb FROM c WINDOW q AS (PARTITION BY earlier, later ORDER BY v)),
+        k AS (SELECT earlier, later, max(abs(ca / na - cb / nb)) AS ks FROM s GROUP BY ALL)
+        SELECT earlier, later, round(ks, 6) AS ks, x.n AS n_first, y.n AS n_second, x.m AS median_a, y.m AS median_b FROM k JOIN n x ON x.w = earlier JOIN n y ON y.w = later""",
+    "q_length_shift": f"""WITH {_R}, e AS (SELECT min(window_id) AS x, max(window_id) AS y FROM r), t AS (SELECT window_id AS w, length(input_text) AS v FROM r, e WHERE input_text IS NOT NULL AND window_id IN (x, y)),
+        c AS (SELECT v, count(*) FILTER (WHERE w = x) AS a, count(*) FILTER (WHERE w = y) AS b FROM t, e GROUP BY v),
         n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c), s AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb FROM c)
         SELECT round(max(abs(ca / na - cb / nb)), 6) AS ks, CAST(any_value(na) AS BIGINT) AS n_first, CAST(any_value(nb) AS BIGINT) AS n_second,
-            (SELECT median(v) FROM t WHERE w = 'win-00000')::DOUBLE AS median_a, (SELECT median(v) FROM t WHERE w = 'win-00001')::DOUBLE AS median_b FROM s, n""",
+            (SELECT median(v) FROM t, e WHERE w = x)::DOUBLE AS median_a, (SELECT median(v) FROM t, e WHERE w = y)::DOUBLE AS median_b FROM s, n""",
     "q_coerced_counts": f"""WITH t AS (SELECT DISTINCT ON (ticket_id) ticket_id, duration_ms AS d, trim(duration_ms) AS s FROM support_tickets),
         u AS (SELECT ticket_id, d IS NULL OR {_BLANK('d')} AS absent, CASE WHEN regexp_full_match(s, '[+-]?[0-9]{{1,18}}') THEN try_cast(s AS BIGINT) WHEN try_cast(s AS DOUBLE) = floor(try_cast(s AS DOUBLE)) AND abs(try_cast(s AS DOUBLE)) < 9e18 THEN CAST(try_cast(s AS DOUBLE) AS BIGINT) END AS n FROM t)
         SELECT ticket_id, n AS duration, absent OR n IS NOT NULL AS ok FROM u""",
@@ -108,11 +120,7 @@ ORACLES = {
     "q_epochs": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS from_seconds, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS from_millis FROM events",
     "q_case_ids": f"WITH {_R} SELECT record_id, 'gleanstone_' || trim(regexp_replace(lower(window_id), '[^a-z0-9]+', '_', 'g'), '_') || '_' || trim(regexp_replace(lower(record_id), '[^a-z0-9]+', '_', 'g'), '_') AS case_id FROM r",
     "q_truncations": f"WITH {_DOCS} SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || {_q(TRUNCATION_MARK)} ELSE text END AS cut FROM d",
-    "q_sidecar_join": f"WITH {_R}, s AS (SELECT DISTINCT ON (sha256(input_text)) sha256(input_text) AS k, CAST(length(input_text) AS INTEGER) AS n FROM r) SELECT record_id, n FROM r LEFT JOIN s ON s.k = sha256(r.input_text)",
     "q_shingle_stats": f'WITH {_SETS} SELECT doc_id, n AS "size" FROM z',
-    "q_minhash_small": f"WITH {_SETS}, h AS (SELECT doc_id, CAST(('0x' || substring(md5(shingle), 1, 15))::BIGINT AS HUGEINT) AS b FROM x) SELECT doc_id, "
-    + ", ".join(f"CAST(min((b * {m}::HUGEINT + {o}::HUGEINT) % {PRIME}::HUGEINT) AS VARCHAR) AS h{i}" for i, (m, o) in enumerate(zip(_A, _B)))
-    + " FROM h GROUP BY doc_id",
     "q_best_overlap": f"WITH {_SETS}, {_PAIRS.format('NOT ' + _GOLD.format('a') + ' AND ' + _GOLD.format('b'))} SELECT g.doc_id, round(coalesce(max(jaccard), 0), 6) AS best_overlap FROM g LEFT JOIN j ON j.a = g.doc_id WHERE NOT {_GOLD.format('g')} GROUP BY g.doc_id",
     "q_stale_goldens": f"WITH {_SETS}, {_PAIRS.format(_GOLD.format('a') + ' AND NOT ' + _GOLD.format('b'))} SELECT g.doc_id AS golden_id, round(coalesce(max(jaccard), 0), 6) AS best_overlap FROM g LEFT JOIN j ON j.a = g.doc_id WHERE {_GOLD.format('g')} GROUP BY g.doc_id HAVING coalesce(max(jaccard), 0) < 0.2",
     "q_redundant_goldens": f"WITH {_SETS}, {_PAIRS.format(_GOLD.format('a') + ' AND ' + _GOLD.format('b') + ' AND a.doc_id < b.doc_id')} SELECT a AS golden_id, b AS other, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.05",

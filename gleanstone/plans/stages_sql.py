@@ -6,7 +6,7 @@ from gleanstone.config import NAME_ALLOWLIST, POSITIVE_WORDS, QUOTAS, SIGNAL_WEI
 from gleanstone.functions import pii
 from gleanstone.operators.emit import PREFIX
 from gleanstone.operators.label import PLACEHOLDER_MARK
-from gleanstone.plans.reference_sql import _BLANK, _CONTEXT, _DISAGREE, _DOCS, _FIRES, _FP, _NORM_OF, _QUOTA, _R, _RANKED, _SETS, _WILSON, _WS, ORACLES as PLAIN, _q, _words
+from gleanstone.plans.reference_sql import MINHASH, _BLANK, _CONTEXT, _DISAGREE, _DOCS, _FIRES, _FP, _NORM_OF, _QUOTA, _R, _RANKED, _SETS, _WILSON, _WS, ORACLES as PLAIN, _q, _words
 
 _ABSENT = lambda c: f"({c} IS NULL OR {_BLANK(c)})"
 _TRIM = lambda c: f"trim({c}, ' ')"
@@ -100,7 +100,7 @@ _NEAR = lambda docs="true": f"""d AS (SELECT DISTINCT ON (doc_id) * FROM documen
     eb AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln), re(a, b) AS (SELECT a, b FROM eb UNION SELECT re.a, eb.b FROM re JOIN eb ON eb.a = re.b),
     cp AS (SELECT a AS rep, least(a, min(b)) AS comp FROM re GROUP BY a), cl AS (SELECT mb.doc_id, mb.rep, coalesce(cp.comp, mb.rep) AS comp FROM mb LEFT JOIN cp ON cp.rep = mb.rep)"""
 _HALF = "(SELECT quantile_disc(doc_id, 0.5) FROM d)"
-_MIN = PLAIN["q_minhash_small"]
+_MIN = MINHASH
 _LG = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
 _FISHER = f"(SELECT sum(exp({_LG('a + b', 'x.k')} + {_LG('c + e', '(a + c - x.k)')} - {_LG('a + b + c + e', '(a + c)')})) FROM (SELECT unnest(range(CAST(greatest(0, a + c - (c + e)) AS BIGINT), CAST(a AS BIGINT) + 1)) AS k) x)"
 

@@ -96,6 +96,20 @@ def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None
     return placed.withColumn(output, F.col("_start") + F.col("_local")).drop("_range", "_start", "_local")
 
 
+def running(df: DataFrame, within: list[str], order: str, value: str, output: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` up to each row in each group; (``within``, ``order``) is unique.
+
+    Ranges sum by themselves and start from the sums of the ranges before, so no task takes a whole group.
+    """
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in within], F.col(order)).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*within, "_range").agg(F.sum(value).alias("_sum"))  # a row per range and group that it touches
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*within, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    local = F.sum(value).over(Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = attach(ranged.withColumn("_local", local), starts, [*within, "_range"])
+    return placed.withColumn(output, F.col("_start") + F.col("_local")).drop("_range", "_start", "_local")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no copy of the repository."""
     import shutil
