@@ -16,19 +16,20 @@ from gleanstone import config as settings
 from gleanstone.errors import GleanstoneError
 from gleanstone.operators import cluster, drift, emit, health, ingest, label, redact, select, signals, similarity
 from gleanstone.session import local_session, materialize, ship_package
+from gleanstone.sinks import storage
 from gleanstone.sinks.window import COUNTERS, Window, write_report
 from gleanstone.sources import files, lines, mapping
 
 OK, PARTIAL, NOTHING, FAILED = 0, 1, 2, 3
 
 
-def _window(args: argparse.Namespace, name: str | None = None) -> Window:
-    return Window(Path(args.root) / (name or args.window))
+def _window(spark: SparkSession, args: argparse.Namespace, name: str | None = None) -> Window:
+    return Window(spark, f"{args.root.rstrip('/')}/{name or args.window}")
 
 
 def run_ingest(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
     m = mapping.load(args.mapping, args.mappings)
-    window = _window(args)
+    window = _window(spark, args)
     window.check_writable(args.append)
     digest = files.source_sha256(args.source)
     window.refuse_again(args.source, digest)
@@ -42,7 +43,7 @@ def run_ingest(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
     if cfg.dedupe.dedupe:
         from gleanstone.operators.dedupe import first_per_fingerprint
 
-        records = first_per_fingerprint(records, "input_text", ["line_no"], window.fingerprints(spark) if args.append else None)
+        records = first_per_fingerprint(records, "input_text", ["line_no"], window.fingerprints() if args.append else None)
     records = materialize(records)
     counts = ingest.accounts(built, records).first().asDict()
     if not counts["written"]:
@@ -58,8 +59,8 @@ def run_ingest(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
 
 
 def run_score(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    window = _window(args)
-    records, manifest = window.records(spark), window.manifest() or {"sources": [], "dedupe_enabled": True}
+    window = _window(spark, args)
+    records, manifest = window.records(), window.manifest() or {"sources": [], "dedupe_enabled": True}
     sources = [bool(s.get("expect_output_json")) for s in manifest["sources"]]
     expectation = "all" if sources and all(sources) else "mixed" if any(sources) else "none"
     overlaps = None
@@ -70,15 +71,15 @@ def run_score(spark: SparkSession, cfg: settings.Config, args: argparse.Namespac
         overlaps = overlaps.select("record_id", "best_overlap").unionByName(wordless)
     scores = signals.score_records(records, cfg.score, expect_json=expectation == "all", disagreement=not manifest["dedupe_enabled"], overlaps=overlaps)
     window.write_artefact("scores", scores)
-    write_report(window, "scores", "Signals", signals.signal_histogram(window.artefact(spark, "scores", "score")).orderBy(F.desc("records")))
+    write_report(window, "scores", "Signals", signals.signal_histogram(window.artefact("scores", "score")).orderBy(F.desc("records")))
     context = signals.window_context(records, cfg.score).first().asDict()
     blocking = [x for x in signals.not_evaluated(context, manifest["dedupe_enabled"], expectation, bool(args.existing)) if x[2]]
     return PARTIAL if blocking else OK
 
 
 def run_cluster(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    window = _window(args)
-    records, scores = window.records(spark), window.artefact(spark, "scores", "score")
+    window = _window(spark, args)
+    records, scores = window.records(), window.artefact("scores", "score")
     grouped, _ = cluster.memberships(records, cfg.cluster)
     window.write_artefact("members", grouped)
     window.write_artefact("clusters", cluster.cluster_records(records, scores, cfg.cluster))
@@ -86,10 +87,10 @@ def run_cluster(spark: SparkSession, cfg: settings.Config, args: argparse.Namesp
 
 
 def run_select(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    window = _window(args)
-    records, scores = window.records(spark), window.artefact(spark, "scores", "score")
+    window = _window(spark, args)
+    records, scores = window.records(), window.artefact("scores", "score")
     select.check_complete(records, scores, "scores")
-    members = window.artefact(spark, "members", "cluster").withColumnRenamed("component", "cluster_id")
+    members = window.artefact("members", "cluster").withColumnRenamed("component", "cluster_id")
     scored = scores.join(members, "record_id").withColumn("stratum", signals.stratum(F.col("signals"), cfg.score.weights))
     if args.existing:
         goldens = similarity.shingle_hashes(files.load_goldens(spark, args.existing), "id", "input", cfg.cluster.shingle_words)
@@ -105,29 +106,29 @@ def run_select(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
 
 
 def run_label(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    window = _window(args)
-    labels = label.label_candidates(window.artefact(spark, "candidates", "select"), settings=cfg.label)
+    window = _window(spark, args)
+    labels = label.label_candidates(window.artefact("candidates", "select"), settings=cfg.label)
     window.write_artefact("labels", labels)
     write_report(window, "labels_report", "Drafts by outcome", labels.groupBy(F.coalesce("draft_error", F.lit("drafted")).alias("outcome"), "model_id").count())
     return PARTIAL if labels.where("draft_error is not null").limit(1).count() else OK
 
 
 def run_emit(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:  # noqa: ARG001
-    window = _window(args)
-    candidates, labels = window.artefact(spark, "candidates", "select"), window.artefact(spark, "labels", "label")
-    emit.replace_file(window.folder / "review.md", emit.review(candidates, labels, args.window))
-    return emit.emit(emit.cases(candidates, labels, args.window), window.folder / "cases.yaml", labels.where("draft_error is not null").count())
+    window = _window(spark, args)
+    candidates, labels = window.artefact("candidates", "select"), window.artefact("labels", "label")
+    window.write_text("review.md", emit.review(candidates, labels, args.window))
+    return emit.emit(emit.cases(candidates, labels, args.window), lambda text: window.write_text("cases.yaml", text), labels.where("draft_error is not null").count())
 
 
 def run_promote(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:  # noqa: ARG001
-    emit.promote(_window(args).folder / "cases.yaml", args.target, args.ids, args.reviewer)
+    emit.promote(storage.read_text(spark, _window(spark, args).at("cases.yaml")), args.target, args.ids, args.reviewer)
     return OK
 
 
 def run_health(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    window = _window(args)
+    window = _window(spark, args)
     size = cfg.cluster.shingle_words
-    records, scores, members = window.records(spark), window.artefact(spark, "scores", "score"), window.artefact(spark, "members", "cluster")
+    records, scores, members = window.records(), window.artefact("scores", "score"), window.artefact("members", "cluster")
     traffic = materialize(similarity.shingle_hashes(records, "record_id", "input_text", size))
     goldens = materialize(similarity.shingle_hashes(files.load_goldens(spark, args.existing), "id", "input", size))
     covered = materialize(health.covered_records(similarity.best_overlap(traffic, goldens, "record_id", "id"), cfg.health))
@@ -135,7 +136,7 @@ def run_health(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
     write_report(window, "health_gaps", "Uncovered clusters", health.gaps(covered, members, scores, "record_id", cfg.health))
     write_report(window, "health_stale", "Cases unlike any record", health.staleness(goldens, traffic, "id", "record_id", cfg.health))
     write_report(window, "health_redundant", "Cases that say nearly the same", health.redundancy(goldens, "id", cfg.health))
-    clusters = window.artefact(spark, "clusters", "cluster")
+    clusters = window.artefact("clusters", "cluster")
     told = health.signalled_against_ordinary(covered, members, scores, "record_id")
     write_report(window, "health_comparison", "Signalled and ordinary clusters, novelty aside (one-sided exact test)", spark.createDataFrame([tuple(told.values())], "signalled_covered bigint, signalled bigint, ordinary_covered bigint, ordinary bigint, p double"))
     write_report(window, "health_clusters", "Clusters by size", clusters.groupBy("size").agg(F.count("*").alias("clusters")).orderBy("size"))
@@ -144,16 +145,16 @@ def run_health(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
 
 
 def run_drift(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:
-    early, late = _window(args, args.earlier), _window(args, args.later)
-    a, b = early.records(spark), late.records(spark)
+    early, late = _window(spark, args, args.earlier), _window(spark, args, args.later)
+    a, b = early.records(), late.records()
     rows = a.withColumn("w", F.lit("a")).unionByName(b.withColumn("w", F.lit("b"))).withColumn("input_len", F.length("input_text"))
     hits = {"error": F.col("error").isNotNull(), "negative_feedback": F.lower(F.trim("feedback")).isin(*cfg.score.negative_feedback_words)}
-    fired = [w.artefact(spark, "scores", "score").select("record_id", F.transform("signals", lambda x: x["name"]).alias("fired")) for w in (early, late)]
+    fired = [w.artefact("scores", "score").select("record_id", F.transform("signals", lambda x: x["name"]).alias("fired")) for w in (early, late)]
     rows = a.withColumn("w", F.lit("a")).join(fired[0], "record_id", "left").unionByName(b.withColumn("w", F.lit("b")).join(fired[1], "record_id", "left")).withColumn("input_len", F.length("input_text"))
     hits |= {f"signal:{n}": F.array_contains("fired", n) for n in settings.SIGNAL_WEIGHTS}
     write_report(late, "drift_rates", "Rates", drift.rate_shift(rows, "w", "a", "b", hits))
     write_report(late, "drift_length", "Input length", drift.input_length_shift(rows, "w", "a", "b", "input_len"))
-    heads = late.artefact(spark, "clusters", "cluster").select(F.col("representative_id").alias("record_id")).join(b, "record_id")
+    heads = late.artefact("clusters", "cluster").select(F.col("representative_id").alias("record_id")).join(b, "record_id")
     size = cfg.cluster.shingle_words
     novel = drift.novel_clusters(similarity.shingle_hashes(heads, "record_id", "input_text", size), similarity.shingle_hashes(a, "record_id", "input_text", size).withColumnRenamed("record_id", "earlier_id"), "record_id", "earlier_id", cfg.drift)
     write_report(late, "drift_novelty", "New clusters", novel.groupBy("novel").agg(F.count("*").alias("clusters")))
@@ -167,11 +168,11 @@ def run_redact(spark: SparkSession, cfg: settings.Config, args: argparse.Namespa
 
 def run_window(spark: SparkSession, cfg: settings.Config, args: argparse.Namespace) -> int:  # noqa: ARG001
     if args.action == "list":
-        print("\n".join(files.list_windows(args.root)))
+        print("\n".join(files.list_windows(spark, args.root)))
         return OK
     import json
 
-    print(json.dumps(_window(args).manifest(), indent=2, sort_keys=True))
+    print(json.dumps(_window(spark, args).manifest(), indent=2, sort_keys=True))
     return OK
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 import yaml
@@ -96,21 +97,21 @@ def review(candidates: DataFrame, labels: DataFrame, window: str) -> str:
     return "\n".join(out) + "\n"
 
 
-def emit(case_rows: DataFrame, path: str | Path, failed: int = 0) -> int:
-    """Writes the cases; the shortlist bounds their number. Returns 0, 1 if drafts failed, or 2 if there are no cases."""
+def emit(case_rows: DataFrame, write: Callable[[str], None], failed: int = 0) -> int:
+    """Hands the cases' YAML to ``write``; the shortlist bounds their number. Returns 0, 1 if drafts failed, or 2 if there are no cases."""
     rows = [r.asDict() for r in case_rows.collect()]
-    replace_file(path, render_yaml(rows))
+    write(render_yaml(rows))
     return 2 if not rows else 1 if failed else 0
 
 
-def promote(drafts: str | Path, target: str | Path, ids: list[str], reviewer: str) -> int:
-    """Appends the named cases of ``drafts`` to ``target``; the text that is there stays as it is.
+def promote(drafts: str, target: str | Path, ids: list[str], reviewer: str) -> int:
+    """Appends the named cases of ``drafts``, the text of a window's cases, to the file ``target``; the text that is there stays as it is.
 
     Refuses without reviewer or identifiers, for unknown or present ones, and for placeholder criteria.
     """
     if not reviewer.strip() or not ids:
         raise GleanstoneError("a reviewer and the identifiers to promote must be named")
-    here = {c["id"]: c for c in yaml.safe_load(Path(drafts).read_text(encoding="utf-8")) or []}
+    here = {c["id"]: c for c in yaml.safe_load(drafts) or []}
     target = Path(target)
     old = target.read_text(encoding="utf-8") if target.exists() else ""
     present = {c["id"] for c in yaml.safe_load(old) or []}

@@ -1,9 +1,13 @@
-"""A window: a folder of records with a manifest as commit marker, and artefacts beside them."""
+"""A window: batches of records with a manifest as commit marker, and artefacts beside them, on any file system.
+
+A run writes its records and failures into a batch folder of its own; they belong to the window only when the
+manifest, replaced in one step, lists the batch. What a broken run left behind is never read.
+"""
 
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 from gleanstone.errors import WindowError
 from gleanstone.functions.text import fingerprint
 from gleanstone.operators import redact
-from gleanstone.operators.emit import replace_file
 from gleanstone.schema import FIELDS, RECORD, record_fault
+from gleanstone.sinks import storage
 
 SCHEMA_VERSION = 2
 COUNTERS = ("lines", "blank", "unparsed", "invalid", "rows", "written", "duplicates", "truncated")
@@ -26,59 +30,69 @@ def check_sums(counts: dict[str, int]) -> None:
 
 
 class Window:
-    def __init__(self, folder: str | Path) -> None:
-        self.folder = Path(folder)
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, str(folder).rstrip("/")
+        self.batch = f"batch-{uuid.uuid4().hex[:12]}"
 
     @property
-    def records_path(self) -> str:
-        return str(self.folder / "records")
+    def name(self) -> str:
+        return self.folder.rsplit("/", 1)[-1]
+
+    def at(self, *parts: str) -> str:
+        return "/".join((self.folder, *parts))
 
     def check_writable(self, append: bool) -> None:
-        there = Path(self.records_path).exists()
+        there = self.manifest() is not None
         if there and not append:
-            raise WindowError(f"{self.folder.name} is there already; append to it or choose another name")
+            raise WindowError(f"{self.name} is there already; append to it or choose another name")
         if append and not there:
-            raise WindowError(f"{self.folder.name} is not there to be appended to")
+            raise WindowError(f"{self.name} is not there to be appended to")
 
     def append_records(self, records: DataFrame, guarded: bool = True) -> None:
-        """All or nothing: the guard runs over the whole batch before the first row is written."""
+        """All or nothing: the guard runs over the whole batch before the first row is written, and ``commit`` makes it count."""
         if guarded:
             redact.guard(records)
-        records.select(*FIELDS).write.mode("append").parquet(self.records_path)
-
-    def records(self, spark: SparkSession) -> DataFrame:
-        """The window's records; a single invalid one refuses the read."""
-        if not Path(self.records_path).exists():
-            raise WindowError(f"{self.folder.name} has no records")
-        df = spark.read.schema(RECORD).parquet(self.records_path)
+        storage.private_folder(self.spark, self.folder)
+        records.select(*FIELDS).write.mode("errorifexists").parquet(self.at("records", self.batch))
+
+    def records(self) -> DataFrame:
+        """The records of all committed batches; a single invalid one refuses the read."""
+        batches = (self.manifest() or {}).get("batches", [])
+        if not batches:
+            raise WindowError(f"{self.name} has no records")
+        df = self.spark.read.schema(RECORD).parquet(*[self.at("records", b) for b in batches])
         if df.where(record_fault().isNotNull()).limit(1).count():
-            raise WindowError(f"{self.folder.name} holds an invalid record")
+            raise WindowError(f"{self.name} holds an invalid record")
         return df
 
-    def fingerprints(self, spark: SparkSession) -> DataFrame:
-        return self.records(spark).select(fingerprint(F.col("input_text")).alias("fingerprint"))
+    def fingerprints(self) -> DataFrame:
+        return self.records().select(fingerprint(F.col("input_text")).alias("fingerprint"))
 
     def append_errors(self, failures: DataFrame) -> None:
-        failures.write.mode("append").parquet(str(self.folder / "errors"))
+        failures.write.mode("errorifexists").parquet(self.at("errors", self.batch))
+
+    def errors(self) -> DataFrame:
+        return self.spark.read.parquet(*[self.at("errors", b) for b in (self.manifest() or {}).get("batches", [])])
 
     def write_artefact(self, name: str, df: DataFrame) -> None:
         """Derived results replace earlier ones."""
-        df.write.mode("overwrite").parquet(str(self.folder / name))
+        df.write.mode("overwrite").parquet(self.at(name))
+
+    def artefact(self, name: str, command: str) -> DataFrame:
+        if not storage.exists(self.spark, self.at(name)):
+            raise WindowError(f"{self.name} has no {name}; run {command} first")
+        return self.spark.read.parquet(self.at(name))
 
-    def artefact(self, spark: SparkSession, name: str, command: str) -> DataFrame:
-        path = self.folder / name
-        if not path.exists():
-            raise WindowError(f"{self.folder.name} has no {name}; run {command} first")
-        return spark.read.parquet(str(path))
+    def write_text(self, name: str, text: str) -> None:
+        storage.write_text(self.spark, self.at(name), text)
 
     def manifest(self) -> dict | None:
-        path = self.folder / "manifest.json"
-        if not path.exists():
+        if not storage.exists(self.spark, self.at("manifest.json")):
             return None
-        data = json.loads(path.read_text(encoding="utf-8"))
+        data = json.loads(storage.read_text(self.spark, self.at("manifest.json")))
         if data.get("schema_version") != SCHEMA_VERSION:
             raise WindowError(f"the manifest has schema version {data.get('schema_version')!r}")
-        if missing := {"sources", "counts", "errors_by_type", "redactions"} - set(data):
+        if missing := {"sources", "batches", "counts", "errors_by_type", "redactions"} - set(data):
             raise WindowError(f"the manifest lacks {', '.join(sorted(missing))}")
         return data
 
@@ -88,17 +102,18 @@ class Window:
                 raise WindowError(f"{path} was ingested already")
 
     def commit(self, source: dict, counts: dict[str, int], errors_by_type: dict[str, int], redactions: dict[str, int], dedupe: bool) -> dict:
-        """Adds a source to the manifest: counters add up, the sums are checked, the file is replaced at once."""
+        """Adds a source and its batch to the manifest, which makes them count: counters add up, the sums are checked, the file is replaced at once."""
         check_sums(counts)
-        old = self.manifest() or {"sources": [], "counts": dict.fromkeys(COUNTERS, 0), "errors_by_type": {}, "redactions": {}, "dedupe_enabled": True}
+        old = self.manifest() or {"sources": [], "batches": [], "counts": dict.fromkeys(COUNTERS, 0), "errors_by_type": {}, "redactions": {}, "dedupe_enabled": True}
         add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in sorted({*a, *b})}
         new = {
-            "schema_version": SCHEMA_VERSION, "window": self.folder.name, "sources": [*old["sources"], source],
+            "schema_version": SCHEMA_VERSION, "window": self.name, "sources": [*old["sources"], source], "batches": [*old["batches"], self.batch],
             "counts": add(old["counts"], {k: counts[k] for k in COUNTERS}), "errors_by_type": add(old["errors_by_type"], errors_by_type),
             "redactions": add(old["redactions"], redactions), "dedupe_enabled": bool(old["dedupe_enabled"] and dedupe),
         }
         check_sums(new["counts"])
-        replace_file(self.folder / "manifest.json", json.dumps(new, indent=2, sort_keys=True))
+        self.write_text("manifest.json", json.dumps(new, indent=2, sort_keys=True))
+        self.batch = f"batch-{uuid.uuid4().hex[:12]}"
         return new
 
 
@@ -115,4 +130,4 @@ def table_report(title: str, rows: list[dict]) -> str:
 
 def write_report(window: Window, name: str, title: str, df: DataFrame) -> None:
     """Renders a report of few rows (counts per signal, stratum, reason and the like)."""
-    replace_file(window.folder / f"{name}.md", table_report(title, [r.asDict() for r in df.collect()]))
+    window.write_text(f"{name}.md", table_report(title, [r.asDict() for r in df.collect()]))

@@ -50,9 +50,8 @@ def load_goldens(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, tags array<string>, input string, criteria array<string>, notes string")
 
 
-def list_windows(folder: str) -> list[str]:
-    """Names of the folders that hold records or a manifest."""
-    root = Path(folder)
-    if not root.is_dir():
-        return []
-    return sorted(p.name for p in root.iterdir() if p.is_dir() and ((p / "records").exists() or (p / "manifest.json").exists()))
+def list_windows(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders that hold a manifest, the sign of a committed window."""
+    from gleanstone.sinks import storage
+
+    return [n for n in storage.folders(spark, folder) if storage.exists(spark, f"{folder.rstrip('/')}/{n}/manifest.json")]

@@ -148,17 +148,40 @@ def test_failed_drafts_are_rows_and_stand_in_the_review(spark):
         label.label_candidates(rows, lambda task: 1 / 0)
 
 
+def test_only_committed_batches_are_read(spark, tmp_path):
+    from gleanstone.errors import WindowError
+    from gleanstone.sinks.window import COUNTERS, Window
+
+    row = ("r1", "2026-01-05T10:00:00Z", "a question", "an answer", None, None, 1, None, None, None, None, None, [])
+    from gleanstone.schema import RECORD
+
+    window = Window(spark, f"file://{tmp_path}/w")
+    window.append_records(spark.createDataFrame([row], RECORD))
+    with pytest.raises(WindowError):
+        window.records()  # written, but no manifest lists it
+    failures = spark.createDataFrame([(2, "line_parse", "x")], "line_no bigint, error_type string, detail string")
+    window.append_errors(failures)
+    counts = dict.fromkeys(COUNTERS, 0) | {"lines": 2, "unparsed": 1, "rows": 1, "written": 1}
+    window.commit({"path": "p", "sha256": "s"}, counts, {"line_parse": 1}, {}, True)
+    assert window.records().count() == 1 and window.errors().count() == 1
+    again = Window(spark, f"file://{tmp_path}/w")
+    again.append_records(spark.createDataFrame([("r2", *row[1:])], RECORD))
+    assert again.records().count() == 1  # a broken run leaves a batch that is never read
+    with pytest.raises(WindowError):
+        again.refuse_again("p", "s")
+    assert oct((tmp_path / "w/manifest.json").stat().st_mode)[-3:] == "600" and oct((tmp_path / "w").stat().st_mode)[-3:] == "700"
+
+
 def test_emit_tells_of_failed_drafts(spark, tmp_path):
     one = spark.createDataFrame([("a", ["t"], "q", ["x", "y"], "n")], "id string, tags array<string>, input string, criteria array<string>, notes string")
-    assert emit.emit(one, tmp_path / "c.yaml", 1) == 1 and emit.emit(one, tmp_path / "c.yaml") == 0 and emit.emit(one.limit(0), tmp_path / "c.yaml", 1) == 2
+    assert emit.emit(one, (tmp_path / "c.yaml").write_text, 1) == 1 and emit.emit(one, (tmp_path / "c.yaml").write_text) == 0 and emit.emit(one.limit(0), (tmp_path / "c.yaml").write_text, 1) == 2
 
 
 def test_yaml_and_promotion(tmp_path):
     rows = [{"id": "a", "tags": ["t"], "input": "two\nlines: yes\n  indented \n# hash", "criteria": ["Does not x", "y", "z"], "notes": "n"}, {"id": "b", "tags": [], "input": "é\t ", "criteria": ["Does not x"], "notes": ""}]
     text = emit.render_yaml(rows)
     assert [c["input"] for c in yaml.safe_load(text)] == [r["input"] for r in rows]
-    drafts, target = tmp_path / "d.yaml", tmp_path / "t.yaml"
-    drafts.write_text(text)
+    drafts, target = text, tmp_path / "t.yaml"
     target.write_text("# kept\n- id: old\n  input: x\n")
     assert emit.promote(drafts, target, ["b", "a"], "Kim") == 2
     assert target.read_text().startswith("# kept\n") and [c["id"] for c in yaml.safe_load(target.read_text())] == ["old", "b", "a"]
