@@ -70,8 +70,18 @@ def _latin_word(word: str) -> str:
     return word.translate(LOOKALIKES) if _OTHER.search(word) and _LATIN.search(word) else word
 
 
+def pieces(text: str) -> list[str]:
+    """Sentences and lines as they stand."""
+    return [p for p in _END.split(text) if p]
+
+
+def sentence(piece: str) -> str:
+    """A piece without disguises and speaker."""
+    return _LEAD.sub("", plain(piece), count=1)
+
+
 def sentences(text: str) -> list[str]:
-    return [s for raw in _END.split(plain(text)) if raw and (s := _LEAD.sub("", raw, count=1))]
+    return [s for p in pieces(text) if (s := sentence(p))]
 
 
 class Words:
@@ -111,22 +121,24 @@ class Scorer:
     def __init__(self, models: ClassModels, words: Words, threshold: float) -> None:
         self.models, self.words, self.threshold, self.known = models, words, threshold, {}
 
-    def sentence(self, text: str) -> float:
-        key = _NUMBER.sub("0", text)
-        found = self.known.get(key)
-        if found is None:
+    def piece(self, piece: str) -> float | None:
+        """The score of a sentence as it stands, whatever its numbers; null if nothing is left of it."""
+        key = _NUMBER.sub("0", piece)
+        if key not in self.known:
             if len(self.known) >= CACHE_SENTENCES:
                 self.known.clear()
-            words = self.words(text)
-            found = self.known[key] = self.models.score(words) if words and not _LABEL.match(text) else -1.0
-        return found
+            self.known[key] = self.sentence(text) if (text := sentence(piece)) else None
+        return self.known[key]
+
+    def sentence(self, text: str) -> float:
+        words = self.words(text)
+        return self.models.score(words) if words and not _LABEL.match(text) else -1.0
 
     def document(self, text: str | None) -> float | None:
         """The worst sentence's score; null for texts without words."""
         if not text:
             return None
-        scores = [self.sentence(s) for s in sentences(text)]
-        return max(scores, default=None)
+        return max((s for p in pieces(text) if (s := self.piece(p)) is not None), default=None)
 
 
 def _pairs(words: tuple[str, ...]) -> list[tuple[str, str]]:
