@@ -84,12 +84,14 @@ NAMES = {
 }
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CODED = re.compile(r"\S*[\d@/]\S*")
+_CODED = re.compile(r"[^\s\d@/]*[\d@/]\S*")
 _LETTER = re.compile(r"[^\W\d_]")
 _ALL = {c: frozenset(ws.split()) for c, ws in WORDS.items()}
 #: Words of one language only count whole, those of several a part.
 _OWN = {c: ws - frozenset().union(*[o for d, o in _ALL.items() if d != c]) for c, ws in _ALL.items()}
-_PARTED = {c: _ALL[c] - _OWN[c] for c in CODES}
+_WEIGHT: dict[str, tuple[tuple[int, float], ...]] = {}
+for _w in frozenset().union(*_ALL.values()):
+    _WEIGHT[_w] = tuple((k, 1.0 if _w in _OWN[c] else 0.35) for k, c in enumerate(CODES) if _w in _ALL[c])
 _NAMED = {n: c for c, ns in NAMES.items() for n in ns.split()}
 _ASK = re.compile(
     r"(?:answer|reply|respond|write|translat\w+|antwort\w*|schreib\w*|übersetz\w*|répon\w*|écri\w*|tradui\w*|respond\w*|contest\w*|escrib\w*|traduz\w*|traduc\w*|escrev\w*|rispond\w*|antwoord\w*|svara|odpowiedz|ответ\w*|напиш\w*)"
@@ -156,13 +158,14 @@ def by_ngrams(text: str) -> tuple[str | None, float]:
 def evidence(text: str) -> tuple[float, ...]:
     """How much the function words speak for each of ``CODES``; numbers, codes and addresses say nothing."""
     lower = _CODED.sub(" ", text.lower())
-    found = _TOKEN.findall(lower)
-    tokens = set(found)
-    for token in found:
-        if "'" in token or "’" in token:
-            token = token.replace("’", "'")
-            tokens |= {token, token.split("'", 1)[1]}
-    total = [len(tokens & _OWN[c]) + 0.35 * len(tokens & _PARTED[c]) for c in CODES]
+    tokens = set(_TOKEN.findall(lower))
+    if "'" in lower or "’" in lower:
+        apart = [t.replace("’", "'") for t in tokens if "'" in t or "’" in t]
+        tokens.update(apart, [t.split("'", 1)[1] for t in apart])
+    total = [0.0] * len(CODES)
+    for token in tokens:
+        for k, weight in _WEIGHT.get(token, ()):
+            total[k] += weight
     if not lower.isascii():
         for code, letters in LETTERS.items():
             total[CODES.index(code)] += 1.5 * sum(x in lower for x in letters)
@@ -179,14 +182,22 @@ def decide(total: tuple[float, ...], least: float = 1.5, lead: float = 1.0) -> s
 def language(text: str, least: float = 1.5, lead: float = 1.0) -> str | None:
     """The language of a text, None if nothing tells it clearly.
 
-    A script decides at once. Function words of the five languages and n-grams must not contradict each
+    A script decides at once, and so do many function words of one language between blanks. Function words of the five languages and n-grams must not contradict each
     other: n-grams of another language win only over a weak lead of the words.
     """
     if (script := script_of(text)) is not None:
         return script
+    enough = 3 * max(least, 1.0)
+    total = [0.0] * len(CODES)
+    for token in set(text.lower().split()):
+        for k, weight in _WEIGHT.get(token, ()):
+            total[k] += weight
+    top = max(total)
+    if top >= enough and sum(x > top - 2.5 for x in total) == 1:
+        return CODES[total.index(top)]
     total = evidence(text)
     words = decide(total, least, lead)
-    if words is not None and sorted(total)[-1] >= 3 * max(least, 1.0):
+    if words is not None and max(total) >= enough:
         return words
     grams = by_ngrams(text)[0] if len(_TOKEN.findall(text)) >= LEAST_WORDS else None
     if grams is None or grams == words:

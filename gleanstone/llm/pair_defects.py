@@ -283,13 +283,16 @@ def _strings(value) -> Iterator[str]:
 
 def judge(clauses: list[Clause], tags: np.ndarray, question: str | None, response: str) -> tuple[str | None, dict[str, float]]:
     """The pair's defect from the shares of letters under each tag. Who only gives the question back holds at least half of it."""
-    sizes = np.array([c.length for c in clauses], dtype=float)
-    share = {name: float(sizes[tags == i].sum() / max(sizes.sum(), 1.0)) for i, name in enumerate(LABELS)}
+    tags, sums = tags.tolist(), [0] * len(LABELS)
+    for clause, tag in zip(clauses, tags):
+        sums[tag] += clause.length
+    whole = max(sum(sums), 1)
+    share = {name: n / whole for name, n in zip(LABELS, sums)}
     if share["echo"] + (share["unfinished"] if share["echo"] > 0.5 else 0.0) >= 0.8:
         asked = grams(question or "")
         if len(asked & grams(response)) >= HELD_BACK * len(asked):
             return "echo", share
-    if len(tags) and tags[-1] == LABELS.index("unfinished"):
+    if tags and tags[-1] == LABELS.index("unfinished"):
         return "truncated", share
     if share["refusal"] >= 0.5:
         return "refusal", share
