@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanstone.operators import rejects, timestamps
+from gleanstone.plans.problems_sql import ORACLES  # noqa: F401
 from gleanstone.session import table
 
 
@@ -27,4 +28,3 @@ def p7_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_accounts": p7_accounts}
-ORACLES: dict[str, str] = {}
