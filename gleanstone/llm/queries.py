@@ -115,8 +115,17 @@ _SHORT = """
         SELECT window_id, lower(trim(stratum)) AS name, count(DISTINCT record_id) AS n FROM candidates WHERE stratum IS NOT NULL GROUP BY ALL
     ) c ON c.window_id = s.window_id AND c.name = lower(trim(s.stratum)) WHERE s.quota > coalesce(c.n, 0)
 """
+_REPORT = """
+    WITH c AS (SELECT window_id, lower(trim(stratum)) AS name, count(DISTINCT record_id) AS available FROM candidates WHERE stratum IS NOT NULL GROUP BY ALL),
+         s AS (SELECT window_id, lower(trim(stratum)) AS name, max(stratum) AS stratum, max(target_share) AS target_share, max(min_rows) AS min_rows, max(quota) AS quota FROM strata GROUP BY ALL),
+         w AS (SELECT s.*, greatest(quota, coalesce(min_rows, 0), 0) AS wanted, coalesce(available, 0) AS available FROM s LEFT JOIN c USING (window_id, name)),
+         t AS (SELECT *, least(wanted, available) AS selected FROM w)
+    SELECT window_id, stratum, target_share, min_rows, quota, wanted, available, selected, selected - least(greatest(quota, 0), available) AS repaired,
+        coalesce(round(selected / nullif(sum(selected) OVER (PARTITION BY window_id), 0), 6), 0) AS reached_share, wanted - selected AS gap, selected >= coalesce(min_rows, 0) AS floor_met FROM t
+"""
 ORACLES = {
     "p4_found": _SHORT,
+    "p4_report": _REPORT,
     "p2_found": _TOP + "SELECT cluster_id, record_id FROM r WHERE place <= 3",
     "p2_ranked": _TOP + "SELECT cluster_id, record_id, score, place FROM r WHERE place <= 3",
 }
