@@ -72,6 +72,27 @@ def test_clusters_against_all_pairs(spark):
     assert sum(r["size"] for r in heads) == len(docs) and sorted(r["cluster_id"] for r in heads)[0] == "c-0001"
 
 
+def test_precision_and_recall_on_planted_families(spark):
+    """Ten families of five paraphrases and twenty singles, against all 2,415 pairs; shingles of three words, threshold 0.5."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfglmprst" for b in "aeiou" for c in ("nd", "st", "ll", "rk")]
+    rows = []
+    for f in range(10):
+        base = [rng.choice(words) for _ in range(60)]
+        for k in range(5):
+            text = list(base)
+            for _ in range(k):
+                text[rng.randrange(60)] = rng.choice(words)
+            rows.append((f"f{f}-{k}", " ".join(text)))
+    rows += [(f"s{i:02d}", " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    sets = {k: grams(t, 3) for k, t in rows}
+    want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.5}
+    links, _ = similarity.near_duplicate_links(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text", size=3, permutations=64, number=16, seed=1729, threshold=0.5)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    print(f"precision {len(got & want) / len(got):.3f}, recall {len(got & want) / len(want):.3f} of {len(want)} pairs")
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_blocks_lose_no_pair(spark):
     rows = [(0, 7, f"k{i:02d}") for i in range(40)] + [(1, 7, "k01"), (1, 7, "k02"), (1, 8, "x")]
     df = spark.createDataFrame(rows, "band int, bucket bigint, key string")
