@@ -12,10 +12,10 @@ from gleanstone.operators.components import connected_components
 from gleanstone.session import materialize, numbered
 
 
-def memberships(records: DataFrame, settings: Cluster | None = None, key: str = "record_id", text: str = "input_text") -> tuple[DataFrame, DataFrame]:
+def memberships(records: DataFrame, settings: Cluster | None = None, key: str = "record_id", text: str = "input_text", exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """((key, component), links): every record with its component, wordless ones on their own."""
     s = settings or Cluster()
-    links, members = similarity.near_duplicate_links(records, key, text, s.shingle_words, s.permutations, s.bands, s.seed, s.jaccard_threshold)
+    links, members = similarity.near_duplicate_links(records, key, text, s.shingle_words, s.permutations, s.bands, s.seed, s.jaccard_threshold, exact)
     links = materialize(links)
     roots = connected_components(links)
     joined = members.join(roots, members["representative"] == roots["node"], "left")
@@ -45,8 +45,8 @@ def cluster_records(records: DataFrame, scores: DataFrame | None = None, setting
     return out.select("cluster_id", "representative_id", "size", "min_link_jaccard", "component")
 
 
-def classes(docs: DataFrame, settings: Cluster | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its class and its number of links to representatives of other texts."""
-    grouped, links = memberships(docs, settings, key, text)
+def classes(docs: DataFrame, settings: Cluster | None = None, key: str = "doc_id", text: str = "text", exact: bool = True) -> DataFrame:
+    """One row per document: its class and its number of links to representatives of other texts; no link is lost unless ``exact`` is given up."""
+    grouped, links = memberships(docs, settings, key, text, exact)
     degree = links.select(F.col("a").alias(key)).union(links.select("b")).groupBy(key).agg(F.count("*").alias("links"))
     return grouped.join(degree, key, "left").select(key, F.col("component").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -63,7 +63,8 @@ def test_clusters_against_all_pairs(spark):
 
     for x, y in sorted(links):
         parent[max(root(x), root(y))] = min(root(x), root(y))
-    got = {r["doc_id"]: r["class_id"] for r in cluster.classes(df, s).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in cluster.classes(df, s, exact=False).collect()}
+    assert {r["doc_id"]: r["class_id"] for r in cluster.classes(df, s).collect()} == {k: root(k) for k in parent}
     assert set(got) == {k for k, _ in docs}
     together = {(x, y) for x in got for y in got if x < y and got[x] == got[y]}
     want = {(x, y) for x in parent for y in parent if x < y and root(x) == root(y)}
@@ -87,10 +88,12 @@ def test_precision_and_recall_on_planted_families(spark):
     rows += [(f"s{i:02d}", " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
     sets = {k: grams(t, 3) for k, t in rows}
     want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.5}
-    links, _ = similarity.near_duplicate_links(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text", size=3, permutations=64, number=16, seed=1729, threshold=0.5)
-    got = {(r["a"], r["b"]) for r in links.collect()}
-    print(f"precision {len(got & want) / len(got):.3f}, recall {len(got & want) / len(want):.3f} of {len(want)} pairs")
-    assert got <= want and len(got) >= 0.95 * len(want)
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for exact, least in ((False, 0.9), (True, 1.0)):
+        links, _ = similarity.near_duplicate_links(df, "doc_id", "text", size=3, permutations=64, number=16, seed=1729, threshold=0.5, exact=exact)
+        got = {(r["a"], r["b"]) for r in links.collect()}
+        print(f"exact {exact}: precision {len(got & want) / len(got):.3f}, recall {len(got & want) / len(want):.3f} of {len(want)} pairs")
+        assert got <= want and len(got) >= least * len(want)
 
 
 def test_blocks_lose_no_pair(spark):
