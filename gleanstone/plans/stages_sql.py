@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gleanstone.config import NAME_ALLOWLIST, POSITIVE_WORDS, QUOTAS, SIGNAL_WEIGHTS, Select
+from gleanstone.config import NAME_ALLOWLIST, POSITIVE_WORDS, SIGNAL_WEIGHTS, Select
 from gleanstone.functions import pii
 from gleanstone.operators.emit import PREFIX
 from gleanstone.operators.label import PLACEHOLDER_MARK
-from gleanstone.plans.reference_sql import MINHASH, _BLANK, _CONTEXT, _DISAGREE, _DOCS, _FIRES, _FP, _NORM_OF, _QUOTA, _R, _RANKED, _SETS, _WILSON, _WS, ORACLES as PLAIN, _q, _words
+from gleanstone.plans.reference_sql import MINHASH, _BLANK, _CONTEXT, _DISAGREE, _FIRES, _FP, _NORM_OF, _QUOTA, _R, _RANKED, _SETS, _WILSON, _WS, ORACLES as PLAIN, _q, _words
 
 _ABSENT = lambda c: f"({c} IS NULL OR {_BLANK(c)})"
 _TRIM = lambda c: f"trim({c}, ' ')"
