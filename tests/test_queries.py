@@ -30,9 +30,10 @@ def duck():
 
 
 def compare(spark, duck, modules):
+    queries = {name: query for module in modules for name, query in module.QUERIES.items()}
     for module in modules:
         for name, sql in module.ORACLES.items():
-            df = module.QUERIES[name](spark, DATA)
+            df = queries[name](spark, DATA)
             names = sorted(df.columns)
             got = Counter(tuple(repr(plain(r[n])) for n in names) for r in df.collect())
             result = duck.execute(sql)
