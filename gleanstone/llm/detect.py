@@ -194,18 +194,19 @@ _SIGNS = dict.fromkeys([*NAMED_AFTER, *_LABELS, *[k + end for k in _KIND_BEFORE_
 _SIGNS |= dict.fromkeys(_TITLE_WORDS, "(?![a-z0-9_])") | dict.fromkeys(GIVEN, rf"(?:-[^{_BLANKS}]+)?{_SP}")
 _SIGNS |= dict.fromkeys(("from the ", "from our ", "from your "), rf"(?:[^{_BLANKS}]+{_SP}+){{0,2}}(?:desk|team|office|department|branch|company|shop)")
 _SIGNS |= dict.fromkeys(("flat", "apartment", "apt", "apt.", "unit", "suite"), rf"{_SP}+[\p{{L}}\p{{N}}_]{{1,4}}\d{{1,5}}[a-z]?{_SP}")
-SUSPECT_WORDS = (
-    rf"(?<![a-z0-9])(?:(?<!_){sign_trie(_SIGNS, _SP + '+')}"
-    rf"|(?=[a-z]{{2}}{_SP}?\d)(?:[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|(?<!_)[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
-)
-#: On texts as they are: two capitalised words behind a small letter, a comma or a colon.
-SUSPECT_CAPITALS = rf"(?<=[\p{{Ll}},:]){_SP}++\p{{Lu}}[\p{{L}}'’-]*+{_SP}++(?:\p{{Lu}}\.{_SP}++)?(?:{_JOINED.replace(chr(92) + 's', _SP)})?\p{{Lu}}"
-SUSPECT_NUMBERS = (
-    rf"(?=[+(xyz\d])(?<![a-z0-9_])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
+_NUMBER_SIGNS = (
+    rf"(?=[+(xyz\d])(?:\+\d|\(\d{{2,5}}\)|[xyz]-?\d{{7}}-?[a-z](?![a-z0-9_])|(?=\d)(?:(?<![/#.+-])(?:00[1-9][\d{_BLANKS}./(){_LINE}]|0\d{{1,4}}[{_BLANKS}./{_LINE}])"
     rf"|(?<![.-])\d{{3}}[{_BLANKS}.{_LINE}]+\d{{2,3}}[{_BLANKS}.{_LINE}]+\d{{4}}(?!\d)|(?<![+#])\d(?:[{_BLANKS}._{_LINE}]{{0,2}}\d){{12,18}}(?![a-z0-9_])"
     rf"|\d{{8}}-?[a-z](?![a-z0-9_])|(?<=(?:{_KIND_JOINED})\.?{_SP}{{1,3}})\d|(?<={_SP}{{4}})\d"
     rf"|\d{{1,5}}(?:{_SP}?[a-z])?{_SP}+(?:(?:(?:bis|ter){_SP}+)?(?:{_KIND_BEFORE_FR})(?![a-z0-9_])|(?:[^\s\d][^{_BLANKS}]*{_SP}+){{1,3}}(?:{_KIND_AFTER})(?![a-z0-9_]))))"
 )
+#: All signs that begin where a word or a number does, in one pass.
+SUSPECT_SIGNS = (
+    rf"(?<![a-z0-9])(?:(?<!_)(?:{sign_trie(_SIGNS, _SP + '+')}|{_NUMBER_SIGNS})"
+    rf"|(?=[a-z]{{2}}{_SP}?\d)(?:[a-z]{{2}}\d{{2}}(?:[a-z0-9]{{11}}|{_SP}{{1,2}}[a-z0-9]{{4}}{_SP})|(?<!_)[a-z]{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?\d{{2}}{_SP}?[a-d](?![a-z0-9])))"
+)
+#: On texts as they are: two capitalised words behind a small letter, a comma or a colon.
+SUSPECT_CAPITALS = rf"(?![!-~]){_SP}(?<=[\p{{Ll}},:]{_SP}){_SP}*+\p{{Lu}}[\p{{L}}'’-]*+{_SP}++(?:\p{{Lu}}\.{_SP}++)?(?:{_JOINED.replace(chr(92) + 's', _SP)})?\p{{Lu}}"
 
 
 def luhn(digits: str) -> bool:

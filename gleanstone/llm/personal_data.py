@@ -39,7 +39,7 @@ def _suspect(text: Column, lower: Column) -> Column:
     holds = lambda sign: F.contains(lower, F.lit(sign))
     spelled = (holds(")") | holds("]")) & lower.rlike(detect.SUSPECT_AT)
     foreign = (F.octet_length(lower) > F.length(lower)) & lower.rlike(detect.SUSPECT_FORMS)
-    return holds("@") | spelled | foreign | text.rlike(detect.SUSPECT_CAPITALS) | lower.rlike(detect.SUSPECT_NUMBERS) | lower.rlike(detect.SUSPECT_WORDS)
+    return holds("@") | spelled | foreign | lower.rlike(detect.SUSPECT_SIGNS) | text.rlike(detect.SUSPECT_CAPITALS)
 
 
 def suspects(records: DataFrame, record_id: str = "record_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
