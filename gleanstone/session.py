@@ -87,13 +87,13 @@ def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None
     """
     within = within or []
     ranged = df.repartitionByRange(*[F.col(c) for c in within], *order)
-    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy(*within, "_range").agg(F.count("*").alias("_size"))  # a row per range and group that it touches
-    before = Window.partitionBy(*within or [F.lit(1)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*within, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    local = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*order))
-    placed = attach(ranged.withColumn("_local", local), starts, [*within, "_range"])
-    return placed.withColumn(output, F.col("_start") + F.col("_local")).drop("_range", "_start", "_local")
+    ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*within, "__range").agg(F.count("*").alias("__size"))  # a row per range and group that it touches
+    before = Window.partitionBy(*within or [F.lit(1)]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*within, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    local = F.row_number().over(Window.partitionBy(*within, "__range").orderBy(*order))
+    placed = attach(ranged.withColumn("__local", local), starts, [*within, "__range"])
+    return placed.withColumn(output, F.col("__start") + F.col("__local")).drop("__range", "__start", "__local")
 
 
 def running(df: DataFrame, within: list[str], order: str, value: str, output: str) -> DataFrame:
@@ -101,13 +101,13 @@ def running(df: DataFrame, within: list[str], order: str, value: str, output: st
 
     Ranges sum by themselves and start from the sums of the ranges before, so no task takes a whole group.
     """
-    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in within], F.col(order)).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy(*within, "_range").agg(F.sum(value).alias("_sum"))  # a row per range and group that it touches
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*within, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    local = F.sum(value).over(Window.partitionBy(*within, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = attach(ranged.withColumn("_local", local), starts, [*within, "_range"])
-    return placed.withColumn(output, F.col("_start") + F.col("_local")).drop("_range", "_start", "_local")
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in within], F.col(order)).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy(*within, "__range").agg(F.sum(value).alias("__sum"))  # a row per range and group that it touches
+    before = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*within, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    local = F.sum(value).over(Window.partitionBy(*within, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = attach(ranged.withColumn("__local", local), starts, [*within, "__range"])
+    return placed.withColumn(output, F.col("__start") + F.col("__local")).drop("__range", "__start", "__local")
 
 
 def ship_package(spark: SparkSession) -> None:

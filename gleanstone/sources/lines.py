@@ -17,6 +17,7 @@ from gleanstone.errors import SourceError
 from gleanstone.functions.extract import is_one_json, with_last_names
 from gleanstone.functions.text import SPACE, first_of
 from gleanstone.operators.rejects import WELL_QUOTED, _csv_cells
+from gleanstone.session import running
 
 READ_LINE = "line_no bigint, payload variant, is_blank boolean, error_type string, detail string"
 
@@ -76,13 +77,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     names = csv_header(spark, path)
     lines = numbered_text(spark, path)
     quotes = F.length(F.regexp_replace("value", '[^"]', ""))
-    # A running count of quotes tells which lines belong to one record; the running sums are over one file's lines.
-    lines = lines.withColumn("_quotes", quotes)
-    before = F.coalesce(F.sum("_quotes").over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (before % 2 == 0).cast("int")
-    lines = lines.withColumn("_start", starts)
-    record = F.sum("_start").over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    grouped = lines.withColumn("_record", record).groupBy("_record").agg(F.max("line_no").alias("last"), F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("parts"))
+    # A running count of quotes tells which lines belong to one record; running sums go over the file range by range.
+    lines = running(lines.withColumn("_quotes", quotes), [], "line_no", "_quotes", "_upto")
+    starts = ((F.col("_upto") - F.col("_quotes")) % 2 == 0).cast("int")
+    lines = running(lines.select("line_no", "value", starts.alias("_start")), [], "line_no", "_start", "_record")
+    grouped = lines.groupBy("_record").agg(F.max("line_no").alias("last"), F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
     rows = grouped.select((F.col("last") - 1).alias("line_no"), text.alias("_text")).where("line_no > 0 or _text is null").where(F.col("line_no") > 0)
     rows = rows.withColumn("_cells", F.when(F.col("_text").rlike(WELL_QUOTED), _csv_cells(F.col("_text"))))
