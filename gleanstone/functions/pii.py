@@ -91,9 +91,14 @@ def resolve(spans: Column, protected: Column) -> Column:
     return F.array_sort(taken)
 
 
+#: What every format needs: a digit, the sign of a mail address or an honorific.
+SIGN = rf"[@\p{{Nd}}]|(?i)(?<![\p{{L}}\p{{N}}_])(?:{HONORIFICS})(?![\p{{L}}\p{{N}}_])"
+
+
 def find_spans(text: Column, allowlist: tuple[str, ...] = NAME_ALLOWLIST, classes: tuple[str, ...] = CLASSES) -> Column:
     """Spans of personal data in one text; null for null."""
-    return F.when(text.isNotNull(), resolve(candidates(text, allowlist, classes), matches(text, TOKEN, "TOKEN")))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(SIGN), resolve(candidates(text, allowlist, classes), matches(text, TOKEN, "TOKEN"))).when(text.isNotNull(), none)
 
 
 def canonical(pii_class: Column, value: Column) -> Column:
