@@ -269,6 +269,26 @@ def shortlist_cases(spark, d):  # noqa: ANN001, ANN201
     return out.select("rank", "id", F.array_join("tags", ",").alias("tags"), F.size("criteria").alias("criteria"), "notes", F.length("input").alias("input_chars"))
 
 
+def label_rows(spark, d):  # noqa: ANN001, ANN201
+    """One row per shortlisted record: what chose it, and the draft of a dry run."""
+    rows = _ranked(spark, d)
+    chosen = select.greedy_select(rows)
+    texts = _records(spark, d).select("record_id", "input_text", "output_text", "judge_verdicts")
+    listed = materialize(chosen.where("rank is not null").join(rows, "record_id").join(texts, "record_id").withColumn("reasons", F.array("stratum")))
+    out = label.label_candidates(listed)
+    return out.select("record_id", "stratum", "score", F.array_join("signals", ",").alias("signals"), F.size("criteria").alias("criteria"), "notes", "draft_error", "model_id", "dry_run", F.length("prompt_sha256").alias("digest"))
+
+
+def run_verdicts(spark, d):  # noqa: ANN001, ANN201
+    """What a run concludes: the exit code of the selection, the JSON expectation of the sources, the model of the labels, the complete tables."""
+    rows = _ranked(spark, d)
+    code = select.exit_code(materialize(select.greedy_select(rows)))
+    expectation = signals.json_expectation(table(spark, d, "field_mappings"), "naive_is_utc")
+    context = signals.window_context(_records(spark, d)).first().asDict()
+    reasons = sorted(n for n, _, _ in signals.not_evaluated(context, True, expectation, False))
+    return spark.createDataFrame([(code, expectation, ",".join(reasons), sum(b for _, _, b in signals.not_evaluated(context, True, expectation, False)))], "exit_code bigint, expectation string, not_evaluated string, blocking bigint")
+
+
 def spread_by_rating(spark, d):  # noqa: ANN001, ANN201
     """Requests, failures and rated rows of each window, with the medians of their latency."""
     r = _records(spark, d)
@@ -283,5 +303,5 @@ QUERIES = {
     "q_sidecar_records": sidecar_records, "q_chat_records": chat_records, "q_new_inputs": new_inputs, "q_pii_flags": pii_flags, "q_email_redacted": email_redacted, "q_email_report": email_report,
     "q_leaked_emails": leaked_classes, "q_minhash": minhash, "q_minhash_estimates": minhash_estimates, "q_band_pairs": band_pairs, "q_near_duplicate_pairs": near_duplicate_pairs,
     "q_scored_with_goldens": scored_with_goldens, "q_cluster_coverage": cluster_coverage, "q_coverage_gaps": coverage_gaps, "q_signal_coverage": signal_coverage, "q_covered_by_signal": covered_by_signal,
-    "q_novel_documents": novel_clusters, "q_drops": drops, "q_shortlist_cases": shortlist_cases, "q_window_rates": spread_by_rating,
+    "q_novel_documents": novel_clusters, "q_drops": drops, "q_shortlist_cases": shortlist_cases, "q_label_rows": label_rows, "q_run_verdicts": run_verdicts, "q_window_rates": spread_by_rating,
 }

@@ -140,6 +140,11 @@ ORACLES = {
     "q_drops": _GREEDY + " SELECT reason, count(*) AS records FROM ch WHERE reason IS NOT NULL GROUP BY reason",
     "q_shortlist_cases": _GREEDY + f""", rr AS (SELECT DISTINCT ON (record_id) record_id, input_text FROM records) SELECT CAST(tk.rank AS INTEGER) AS rank, '{PREFIX}_win_' || {_SLUG('tk.record_id')} AS id, '{PREFIX},' || tk.stratum AS tags, CAST(4 AS INTEGER) AS criteria,
         'Placeholder criteria of a dry run; no model read this record.' || chr(10) || 'Mined and NOT REVIEWED: window win, record ' || tk.record_id || ', stratum ' || tk.stratum || ', score ' || tk.score || '.' || chr(10) || 'Signals: ' || tk.stratum || '.' || chr(10) || 'Criteria drafted by dry run and not yet read by a human.' || chr(10) || {_q("Drafter's note: " + _NOTE)} AS notes, CAST(length(input_text) AS INTEGER) AS input_chars FROM tk JOIN rr USING (record_id)""",
+    "q_label_rows": _GREEDY + f" SELECT tk.record_id, tk.stratum, CAST(tk.score AS INTEGER) AS score, tk.stratum AS signals, CAST(4 AS INTEGER) AS criteria, {_q(_NOTE)} AS notes, CAST(NULL AS VARCHAR) AS draft_error, 'dry run' AS model_id, true AS dry_run, CAST(64 AS INTEGER) AS digest FROM tk JOIN (SELECT DISTINCT record_id FROM records) USING (record_id)",
+    "q_run_verdicts": _GREEDY + """, e AS (SELECT CASE WHEN bool_and(naive_is_utc) THEN 'all' WHEN bool_or(naive_is_utc) THEN 'mixed' ELSE 'none' END AS expectation FROM field_mappings), x AS (SELECT CASE WHEN count(rank) = 0 THEN 2 WHEN count(*) FILTER (WHERE reason = 'max_candidates') > 0 THEN 1 ELSE 0 END AS code FROM ch),
+        rc AS (SELECT DISTINCT ON (record_id) * FROM records), n AS (SELECT count(latency_ms) AS l, count(input_text) AS i FROM rc),
+        y AS (SELECT unnest([CASE WHEN l < 12 THEN 'latency_outlier' END, CASE WHEN i < 12 THEN 'length_outlier' END, 'version_disagreement', 'novelty', CASE WHEN expectation <> 'all' THEN 'format_violation' END]) AS name FROM n, e)
+        SELECT CAST((SELECT code FROM x) AS BIGINT) AS exit_code, expectation, (SELECT string_agg(name, ',' ORDER BY name) FROM y WHERE name IS NOT NULL) AS not_evaluated, CAST(1 + (expectation = 'mixed')::INTEGER AS BIGINT) AS blocking FROM e""",
     "q_dry_run_cases": _GREEDY + f" SELECT CAST(tk.rank AS INTEGER) AS rank, '{PREFIX}_win_' || {_SLUG('tk.record_id')} AS id, CAST(4 AS INTEGER) AS criteria, '{PREFIX},' || tk.stratum AS tags FROM tk JOIN (SELECT DISTINCT record_id FROM records) USING (record_id)",
     "q_window_rates": f"WITH {_R} SELECT window_id, count(*) AS requests, count(error) AS failures, count(*) FILTER (WHERE lower(trim(feedback)) IN ({_words(POSITIVE_WORDS)})) AS liked, CAST(median(latency_ms) AS DOUBLE) AS median, count(latency_ms) AS timed FROM r GROUP BY window_id HAVING count(latency_ms) > 0",
 }
