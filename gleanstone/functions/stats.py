@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from math import comb, sqrt
+from math import fsum, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.959964
+#: Share of the most likely term below which terms of an exact test vanish in a double.
+LEAST = 1e-300
 
 
 def wilson(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
@@ -29,13 +31,25 @@ def wilson_bounds(hits: int, n: int, z: float = Z) -> tuple[float, float] | None
 
 
 def fisher_lower(a: int, b: int, c: int, d: int) -> float | None:
-    """One-sided exact p of a or fewer hits in the first row of the table ((a, b), (c, d)); None for an empty group."""
+    """One-sided exact p of a or fewer hits in the first row of the table ((a, b), (c, d)); None for an empty group.
+
+    Terms follow from their neighbours, from the most likely one outwards until they vanish, and are divided by their sum:
+    a few dozen standard deviations, however large the table, and no binomial of its size.
+    """
     first, second, hits = a + b, c + d, a + c
     if not first or not second:
         return None
-    total = comb(first + second, hits)
-    low = max(0, hits - second)
-    return sum(comb(first, k) * comb(second, hits - k) for k in range(low, a + 1)) / total
+    low, high = max(0, hits - second), min(first, hits)
+    mode = min(high, max(low, (first + 1) * (hits + 1) // (first + second + 2)))
+    terms, k, term = {mode: 1.0}, mode, 1.0
+    while k < high and term > LEAST:
+        term *= (first - k) / (k + 1) * ((hits - k) / (second - hits + k + 1))
+        terms[k := k + 1] = term
+    k, term = mode, 1.0
+    while k > low and term > LEAST:
+        term *= k / (first - k + 1) * ((second - hits + k) / (hits - k + 1))
+        terms[k := k - 1] = term
+    return min(1.0, fsum(x for k, x in terms.items() if k <= a) / fsum(terms.values()))
 
 
 def ks_distance(values: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:

@@ -82,6 +82,21 @@ def test_greedy_selection(spark, most, cap, seed):
     assert select.exit_code(select.greedy_select(df.limit(0), Select())) == 2
 
 
+def test_exact_p_of_large_tables():
+    from math import comb
+    from time import process_time
+
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b, c, d = (rng.randrange(rng.choice((3, 40, 200))) for _ in range(4))
+        if a + b and c + d:
+            want = sum(comb(a + b, k) * comb(c + d, a + c - k) for k in range(max(0, a - d), a + 1)) / comb(a + b + c + d, a + c)
+            assert abs(stats.fisher_lower(a, b, c, d) - want) <= 1e-12 * want
+    began = process_time()
+    assert abs(stats.fisher_lower(3_000_000, 40_000_000, 30_000_000, 400_000_000) - 0.5) < 1e-3 and stats.fisher_lower(0, 10**6, 10**6, 0) == 0
+    assert process_time() - began < 10
+
+
 def test_statistics(spark):
     for hits, n, low, high in ((4, 120, 0.0130, 0.0826), (16, 120, 0.0838, 0.2056), (6, 82, 0.0340, 0.1506)):
         a, b = stats.wilson_bounds(hits, n)
