@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of its values up to which it may be broadcast; rows alone say nothing of long texts.
+BROADCAST_BYTES = 32_000_000
+#: Rows of one key that a join leaves to one task in any case.
+HOT_ROWS = 10_000
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,17 +69,32 @@ def where_computed(df: DataFrame, condition) -> DataFrame:
     return df.withColumn("_fence", F.spark_partition_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Join a side that is unique by ``keys``: broadcast while its counted size allows, salted beyond.
+def _small_enough(small: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``small`` has at most so many rows and bytes, counted over no more than one row too many."""
+    width = [F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if "<" in kind or kind == "variant" else F.lit(8) for c, kind in small.dtypes]
+    held = small.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(sum((F.coalesce(w, F.lit(0)) for w in width), F.lit(0)).cast("bigint")).alias("bytes")).first()
+    return held["rows"] <= max_rows and (held["bytes"] or 0) <= max_bytes
 
-    One key may hold a third of the big side's rows; salting spreads it over ``salts`` tasks. The salt
-    is a digest of the row, so that a task that runs again sends its rows where they went before.
+
+def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = 16, hot_rows: int = HOT_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a side that is unique by ``keys``: broadcast while its counted rows and bytes allow, shuffled beyond.
+
+    One key may hold a third of the big side's rows. Keys with more than a task's fair share, null among them, are counted
+    first; their rows are salted over ``salts`` tasks and only their rows of the small side are copied, all others go once. The
+    salt is a digest of the row, so that a task that runs again sends its rows where they went before.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if _small_enough(small, max_rows, max_bytes):
         return big.join(F.broadcast(small), keys, how)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    per = big.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count("*").alias("n"))
+    held = per.agg(F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") > hot_rows, F.struct("h", "n"))).alias("large")).first()
+    share = fair_share(held["rows"] or 0, big.sparkSession, hot_rows)
+    hot = [x["h"] for x in held["large"] if x["n"] > share]
+    if not hot:
+        return big.join(small, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))))
     plain = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    salted = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

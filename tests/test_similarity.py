@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleanstone.config import Cluster
 from gleanstone.operators import cluster, similarity
 from gleanstone.operators.components import connected_components
-from gleanstone.session import numbered
+from gleanstone.session import attach, numbered
 
 
 @settings(max_examples=200, deadline=None)
@@ -160,3 +160,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: root(k) for k in list(parent)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_attached_sides_are_copied_for_hot_keys_only(spark):
+    big = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    small = spark.range(2_900).select(F.when(F.col("id") == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), F.repeat(F.lit("x"), 100).alias("text"))
+    want = {(r["id"], r["key"], "x" * 100 if r["key"] and (r["key"] == "hot" or 0 < r["id"] < 2_900) else None) for r in big.collect()}
+    for limits in ({}, {"max_bytes": 200_000}, {"max_rows": 100, "hot_rows": 50}, {"max_rows": 100, "hot_rows": 5_000}):
+        out = attach(big, small, ["key"], **limits)
+        assert {(r["id"], r["key"], r["text"]) for r in out.select("id", "key", "text").collect()} == want and out.count() == 3_000
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (not limits) and ("Generate" in plan) == (limits.get("hot_rows") == 50)
