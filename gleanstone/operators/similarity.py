@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanstone.session import materialize
+from gleanstone.session import attach, materialize
 
 PRIME = (1 << 61) - 1
 #: Members of a bucket or shingle that are compared all with all; larger ones compare by parts.
@@ -113,25 +114,37 @@ def bands(signed: DataFrame, key: str, number: int = 16) -> DataFrame:
 def candidate_pairs(buckets: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b, of all keys that share a bucket, each pair once.
 
-    Buckets are cut into blocks of at most about ``block`` keys by digest and every two blocks of a bucket
-    meet as a join of their own, so no task holds a whole large bucket and no pair is lost.
+    Each key's buckets go with it, and a pair comes out of the first bucket that both share: pairs are never gathered or
+    shuffled, however many they are. Buckets are cut into blocks of at most about ``block`` keys by digest, which are
+    gathered as lists of their keys; every two blocks of a bucket meet in a task of their own, so no task holds a whole large bucket.
     """
-    sizes = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(buckets.where(F.col(key).isNotNull()))
+    own = buckets.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("band", "bucket"))).alias("all"))
+    rows = own.select(key, "all", F.posexplode("all").alias("at", "x")).select(key, "x.band", "x.bucket", F.slice("all", F.lit(1), F.col("at")).alias("before"))
+    sizes = materialize(buckets.groupBy("band", "bucket").agg(F.count_distinct(key).alias("n")).where("n > 1"))
+    rows = attach(rows, sizes, ["band", "bucket"], "inner")
     parts = F.ceil(F.col("n") / block).cast("int")
-    rows = buckets.join(sizes, ["band", "bucket"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
-    meet = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = rows.select("band", "bucket", "part", F.explode(meet).alias("other"), F.col(key).alias("a"))
-    right = rows.select("band", "bucket", F.col("part").alias("other"), F.explode(meet).alias("part"), F.col(key).alias("b"))
-    return left.join(right, ["band", "bucket", "part", "other"]).where("a < b").select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, signed: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose exact similarity reaches the threshold."""
-    side = lambda name: signed.select(F.col(key).alias(name), F.col("hashes").alias(f"h{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    value = common / (F.size("ha") + F.size("hb") - common)
-    return both.select("a", "b", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    lists = materialize(rows.groupBy("band", "bucket", "parts", "part").agg(F.collect_list(F.struct(F.col(key).alias("k"), "before")).alias("held")))
+    # Of two blocks the lower one is the left side, so that every two meet once; a block also meets itself.
+    left = lists.select("band", "bucket", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), F.col("held").alias("l"))
+    right = lists.select("band", "bucket", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("part"), F.col("held").alias("r"))
+    met = left.join(right, ["band", "bucket", "part", "other"]).select((F.col("part") == F.col("other")).alias("same"), "r", F.explode("l").alias("x"))
+    met = met.select("same", "x", F.explode("r").alias("y")).where(~F.col("same") | (F.col("x.k") < F.col("y.k")))
+    met = met.where((F.size("x.before") == 0) | (F.size("y.before") == 0) | ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, key: str, threshold: float, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose exact similarity reaches the threshold; only the sets of keys that are in a pair are shuffled."""
+    pairs, (one, two) = materialize(pairs), names
+    met = pairs.select(F.col(one).alias(key)).union(pairs.select(F.col(two).alias(key))).distinct()
+    held = materialize(attach(sets.select(key, "hashes"), met, [key], "left_semi"))
+    side = lambda name, values: held.select(F.col(key).alias(name), F.col("hashes").alias(values))
+    both = pairs.join(side(one, "_l"), one).join(side(two, "_r"), two)
+    common = F.size(F.array_intersect("_l", "_r"))
+    value = common / (F.size("_l") + F.size("_r") - common)
+    return both.select(one, two, value.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def shingle_hashes(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
@@ -141,26 +154,129 @@ def shingle_hashes(docs: DataFrame, key: str, text: str, size: int = 5) -> DataF
     return words.select(key, F.array_distinct(grams).alias("hashes"))
 
 
+#: Counters of shingles; shingles that share one only make the order of rarity coarser.
+COUNTERS = 1 << 20
+
+
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each counter: a table of fixed size, whatever the input."""
+    piece = 1 << 14
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1_000):
+                hashes = np.asarray(batch.column(0).slice(k, 1_000).flatten(), dtype=np.int64)
+                counts += np.bincount(hashes & (COUNTERS - 1), minlength=COUNTERS)
+        for i in range(0, COUNTERS, piece):
+            if counts[i : i + piece].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([counts[i : i + piece].tolist()], pa.list_(pa.int64()))], names=["at", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.Table]) -> pa.Table:
+        rows = batches if isinstance(batches, pa.Table) else pa.concat_tables(batches)
+        total = np.zeros(piece, dtype=np.int64)
+        for one in rows.column("counts").to_pylist():
+            total += np.array(one, dtype=np.int64)
+        return pa.table({"at": pa.array([key[0].as_py()]), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    out = np.zeros(COUNTERS, dtype=np.int32)
+    for r in sets.select("hashes").mapInArrow(run, "at bigint, counts array<bigint>").groupBy("at").applyInArrow(add, "at bigint, counts binary").collect():
+        out[r["at"] : r["at"] + piece] = np.frombuffer(r["counts"], dtype="<i4")
+    return out
+
+
+def _prefixes(sets: DataFrame, key: str, threshold: float, counts: np.ndarray) -> DataFrame:
+    """(h, key, at, s0, s1) of the rarest n - ceil(t n) + 1 shingles of each set, made where the set lies.
+
+    ``h`` is half of a shingle's digest, ``at`` the size of its set and its place there, and s0, s1 are 128 bits that each shingle of the set flips one of.
+    """
+    kind, shared = dict(sets.dtypes)[key], sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(k, 1_000)
+                batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(1)), 0))
+                if not batch.num_rows:
+                    continue
+                sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                hashes = np.asarray(batch.column(1).flatten(), dtype=np.int64)
+                owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+                flip = np.left_shift(np.int64(1), (hashes >> 20) & 63)
+                first = ((hashes >> 26) & 1) == 0
+                sketch = [np.bitwise_xor.reduceat(np.where(half, flip, 0), starts) for half in (first, ~first)]
+                order = np.lexsort((hashes, known[hashes & (COUNTERS - 1)], owner))
+                place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+                kept = place < np.repeat(sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, sizes)
+                rows = owner[kept]
+                fields = [pa.array((hashes[order][kept] >> 32).astype(np.int32)), batch.column(0).take(pa.array(rows)), pa.array((sizes[rows] << 32) | place[kept]), *[pa.array(w[rows]) for w in sketch]]
+                yield pa.RecordBatch.from_arrays(fields, names=["h", key, "at", "s0", "s1"])
+
+    return sets.select(key, "hashes").mapInArrow(run, f"h int, `{key}` {kind}, at bigint, s0 bigint, s1 bigint")
+
+
+def _likely(prefixes: DataFrame, key: str, threshold: float, tile: int = 1_000) -> DataFrame:
+    """(key, other) of the sets that meet on a shingle and may reach the threshold, some of them more than once.
+
+    c common shingles of sets of n and m reach it from c = t (n + m) / (1 + t) on. So many are there behind the first common one, which
+    is at known places, or the pair is left out; so it is if the sketches differ in more bits than n + m - 2 c shingles could flip.
+    """
+    kind = dict(prefixes.dtypes)[key]
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, keys = group.column("at").to_numpy(), group.column(key).combine_chunks()
+        n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+        s0, s1 = (group.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("s0", "s1"))
+        for i in range(0, len(n), tile):
+            for j in range(i, len(n), tile):
+                if n[i : i + tile][-1] < n[j] * threshold - 1e-9:
+                    break  # rows come by size: no later one is near either
+                x, y = slice(i, i + tile), slice(j, j + tile)
+                both = n[x, None] + n[None, y]
+                least = np.ceil(both * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+                good = np.minimum(rest[x, None], rest[None, y]) >= least
+                if i == j:
+                    good &= np.arange(len(both))[:, None] < np.arange(both.shape[1])[None, :]
+                l, r = np.nonzero(good)
+                differ = np.bitwise_count(s0[x][l] ^ s0[y][r]).astype(np.int64) + np.bitwise_count(s1[x][l] ^ s1[y][r])
+                near = differ <= both[l, r] - 2 * least[l, r]
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(l[near] + i)), keys.take(pa.array(r[near] + j))], names=[key, "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                if held and held[-1].column(0)[0] != part.column(0)[0]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                if end < len(h) and not held:
+                    if end - start > 1:
+                        yield from pairs(pa.Table.from_batches([part]))
+                else:
+                    held.append(part)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    grouped = prefixes.repartition("h").sortWithinPartitions("h", "at")
+    out = grouped.mapInArrow(run, f"`{key}` {kind}, other {kind}")
+    return out.where(F.col(key) != F.col("other")).select(F.least(key, "other").alias(key), F.greatest(key, "other").alias("other"))
+
+
 def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, other, jaccard) of all pairs, key < other, that reach ``threshold`` > 0, exact.
 
-    Prefix filtering: shingles are ordered by how rare they are in the corpus. Two sets that reach the
-    threshold share one of the rarest n - ceil(t n) + 1 shingles of each, so the others, boilerplate that
-    meets all with all among them, are never joined on.
+    Prefix filtering: shingles are ordered by how often they, or others on the same counter, occur in the corpus. Two sets
+    that reach the threshold share one of the first n - ceil(t n) + 1 shingles of each in any such order, so the others,
+    boilerplate that meets all with all among them, are never joined on. Only prefixes are shuffled, once, and the sets of keys
+    that are likely to be in a pair; ``sets`` is best a plan that makes them from the texts again, as they are larger than these.
     """
-    exploded = sets.select(key, F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    rare = exploded.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle of one set alone comes first in its order and meets none: it only takes up places of the prefix.
-    known = exploded.join(rare, "h", "left").select(key, "n", "h", F.coalesce("df", F.lit(1)).alias("df"))
-    ordered = known.groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = ordered.select(key, F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("x")).where("x.df > 1").select(key, F.col("x.h").alias("h"))
-    pairs = prefix.join(prefix.withColumnRenamed(key, "other"), "h").where(F.col(key) < F.col("other")).select(key, "other").distinct()
-    right = sets.select(F.col(key).alias("other"), F.col("hashes").alias("_h"))
-    both = pairs.join(sets, key).join(right, "other")
-    common = F.size(F.array_intersect("hashes", "_h"))
-    value = common / (F.size("hashes") + F.size("_h") - common)
-    return both.select(key, "other", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = _likely(_prefixes(sets, key, threshold, _counters(sets)), key, threshold).distinct()
+    return verified(pairs, sets, key, threshold, (key, "other"))
 
 
 #: Shingles of a reference set whose index is sent to the executors at once.
@@ -236,10 +352,10 @@ def near_duplicate_links(docs: DataFrame, key: str, text: str, size: int = 5, pe
     copies = docs.select(F.col(key), F.sha2(normalised(F.col(text)), 256).alias("_d")).where("_d is not null")
     reps = copies.groupBy("_d").agg(F.min(key).alias("representative"))
     members = materialize(copies.join(reps, "_d").select(key, "representative"))
-    distinct = docs.join(members.where(F.col(key) == F.col("representative")).select(key), key, "left_semi")
+    # Texts stay where they lie if the few copies may be broadcast.
+    distinct = attach(docs, members.where(F.col(key) != F.col("representative")).select(key), [key], "left_anti").where(F.col(text).isNotNull() & F.col(key).isNotNull())
     if exact:
-        sets = materialize(shingle_hashes(distinct, key, text, size))
+        sets = shingle_hashes(distinct, key, text, size)
         return similar_pairs(sets, key, threshold).select(F.col(key).alias("a"), F.col("other").alias("b"), "jaccard"), members
-    signed = materialize(signatures(distinct, key, text, size, permutations, seed))
-    pairs = candidate_pairs(bands(signed, key, number), key)
-    return verified(pairs, signed, key, threshold), members
+    pairs = candidate_pairs(bands(signatures(distinct, key, text, size, permutations, seed), key, number), key)
+    return verified(pairs, shingle_hashes(distinct, key, text, size), key, threshold), members

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Bytes of its values up to which it may be broadcast; rows alone say nothing of long texts.
 BROADCAST_BYTES = 32_000_000
+#: Repeated keys that are sent to the executors as a list.
+ONCE_KEYS = 1_000
 #: Rows of one key that a join leaves to one task in any case.
 HOT_ROWS = 10_000
 
@@ -60,6 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key``. Keys are counted by themselves first: only rows whose key is there again are shuffled, if these keys may be broadcast."""
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    keys = [r[0] for r in again.limit(ONCE_KEYS + 1).collect()]
+    if not keys:
+        return df
+    if len(keys) > ONCE_KEYS:
+        return df.dropDuplicates([key])
+    among = F.coalesce(F.col(key).isin([k for k in keys if k is not None]), F.lit(None in keys))
+    return df.where(~among).unionByName(df.where(among).dropDuplicates([key]))
+
+
 def where_computed(df: DataFrame, condition) -> DataFrame:
     """Filter on computed columns without letting the optimizer copy their expressions below the projections.
 

@@ -171,3 +171,11 @@ def test_attached_sides_are_copied_for_hot_keys_only(spark):
         assert {(r["id"], r["key"], r["text"]) for r in out.select("id", "key", "text").collect()} == want and out.count() == 3_000
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == (not limits) and ("Generate" in plan) == (limits.get("hot_rows") == 50)
+
+
+def test_pairs_come_once_and_are_not_shuffled(spark):
+    rows = [(b, 7, f"k{i:02d}") for b in (0, 1) for i in range(30)] + [(0, 7, None), (1, 9, "k01"), (1, 9, "k40")]
+    out = similarity.candidate_pairs(spark.createDataFrame(rows, "band int, bucket bigint, key string"), "key", block=6)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) == 30 * 29 // 2 + 1 and ("k01", "k40") in got and all(a < b for a, b in got)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
