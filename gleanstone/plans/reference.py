@@ -11,7 +11,7 @@ from gleanstone.functions.extract import at_path
 from gleanstone.operators import cluster, dedupe, drift, emit, health, label, redact, select, signals, similarity
 from gleanstone.plans.reference_sql import ORACLES  # noqa: F401
 from gleanstone.schema import record_fault
-from gleanstone.session import materialize, table
+from gleanstone.session import materialize, once, table
 
 #: The near-duplicate stages on documents take five words and a similarity of 0.8.
 NEAR = Cluster(shingle_words=5, jaccard_threshold=0.8)
@@ -24,7 +24,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").dropDuplicates(["doc_id"])
+    return once(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
 def record_faults(spark, d):  # noqa: ANN001, ANN201
@@ -152,7 +152,7 @@ def near_duplicates(spark, d):  # noqa: ANN001, ANN201
 
 
 def clusters(spark, d):  # noqa: ANN001, ANN201
-    out = cluster.cluster_records(_docs(spark, d), None, NEAR, "doc_id", "text")
+    out = cluster.cluster_records(_docs(spark, d), None, NEAR, "doc_id", "text", exact=True)
     return out.select("cluster_id", "representative_id", "size", F.round("min_link_jaccard", 6).alias("min_link_jaccard"))
 
 
