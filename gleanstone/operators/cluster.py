@@ -27,7 +27,7 @@ def memberships(records: DataFrame, settings: Cluster | None = None, key: str =
     return out, links
 
 
-def cluster_records(records: DataFrame, scores: DataFrame | None = None, settings: Cluster | None = None, key: str = "record_id", text: str = "input_text") -> DataFrame:
+def cluster_records(records: DataFrame, scores: DataFrame | None = None, settings: Cluster | None = None, key: str = "record_id", text: str = "input_text", exact: bool = False) -> DataFrame:
     """(cluster_id, representative_id, size, min_link_jaccard, component) of every cluster.
 
     The representative has the highest score, then the smallest key. Labels follow size, then
@@ -35,7 +35,7 @@ def cluster_records(records: DataFrame, scores: DataFrame | None = None, setting
     """
     if records.groupBy(key).count().where("count > 1").limit(1).count():
         raise GleanstoneError(f"{key} is not unique")
-    grouped, links = memberships(records, settings, key, text)
+    grouped, links = memberships(records, settings, key, text, exact)
     grouped = materialize(grouped)
     scored = grouped.join(scores.select(key, "score"), key, "left") if scores is not None else grouped.withColumn("score", F.lit(0))
     heads = scored.groupBy("component").agg(F.min_by(key, F.struct(-F.coalesce("score", F.lit(0)), F.col(key))).alias("representative_id"), F.count("*").alias("size"))

@@ -194,7 +194,7 @@ def band_pairs(spark, d):  # noqa: ANN001, ANN201
 
 def near_duplicate_pairs(spark, d):  # noqa: ANN001, ANN201
     """Verified links between the smallest documents of different texts."""
-    links, _ = similarity.near_duplicate_links(_docs(spark, d), "doc_id", "text", NEAR.shingle_words, NEAR.permutations, NEAR.bands, NEAR.seed, NEAR.jaccard_threshold)
+    links, _ = similarity.near_duplicate_links(_docs(spark, d), "doc_id", "text", NEAR.shingle_words, NEAR.permutations, NEAR.bands, NEAR.seed, NEAR.jaccard_threshold, exact=True)
     return links.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
