@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import random
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +149,61 @@ def verified(pairs: DataFrame, sets: DataFrame, key: str, threshold: float, name
     return both.select(one, two, value.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words under which close ones lie far apart."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _windows(words: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, digest) of the windows of ``size`` word digests of each text, each once in a text; a shorter text is one window."""
+    windows = np.maximum(sizes - size + 1, 1)
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(windows) + windows, windows)
+    width, out = np.minimum(sizes, size)[owner], np.zeros(len(owner), dtype=np.uint64)
+    for j in range(size):
+        there = width > j
+        longer = _mixed((out ^ words[np.minimum(at + j, len(words) - 1)]) + np.uint64(0x9E3779B97F4A7C15))
+        out = longer if there.all() else np.where(there, longer, out)
+    order = np.lexsort((out, owner))
+    owner, out = owner[order], out[order]
+    first = np.ones(len(out), dtype=bool)
+    first[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], out[first]
+
+
 def shingle_hashes(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """(key, hashes): the shingle set of each text with words as 64-bit digests, made where the text lies, without a shuffle."""
-    words = docs.select(F.col(key), F.split(normalised(F.col(text)), " ").alias("_w")).where("_w is not null and _w[0] <> ''")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))
-    return words.select(key, F.array_distinct(grams).alias("hashes"))
+    """(key, hashes): the shingle set of each text with words as sorted 64-bit digests, made where the text lies, without a shuffle.
+
+    Words are digested once each, and windows from the digests of their words for many texts at once.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(k, 1_000)
+                batch = batch.filter(pa.compute.greater(pa.compute.binary_length(batch.column(1)), 0))
+                if not batch.num_rows:
+                    continue
+                lists = pa.compute.split_pattern(batch.column(1), " ")
+                sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                if len(known) > 500_000:
+                    known.clear()
+                own = coded.dictionary.to_pylist()
+                for w in own:
+                    if w not in known:
+                        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                words = np.array([known[w] for w in own], dtype=np.uint64)[coded.indices.to_numpy()]
+                owner, hashes = _windows(words, sizes, size)
+                offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+                np.cumsum(np.bincount(owner, minlength=len(sizes)), out=offsets[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], names=[key, "hashes"])
+
+    return docs.select(key, normalised(F.col(text)).alias("_n")).mapInArrow(run, f"`{key}` {kind}, hashes array<bigint>")
 
 
 #: Counters of shingles; shingles that share one only make the order of rarity coarser.
@@ -280,66 +332,137 @@ def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 #: Shingles of a reference set whose index is sent to the executors at once.
-INDEXED = 500_000
+INDEXED = 6_000_000
+#: Classes of an index that are kept as rows of all its sets, and the share of the sets from which on a class may be one.
+ROWS, OFTEN = 256, 1 / 32
+
+
+class _Index:
+    """Sets of a reference by shingle, in their order; shingles that the same sets hold are one class with one list of these sets."""
+
+    def __init__(self, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        owners = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        first = np.ones(len(hashes), dtype=bool)
+        first[1:] = hashes[1:] != hashes[:-1]
+        first = np.flatnonzero(first)
+        self.sizes, self.shingles = sizes, hashes[first]
+        held = np.diff(np.append(first, len(hashes)))
+        marks = np.random.default_rng(1729).integers(0, 2**64, len(sizes), dtype=np.uint64)
+        sums = np.add.reduceat(marks[owners], first) if len(first) else np.zeros(0, dtype=np.uint64)
+        _, one, classes = np.unique(sums, return_index=True, return_inverse=True)
+        self.classes, self.held, self.shingles_of = classes.astype(np.int32), held[one], np.bincount(classes, minlength=len(one))
+        self.ends = np.cumsum(self.held)
+        self.sets = owners[np.arange(self.held.sum()) + np.repeat(first[one] - self.ends + self.held, self.held)]
+
+    def prepare(self) -> None:
+        """Rows of the classes that many sets hold: adding a whole row is cheaper than picking these sets."""
+        often = np.argsort(-self.held, kind="stable")[:ROWS]
+        often = often[(self.held[often] >= max(len(self.sizes) * OFTEN, 8)) & (self.shingles_of[often] < 256)]
+        self.row_of = np.full(len(self.held), -1, dtype=np.int32)
+        self.row_of[often] = np.arange(len(often))
+        self.rows, self.sets = np.zeros((len(often), len(self.sizes)), dtype=np.uint8), self.sets.astype(np.int64)
+        for i, c in enumerate(often.tolist()):
+            self.rows[i, self.sets[self.ends[c] - self.held[c] : self.ends[c]]] = self.shingles_of[c]
+
+    def best(self, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greatest similarity of each set with one of the index, and the last of these, -1 without any common shingle."""
+        value, where = np.zeros(len(sizes)), np.full(len(sizes), -1, dtype=np.int64)
+        if not len(self.shingles) or not len(hashes):
+            return value, where
+        at = np.searchsorted(self.shingles, hashes)
+        at[at == len(self.shingles)] = 0
+        known = self.shingles[at] == hashes
+        number = len(self.held)
+        keys, weights = np.unique(np.repeat(np.arange(len(sizes)), sizes)[known] * number + self.classes[at[known]], return_counts=True)
+        owner, classes = np.divmod(keys, number)
+        as_row = (self.row_of[classes] >= 0) & (weights == self.shingles_of[classes])
+        order = np.argsort(owner * 2 + as_row, kind="stable")
+        owner, classes, weights, as_row = owner[order], classes[order], weights[order], as_row[order]
+        cuts, rows = np.searchsorted(owner * 2 + as_row, np.arange(len(sizes) * 2 + 1)).tolist(), self.row_of[classes].tolist()
+        spans, ends = self.held[classes], self.ends[classes].tolist()
+        starts = (self.ends[classes] - spans).tolist()
+        score, held, share = np.empty(len(self.sizes), dtype=np.float32), -1, None
+        counts = {kind: np.empty(len(self.sizes), dtype=kind) for kind in (np.uint8, np.uint16, np.uint32)}
+        for i in np.argsort(sizes, kind="stable").tolist():
+            begin, middle, end = cuts[2 * i : 2 * i + 3]
+            if begin == end:
+                continue
+            n = int(sizes[i])
+            if n != held:
+                held, share = n, (1 / (n + self.sizes)).astype(np.float32)
+            common = counts[np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32]
+            common.fill(0)
+            if begin < middle:
+                picked = [self.sets[starts[k] : ends[k]] for k in range(begin, middle)]
+                np.add.at(common, np.concatenate(picked), np.repeat(weights[begin:middle].astype(common.dtype), spans[begin:middle]))
+            for k in range(middle, end):
+                np.add(common, self.rows[rows[k]], out=common)
+            # c / (n + m) orders as the similarity does; single precision leaves a few, which are compared exactly.
+            np.multiply(common, share, out=score)
+            near = np.flatnonzero(score >= score.max() * np.float32(1 - 1e-6))
+            c = common[near].astype(np.int64)
+            exact = c / (n + self.sizes[near] - c)
+            k = np.flatnonzero(exact == exact.max())[-1]
+            value[i], where[i] = exact[k], near[k]
+        return value, where
 
 
 def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str, indexed: int = INDEXED) -> DataFrame:
     """(key, best_overlap, nearest) of every key of ``docs``, exact; both sides are sets of hashes (``shingle_hashes``); 0 without any common shingle.
 
-    The reference goes to the executors as an inverted index, so that nothing is emitted per common shingle. One of
-    more than ``indexed`` shingles, counted first, is cut into blocks by a digest of its keys; every block meets
-    all documents where they lie and each keeps its best, ties by the larger key. Null keys of the reference take no part.
+    The reference goes to the executors as an inverted index, so that nothing is emitted per common shingle. Of one of
+    more than ``indexed`` shingles equal sets are taken once, documents with an equal set there are settled at once, and it
+    is cut into blocks by a digest of its sets, one at a time; every block meets all other documents where they lie and each keeps
+    its best, ties by the larger key. Null keys of the reference take no part.
     """
-    against = against.where(F.col(other).isNotNull()).select(other, "hashes")
+    against = materialize(against.where(F.col(other).isNotNull()).select(other, "hashes"))
     held = against.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-held // indexed))
     kinds = (dict(docs.dtypes)[key], dict(against.dtypes)[other])
-    if blocks > 1:
-        against, docs = materialize(against), materialize(docs.select(key, "hashes"))
-    best = None
+    if held <= indexed:
+        return _overlap_with_index(docs, against.toArrow(), key, kinds)[0]
+    digests = [F.size("hashes").alias("_n"), F.xxhash64("hashes").alias("_x"), F.xxhash64(F.lit(1), "hashes").alias("_y")]
+    same = ["_n", "_x", "_y"]
+    distinct = materialize(against.select(other, *digests).groupBy(*same).agg(F.max(other).alias(other)))
+    blocks = max(1, -(-(distinct.agg(F.sum("_n")).first()[0] or 0) // indexed))
+    docs = materialize(docs.select(key, "hashes"))
+    equal = materialize(docs.select(key, *digests).where("_n > 0").join(distinct, same).select(key, F.lit(1.0).alias("best_overlap"), F.col(other).alias("nearest")))
+    rest = attach(docs, equal.select(key).where(F.col(key).isNotNull()).distinct(), [key], "left_anti", max_rows=1_000_000)
+    best = equal
     for b in range(blocks):
-        part = against if blocks == 1 else against.where(F.pmod(F.xxhash64(other), F.lit(blocks)) == b)
-        found = _overlap_with_index(docs, part.toArrow(), key, kinds)
-        best = found if best is None else best.unionByName(found)
-    if blocks == 1:
-        return best
+        mine = lambda x: F.pmod(x, F.lit(blocks)) == b
+        part = attach(against.where(mine(F.xxhash64("hashes"))), distinct.where(mine(F.col("_x"))).select(other), [other], "left_semi")
+        found, shared = _overlap_with_index(rest, part.toArrow(), key, kinds)
+        best = best.unionByName(materialize(found))
+        shared.destroy()
     top = best.groupBy(key).agg(F.max(F.struct("best_overlap", "nearest")).alias("_b"))
     return top.select(key, "_b.best_overlap", "_b.nearest")
 
 
-def _overlap_with_index(docs: DataFrame, rows: pa.Table, key: str, kinds: tuple[str, str]) -> DataFrame:
-    order = np.argsort(np.array(rows.column(0).to_pylist(), dtype=object), kind="stable") if rows.num_rows else np.zeros(0, dtype=np.int64)
-    rows = rows.take(pa.array(order))
+def _overlap_with_index(docs: DataFrame, rows: pa.Table, key: str, kinds: tuple[str, str]) -> tuple[DataFrame, Broadcast]:
+    rows = rows.combine_chunks()
     names, name_type = rows.column(0).to_pylist(), rows.schema.field(0).type
-    lists = rows.column(1).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-    sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64) if rows.num_rows else np.zeros(0, dtype=np.int64)
-    hashes = np.asarray(lists.flatten(), dtype=np.int64)
-    owners = np.repeat(np.arange(len(names), dtype=np.int64), sizes)
-    order = np.argsort(hashes, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((hashes[order], owners[order], sizes))
+    order = sorted(range(len(names)), key=names.__getitem__)
+    names = [names[i] for i in order]
+    lists = rows.column(1).take(pa.array(order, pa.int64()))
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((names, _Index(sizes, np.asarray(lists.flatten(), dtype=np.int64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, owner, size = shared.value
-        for batch in batches:
-            best, nearest = [], []
-            for mine in batch.column(1):
-                mine = np.asarray(mine.values, dtype=np.int64)
-                low, high = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
-                spans = high - low
-                if not spans.sum():
-                    best.append(0.0)
-                    nearest.append(None)
-                    continue
-                at = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-                common = np.bincount(owner[at], minlength=len(size))
-                value = common / (len(mine) + size - common)
-                i = int(np.flatnonzero(value == value.max())[-1])
-                best.append(float(value[i]))
-                nearest.append(names[i])
-            fields = [pa.array(best, pa.float64()), pa.array(nearest, name_type)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *fields], names=[key, "best_overlap", "nearest"])
-
-    return docs.select(key, "hashes").mapInArrow(run, f"`{key}` {kinds[0]}, best_overlap double, nearest {kinds[1]}")
+        names, index = shared.value
+        index = copy.copy(index)
+        index.prepare()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(k, 2_000)
+                sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                best, where = index.best(sizes, np.asarray(batch.column(1).flatten(), dtype=np.int64))
+                nearest = pa.array([names[i] if i >= 0 else None for i in where.tolist()], name_type)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), nearest], names=[key, "best_overlap", "nearest"])
+
+    return docs.select(key, "hashes").mapInArrow(run, f"`{key}` {kinds[0]}, best_overlap double, nearest {kinds[1]}"), shared
 
 
 def near_duplicate_links(docs: DataFrame, key: str, text: str, size: int = 5, permutations: int = 64, number: int = 16, seed: int = 1729, threshold: float = 0.6, exact: bool = False) -> tuple[DataFrame, DataFrame]:

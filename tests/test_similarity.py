@@ -117,6 +117,57 @@ def test_best_overlap(spark):
         assert abs(got[k] - want) < 1e-9
 
 
+def passes(monkeypatch):
+    """The calls of an index over documents, as they come."""
+    seen, plain = [], similarity._overlap_with_index
+    monkeypatch.setattr(similarity, "_overlap_with_index", lambda docs, rows, *rest: (seen.append(rows.num_rows), plain(docs, rows, *rest))[1])
+    return seen
+
+
+def test_equal_sets_of_a_reference_are_taken_once(spark, monkeypatch):
+    """Forty copies of each text on both sides, cut into blocks by distinct sets; equal texts meet the last copy."""
+    texts = [t for _, t in corpus() if any(c.isalpha() for c in t)]
+    rows = lambda side, texts: similarity.shingle_hashes(spark.createDataFrame([(f"{side}{c:02d}-{i:02d}", t) for i, t in enumerate(texts) for c in range(40)], "k string, text string"), "k", "text")
+    left, right = texts[::2], texts[1::2] + texts[:4:2]
+    seen = passes(monkeypatch)
+    docs = rows("l", left)
+    got = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(docs, rows("r", right).withColumnRenamed("k", "o"), "k", "o", indexed=400).collect()}
+    assert len(seen) <= -(-sum(len(g) for g in {frozenset(grams(t)) for t in right}) // 400) and sum(seen) <= len(right)
+    assert len(got) == 40 * len(left)
+    for i, t in enumerate(left):
+        values = [len(grams(t) & grams(u)) / len(grams(t) | grams(u)) for u in right]
+        nearest = f"r39-{max(j for j, v in enumerate(values) if v == max(values)):02d}" if max(values) else None
+        assert {got[f"l{c:02d}-{i:02d}"] for c in range(40)} == {(max(values), nearest)}
+
+
+def test_index_has_one_list_for_shingles_of_the_same_sets():
+    sizes, rng = np.full(300, 40), np.random.default_rng(4)
+    blocks = rng.integers(-(2**62), 2**62, (30, 20))
+    picked = [rng.choice(30, 2, replace=False) for _ in range(300)]
+    index = similarity._Index(sizes, np.concatenate([blocks[p].ravel() for p in picked]))
+    assert len(index.held) == 30 and len(index.sets) == 600
+    index.prepare()
+    sets = [set(blocks[p].ravel().tolist()) for p in picked]
+    mine = [sorted(set(blocks[p].ravel()[: 10 + i].tolist()) | {i}) for i, p in enumerate(picked[:30])] + [list(range(70_000)), blocks.ravel().tolist() + list(range(300))]
+    value, where = index.best(np.array([len(m) for m in mine]), np.array([h for m in mine for h in m]))
+    for m, v, w in zip(mine, value.tolist(), where.tolist()):
+        every = [len(s & set(m)) / len(s | set(m)) for s in sets]
+        assert v == max(every) and w == (max(i for i, x in enumerate(every) if x == v) if v else -1)
+
+
+def test_shingle_hashes_are_the_sets_of_windows(spark):
+    docs = [(k, t) for k, t in corpus()] + [("x1", "Ünï cödé ünï cödé ünï cödé"), ("x2", None), ("x3", "a a a a a a a a a")]
+    for size in (1, 2, 5):
+        got = {r["k"]: r["hashes"] for r in similarity.shingle_hashes(spark.createDataFrame(docs, "k string, text string"), "k", "text", size).collect()}
+        sets = {k: grams(t, size) for k, t in docs if t and any(c.isalpha() for c in t)}
+        assert set(got) == set(sets) and all(h == sorted(h, key=lambda x: x % 2**64) and len(set(h)) == len(h) for h in got.values())
+        for k in sets:
+            assert len(got[k]) == len(sets[k])
+        for x in sets:
+            for y in sets:
+                assert len(set(got[x]) & set(got[y])) == len(sets[x] & sets[y])
+
+
 def test_similar_pairs_against_all_pairs(spark):
     docs = [(k, t + " " + "the same closing words in every text here") for k, t in corpus() if any(c.isalpha() for c in t)]
     sets = {k: grams(t) for k, t in docs}
