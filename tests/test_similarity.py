@@ -124,6 +124,16 @@ def passes(monkeypatch):
     return seen
 
 
+def test_a_reference_of_many_shingles_takes_one_pass(spark, monkeypatch):
+    """600 sets of 1,000 shingles: the first of each is its own, all others are everyone's."""
+    own = F.concat(F.array(F.col("id")), F.expr("sequence(1000000L, 1000998L)"))
+    sets = spark.range(600).select(F.col("id").alias("o"), own.alias("hashes"))
+    seen = passes(monkeypatch)
+    docs = spark.createDataFrame([("a", [5, 1000001]), ("b", [1000000 + i for i in range(999)] + [7]), ("c", [-1]), ("d", [1000000])], "k string, hashes array<bigint>")
+    got = {r["k"]: (r["best_overlap"], r["nearest"]) for r in similarity.best_overlap(docs, sets, "k", "o").collect()}
+    assert got == {"a": (2 / 1000, 5), "b": (1.0, 7), "c": (0.0, None), "d": (1 / 1000, 599)} and seen == [600]
+
+
 def test_equal_sets_of_a_reference_are_taken_once(spark, monkeypatch):
     """Forty copies of each text on both sides, cut into blocks by distinct sets; equal texts meet the last copy."""
     texts = [t for _, t in corpus() if any(c.isalpha() for c in t)]
