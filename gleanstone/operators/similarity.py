@@ -334,7 +334,7 @@ def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
 #: Shingles of a reference set whose index is sent to the executors at once.
 INDEXED = 6_000_000
 #: Classes of an index that are kept as rows of all its sets, and the share of the sets from which on a class may be one.
-ROWS, OFTEN = 256, 1 / 32
+ROWS, OFTEN = 256, 1 / 16
 
 
 class _Index:
@@ -383,7 +383,8 @@ class _Index:
         cuts, rows = np.searchsorted(owner * 2 + as_row, np.arange(len(sizes) * 2 + 1)).tolist(), self.row_of[classes].tolist()
         spans, ends = self.held[classes], self.ends[classes].tolist()
         starts = (self.ends[classes] - spans).tolist()
-        score, held, share = np.empty(len(self.sizes), dtype=np.float32), -1, None
+        others, held = self.sizes.astype(np.float32), -1
+        score, share, likely = np.empty_like(others), np.empty_like(others), np.empty(len(others), dtype=bool)
         counts = {kind: np.empty(len(self.sizes), dtype=kind) for kind in (np.uint8, np.uint16, np.uint32)}
         for i in np.argsort(sizes, kind="stable").tolist():
             begin, middle, end = cuts[2 * i : 2 * i + 3]
@@ -391,7 +392,8 @@ class _Index:
                 continue
             n = int(sizes[i])
             if n != held:
-                held, share = n, (1 / (n + self.sizes)).astype(np.float32)
+                held = n
+                np.reciprocal(np.add(others, np.float32(n), out=share), out=share)
             common = counts[np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32]
             common.fill(0)
             if begin < middle:
@@ -401,7 +403,13 @@ class _Index:
                 np.add(common, self.rows[rows[k]], out=common)
             # c / (n + m) orders as the similarity does; single precision leaves a few, which are compared exactly.
             np.multiply(common, share, out=score)
-            near = np.flatnonzero(score >= score.max() * np.float32(1 - 1e-6))
+            np.greater_equal(score, score.max() * np.float32(1 - 1e-6), out=likely)
+            one = int(likely.argmax())
+            if not likely[one + 1 :].any():
+                c = int(common[one])
+                value[i], where[i] = c / (n + int(self.sizes[one]) - c), one
+                continue
+            near = np.flatnonzero(likely)
             c = common[near].astype(np.int64)
             exact = c / (n + self.sizes[near] - c)
             k = np.flatnonzero(exact == exact.max())[-1]
