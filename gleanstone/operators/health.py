@@ -60,9 +60,12 @@ def signal_coverage(covered: DataFrame, scores: DataFrame, key: str) -> DataFram
 
 
 def signalled_against_ordinary(covered: DataFrame, membership: DataFrame, scores: DataFrame, key: str) -> dict:
-    """Whether clusters with a signal (novelty aside) are covered less often than ordinary ones: 2 x 2 counts and a one-sided p."""
-    told = F.exists("signals", lambda x: x["name"] != "novelty")
-    rows = membership.join(covered, key, "left").join(scores.select(key, told.alias("told")), key, "left")
+    """Whether clusters with a signal (novelty aside) are covered less often than ordinary ones: 2 x 2 counts and a one-sided p.
+
+    One row of each key of ``scores`` counts; signals are reduced to what they say before they are shuffled.
+    """
+    told = scores.select(key, F.exists("signals", lambda x: x["name"] != "novelty").alias("told")).dropDuplicates([key])
+    rows = membership.join(covered.select(key, "covered"), key, "left").join(told, key, "left")
     per = rows.groupBy("component").agg(F.bool_or(F.coalesce("covered", F.lit(False))).alias("covered"), F.bool_or(F.coalesce("told", F.lit(False))).alias("told"))
     t = per.agg(F.count_if(F.col("told") & F.col("covered")).alias("a"), F.count_if(F.col("told") & ~F.col("covered")).alias("b"), F.count_if(~F.col("told") & F.col("covered")).alias("c"), F.count_if(~F.col("told") & ~F.col("covered")).alias("d")).first()
     return {"signalled_covered": t["a"], "signalled": t["a"] + t["b"], "ordinary_covered": t["c"], "ordinary": t["c"] + t["d"], "p": stats.fisher_lower(t["a"], t["b"], t["c"], t["d"])}

@@ -166,7 +166,8 @@ def _windows(words: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarra
         there = width > j
         longer = _mixed((out ^ words[np.minimum(at + j, len(words) - 1)]) + np.uint64(0x9E3779B97F4A7C15))
         out = longer if there.all() else np.where(there, longer, out)
-    order = np.lexsort((out, owner))
+    order = np.argsort(out)
+    order = order[np.argsort((owner if len(sizes) > 1 << 16 else owner.astype(np.uint16))[order], kind="stable")]  # few owners are sorted by their digits
     owner, out = owner[order], out[order]
     first = np.ones(len(out), dtype=bool)
     first[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
@@ -335,6 +336,8 @@ def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
 INDEXED = 6_000_000
 #: Classes of an index that are kept as rows of all its sets, and the share of the sets from which on a class may be one.
 ROWS, OFTEN = 256, 1 / 16
+#: Common shingles up to which a set is compared by bits, and the words of one array of them that stay in a core's cache.
+FEW, WORDS = 15, 1 << 16
 
 
 class _Index:
@@ -355,6 +358,7 @@ class _Index:
         self.classes, self.held, self.shingles_of = classes.astype(np.int32), held[one], np.bincount(classes, minlength=len(one))
         self.ends = np.cumsum(self.held)
         self.sets = owners[np.arange(self.held.sum()) + np.repeat(first[one] - self.ends + self.held, self.held)]
+        self.made: dict[str, tuple] = {}  # by the worker that uses the index, once for all its tasks
 
     def prepare(self) -> None:
         """Rows of the classes that many sets hold: adding a whole row is cheaper than picking these sets."""
@@ -374,8 +378,93 @@ class _Index:
         at = np.searchsorted(self.shingles, hashes)
         at[at == len(self.shingles)] = 0
         known = self.shingles[at] == hashes
+        owner, classes = np.repeat(np.arange(len(sizes)), sizes)[known], self.classes[at[known]]
+        common = np.bincount(owner, minlength=len(sizes))
+        few, many = (common > 0) & (common <= FEW), common > FEW
+        if few.sum() >= many.sum():
+            self._best_of_few(few, common, sizes, classes, value, where)
+        else:
+            many |= few
+        if many.any():
+            self._best_of_many(sizes, owner[many[owner]], classes[many[owner]], value, where)
+        return value, where
+
+    def bits(self) -> tuple[np.ndarray, ...]:
+        """Which sets hold a class, as bits in the order of their sizes, later ones of a size first: 64 in a word, words without any left out.
+
+        The sets by place, the number of words of all, whole rows of the classes that touch half of them (the last row has no bit),
+        each class's row or -1, and the ends of its words, their places and bits.
+        """
+        if "bits" not in self.made:
+            order = np.lexsort((-np.arange(len(self.sizes)), self.sizes))
+            place, words = np.empty(len(order), dtype=np.int64), -(-len(order) // 64)
+            place[order] = np.arange(len(order))
+            at = place[self.sets]
+            keys = np.repeat(np.arange(len(self.held)), self.held) * words + (at >> 6)
+            by = np.argsort(keys, kind="stable")
+            keys, bits = keys[by], np.left_shift(np.uint64(1), (at[by] & 63).astype(np.uint64))
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            bits, (classes, at) = np.add.reduceat(bits, first), np.divmod(keys[first], words)
+            touched = np.bincount(classes, minlength=len(self.held))
+            whole = np.flatnonzero(touched * 2 >= words)
+            row_of, rows = np.full(len(self.held), -1, dtype=np.int64), np.zeros((len(whole) + 1, words), dtype=np.uint64)
+            row_of[whole] = np.arange(len(whole))
+            apart = row_of[classes] < 0
+            rows[row_of[classes[~apart]], at[~apart]] = bits[~apart]
+            touched[whole] = 0
+            self.made["bits"] = order, words, rows, row_of, np.cumsum(touched), touched, at[apart], bits[apart]
+        return self.made["bits"]
+
+    def _best_of_few(self, few: np.ndarray, common: np.ndarray, sizes: np.ndarray, classes: np.ndarray, value: np.ndarray, where: np.ndarray) -> None:
+        """Sets with few common shingles: their rows of bits are added up by four binary digits for 64 sets of the index at once.
+
+        Of the sets that have c shingles in common the smallest is most alike, the first bit of those with this sum.
+        """
+        picked = np.flatnonzero(few)
+        picked = picked[np.argsort(-common[picked], kind="stable")]
+        begins = np.cumsum(common) - common
+        order, words, rows, row_of, ends, touched, places, bits = self.bits()
+        most = max(1, WORDS // words)
+        for k in range(0, len(picked), most):
+            mine = picked[k : k + most]
+            counts, starts, n = common[mine], begins[mine], sizes[mine]
+            most_common = int(counts[0])
+            digits = np.zeros((most_common.bit_length(), len(mine), words), dtype=np.uint64)
+            carry, spare = np.empty_like(digits[0]), np.empty_like(digits[0])
+            # Those with the most common shingles come first, so that each step takes a part from the front.
+            live = np.searchsorted(-counts, -np.arange(most_common + 1), side="right").tolist()
+            for j in range(most_common):
+                end = live[j + 1]
+                now = classes[starts[:end] + j]
+                row = row_of[now]
+                np.take(rows, row, axis=0, out=carry[:end], mode="wrap")
+                apart = np.flatnonzero(row < 0)
+                held = touched[now[apart]]
+                span = np.arange(held.sum()) + np.repeat(ends[now[apart]] - np.cumsum(held), held)
+                carry[np.repeat(apart, held), places[span]] = bits[span]
+                for digit in digits[: (j + 1).bit_length(), :end]:
+                    np.bitwise_and(digit, carry[:end], out=spare[:end])
+                    np.bitwise_xor(digit, carry[:end], out=digit)
+                    carry, spare = spare, carry
+            best, found = np.zeros(len(mine)), np.full(len(mine), -1, dtype=np.int64)
+            for c in range(1, most_common + 1):
+                end = live[c]
+                same = carry[:end]
+                same.fill(np.uint64(2**64 - 1))
+                for b, digit in enumerate(digits[:, :end]):
+                    np.bitwise_and(same, digit if c >> b & 1 else np.invert(digit, out=spare[:end]), out=same)
+                word = (same != 0).argmax(axis=1)
+                held = same[np.arange(end), word]
+                one = order[np.minimum(word * 64 + np.bitwise_count(~held & (held - np.uint64(1))), len(order) - 1)]
+                alike = np.where(held != 0, c / (n[:end] + self.sizes[one] - c), 0.0)
+                better = (alike > best[:end]) | (alike == best[:end]) & (held != 0) & (one > found[:end])
+                best[:end][better], found[:end][better] = alike[better], one[better]
+            value[mine], where[mine] = best, found
+
+    def _best_of_many(self, sizes: np.ndarray, owner: np.ndarray, classes: np.ndarray, value: np.ndarray, where: np.ndarray) -> None:
+        """Sets with many common shingles, one by one against all sets of the index."""
         number = len(self.held)
-        keys, weights = np.unique(np.repeat(np.arange(len(sizes)), sizes)[known] * number + self.classes[at[known]], return_counts=True)
+        keys, weights = np.unique(owner * number + classes, return_counts=True)
         owner, classes = np.divmod(keys, number)
         as_row = (self.row_of[classes] >= 0) & (weights == self.shingles_of[classes])
         order = np.argsort(owner * 2 + as_row, kind="stable")
@@ -414,7 +503,6 @@ class _Index:
             exact = c / (n + self.sizes[near] - c)
             k = np.flatnonzero(exact == exact.max())[-1]
             value[i], where[i] = exact[k], near[k]
-        return value, where
 
 
 def best_overlap(docs: DataFrame, against: DataFrame, key: str, other: str, indexed: int = INDEXED) -> DataFrame:

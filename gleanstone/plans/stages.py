@@ -199,9 +199,13 @@ def near_duplicate_pairs(spark, d):  # noqa: ANN001, ANN201
 
 
 def _best_of_records(spark: SparkSession, d: str) -> DataFrame:
-    """Best overlap of each request with a golden draft, on shingles of two words."""
+    """Best overlap of each request with a golden draft, on shingles of two words.
+
+    Rows delivered twice are met twice and dropped afterwards, so that no text is shuffled.
+    """
     golden = _docs(spark, d).where(F.col("source") == GOLDEN_SOURCE)
-    return similarity.best_overlap(similarity.shingle_hashes(_records(spark, d), "record_id", "input_text", 2), similarity.shingle_hashes(golden, "doc_id", "text", 2), "record_id", "doc_id")
+    requests = similarity.shingle_hashes(table(spark, d, "records"), "record_id", "input_text", 2)
+    return similarity.best_overlap(requests, similarity.shingle_hashes(golden, "doc_id", "text", 2), "record_id", "doc_id").dropDuplicates(["record_id"])
 
 
 def scored_with_goldens(spark, d):  # noqa: ANN001, ANN201
@@ -241,7 +245,7 @@ def signal_coverage(spark, d):  # noqa: ANN001, ANN201
 
 def covered_by_signal(spark, d):  # noqa: ANN001, ANN201
     """Whether clusters with a signal are covered less often than ordinary ones: counts and a one-sided exact p."""
-    t = health.signalled_against_ordinary(_covered(spark, d), _members(spark, d), _scores(spark, d), "record_id")
+    t = health.signalled_against_ordinary(_covered(spark, d), _members(spark, d), table(spark, d, "scores").where("score is not null"), "record_id")
     return spark.createDataFrame([tuple(t.values())], "signalled_covered bigint, signalled bigint, ordinary_covered bigint, ordinary bigint, p double").withColumn("p", F.round("p", 6))
 
 

@@ -165,6 +165,44 @@ def test_index_has_one_list_for_shingles_of_the_same_sets():
         assert v == max(every) and w == (max(i for i, x in enumerate(every) if x == v) if v else -1)
 
 
+def test_sets_with_few_common_shingles_are_compared_by_bits(monkeypatch):
+    """500 sets, many of the same size, of common, rare and single shingles, against 400 documents of up to 15 of them and others."""
+    rng = np.random.default_rng(8)
+    pick = lambda: np.unique(np.concatenate([rng.choice(20, rng.integers(0, 8), replace=False), rng.integers(20, 300, rng.integers(1, 12)), rng.integers(300, 20_000, rng.integers(0, 4))]))
+    sets = [pick() for _ in range(500)]
+    index = similarity._Index(np.array([len(s) for s in sets]), np.concatenate(sets))
+    docs = [np.unique(np.concatenate([rng.choice(400, rng.integers(0, 16), replace=False), rng.integers(50_000, 60_000, rng.integers(1, 30))])) for _ in range(400)]
+    monkeypatch.setattr(similarity, "WORDS", 100)
+    monkeypatch.setattr(similarity._Index, "_best_of_many", None)
+    value, where = index.best(np.array([len(m) for m in docs]), np.concatenate(docs))
+    rows = index.made["bits"][2]
+    assert 1 < len(rows) < len(index.held) and rows.shape[1] == 8
+    held, found = [set(s.tolist()) for s in sets], 0
+    for m, v, w in zip(docs, value.tolist(), where.tolist()):
+        mine = set(m.tolist())
+        every = [len(s & mine) / len(s | mine) for s in held]
+        assert v == max(every) and w == (max(i for i, x in enumerate(every) if x == v) if v else -1)
+        found += every.count(v) > 1
+    assert found > 20
+
+
+def test_texts_of_records_are_not_shuffled(spark, tmp_path):
+    """Rows delivered twice are dropped by their overlaps, not by their texts."""
+    import json
+
+    from gleanstone.plans import stages
+
+    rows = [(k, t) for k, t in corpus() if any(c.isalpha() for c in t)]
+    spark.createDataFrame(rows + rows[:9], "record_id string, input_text string").write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([(i, t, stages.GOLDEN_SOURCE) for i, (_, t) in enumerate(rows[:5])], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    best = stages._best_of_records(spark, str(tmp_path))
+    plan = json.loads(best._jdf.queryExecution().optimizedPlan().toJSON())
+    names = [x["class"].rpartition(".")[2] for x in plan]
+    assert names.count("Aggregate") == 1 and names.index("Aggregate") < names.index("MapInArrow")
+    got = [tuple(r) for r in best.select("record_id", "best_overlap").collect()]
+    assert len(got) == len(set(got)) == len(rows) and {v for k, v in got if k in dict(rows[:5])} == {1.0}
+
+
 def test_shingle_hashes_are_the_sets_of_windows(spark):
     docs = [(k, t) for k, t in corpus()] + [("x1", "Ünï cödé ünï cödé ünï cödé"), ("x2", None), ("x3", "a a a a a a a a a")]
     for size in (1, 2, 5):
